@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, secrets, sstable
+from . import bpe, decontaminate, pii, quality, secrets, sstable
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents")).drop("fp")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_scan(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op6_pii)
+    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality": quality.ORACLE}
