@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, pii, quality, secrets, sstable
+from . import bpe, decontaminate, jaccard, pii, quality, secrets, sstable, substrings
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard)
+    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard, op8_substrings)
 }
 ORACLES: dict[str, str] = {"op5_quality": quality.ORACLE}
