@@ -298,20 +298,23 @@ def decode_ids(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return arrow_map(ids.select("doc_id", "ids"), decode, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, decodes the ids, and digests both.
 
-    Null texts are empty: no tokens, and the digests of nothing.  Row for row, without a shuffle.
+    with_ids adds ids array<int>.  Null texts are empty: no tokens, and the digests of nothing.  Row for row, without a
+    shuffle; repeated rows stay, further columns are dropped.
     """
 
     def digest(batch: pa.RecordBatch) -> dict:
         c = codec(rank_file, pattern)
-        n, sha, back = [], [], []
+        out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         for t in texts_of(batch):
             ids, decimal = c.encode(t)
-            n.append(len(ids))
-            sha.append(hashlib.sha256(decimal.encode()).hexdigest())
-            back.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-        return {"doc_id": batch.column(0), "n_tokens": n, "ids_sha256": sha, "decoded_sha256": back}
-
-    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+            if with_ids:
+                out["ids"].append(ids.astype(np.int32))
+        return {"doc_id": batch.column(0), **out}
+
+    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

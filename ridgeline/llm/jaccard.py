@@ -1,14 +1,14 @@
 """Exact Jaccard join of word-shingle sets, heavy-light by size.
 
-Two sets of sizes n and m link when 100 * overlap >= 85 * union, so their overlap is at least need(n, m).
+Two sets of sizes n and m link when 100 * overlap >= percent * union, so their overlap is at least need(n, m).
 
 Copies first: documents with one set are one class, known by the set's hash.  Then, by a boundary that a cost estimate
 over the sizes chooses:
 
-* light sets list all subsets that a link could leave in common (at most 15 % of a small set may be missing).
+* light sets list all subsets that a link could leave in common (all but a few elements of a small set).
   Sets under one subset link exactly if it is large enough for their sizes, and if any two of them link, each links with
   the smallest, so one row a set is compared and no pairs are made;
-* heavy sets, and light ones just below the boundary, are put in inverted lists of their n - ceil(.85 n) + 1
+* heavy sets, and light ones just below the boundary, are put in inverted lists of their n - least(n) + 1
   rarest shingles (any order common to all sets is exact; frequent shingles go last).  Lists are scanned in blocks: parity
   sketches bound the symmetric difference from below, so a pair that a sketch excludes cannot link.  Of the rest a
   block passes on a spanning forest, closest pairs first, which is verified on the whole sets; pairs between
@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import arrow_map, materialise, mix, rolling, schema_of, signed, small_side, texts_of, word_hashes
 from .components import components
 
-WORDS = 4
+PERCENT, WORDS = 80, 5
 #: A list longer than this is scanned in blocks of so many rows, each pair of blocks in a place of its own.
 BLOCK = 512
 #: Frequent shingles that the order of shingles knows at most; further ones only make lists longer.
@@ -329,7 +329,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
     return materialise(on.where(100 * F.col("overlap") >= t.percent * (F.col("both") - F.col("overlap"))).select("a", "b"), "links")
 
 
-def join(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach, itself included.
 
     Rows without words have n_shingles 0 and are alone; repeated rows are copies of one another; a null doc_id takes
@@ -355,7 +355,7 @@ def join(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
     return out.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with the document of least doc_id of each component; all columns stay."""
     kept = materialise(join(docs, percent, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")), "kept")
     again = kept.groupBy("kept_id").agg(F.count("*").alias("n")).where("n > 1 AND kept_id IS NOT NULL").limit(1).count()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, pii, quality, secrets, sstable, substrings
+from . import bpe, decontaminate, html, jaccard, pii, quality, secrets, sstable, substrings, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +41,23 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(read(spark, sf_dir, "documents"))
+    return jaccard.join(read(spark, sf_dir, "documents"), percent=85, words=4)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard, op8_substrings)
+    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard, op8_substrings, op9_toxicity, op10_html)
 }
 ORACLES: dict[str, str] = {"op5_quality": quality.ORACLE}
