@@ -1,6 +1,6 @@
 """Registered queries and their SQL in DuckDB's dialect."""
 
-from . import hazards, terrains
+from . import areas, hazards, terrains
 
-QUERIES = {**hazards.QUERIES, **terrains.QUERIES}
-ORACLES = {**hazards.ORACLES, **terrains.ORACLES}
+QUERIES = {**hazards.QUERIES, **terrains.QUERIES, **areas.QUERIES}
+ORACLES = {**hazards.ORACLES, **terrains.ORACLES, **areas.ORACLES}
