@@ -176,6 +176,9 @@ def examples(texts: list[str], seed: int = 7) -> list[tuple[list[list[int]], lis
                 lead = rng.choice(("", "", "key = ", 'auth: "', "Bearer ", "private_key=", "access key "))
             else:
                 token = rng.choice(("2023-01-{}T10-{}", "version-{}.{}.1-beta", "chapter{}section{}", "item-{}/part-{}", "model{}series{}x", "abcdefgh{}{}")).format(rng.randrange(9, 99), rng.randrange(9, 99))
+                if rng.random() < 0.5:  # words of the text itself, joined as in paths and names
+                    own = [w for w in re.findall(r"[A-Za-z]+", text[:2000]) if len(w) > 2] or ["page"]
+                    token = rng.choice("-/_.").join(rng.choice(own) for _ in range(rng.randrange(2, 6))) + rng.choice(("-{}", "/{}", "_v{}", ".{}", "{}")).format(rng.randrange(1, 2100))
                 lead = rng.choice(("", "", "see ", "page: "))
             put = f"{lead}{token}" + ('"' if lead.endswith('"') else "")
             new = text[:at] + put + " " + text[at:]
