@@ -81,14 +81,32 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def set_table(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, fp per row, written; a null or empty text has n = 0."""
+def set_table(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
+    """One pass over the texts: doc_id, n, fp per row (a null or empty text has n = 0), and the most frequent shingles.
 
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t, words) for t in texts_of(batch)]
-        return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "fp": [set_hash(s) for s in sets]}
+    Frequent are shingles seen over 3 times in one batch and over 50 times in such batches, sorted by hash: a
+    guess that only orders shingles.  Each batch adds one row, at position null, with its counts.
+    """
+    ddl = "pos int, doc_id bigint, n bigint, fp bigint, tokens array<bigint>, counts array<bigint>"
+    target = to_arrow_schema(schema_of(ddl))
 
-    return materialise(arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, fp bigint"), "sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [shingles(t, words) for t in texts_of(batch)]
+            u, c = np.unique(np.concatenate(sets), return_counts=True)
+            again = (c > 3) & (u < np.uint64(2**63))
+            n = len(sets)
+            ids = pa.concat_arrays([batch.column(0), pa.nulls(1, pa.int64())])
+            columns = [[*range(n), None], ids, [*map(len, sets), None], [*map(set_hash, sets), None], [None] * n + [signed(u[again]).tolist()], [None] * n + [c[again].tolist()]]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, target, strict=True)], schema=target)
+
+    both = materialise(docs.select("doc_id", "text").mapInArrow(run, schema_of(ddl)), "sets")
+    seen = both.where("pos IS NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
+    top = seen.where("n > 50").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
+    often = np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
+    return both.where("pos IS NOT NULL").select("doc_id", "n", "fp"), often
 
 
 def boundary(sizes: dict[int, int], t: Threshold) -> int:
@@ -118,19 +136,6 @@ def light_rows(s: np.ndarray, missing: int) -> tuple[list[int], list[int]]:
     return sizes, hashes
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """The shingles most often seen twice or more in one batch of documents, sorted: a guess that only orders shingles."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        u, c = np.unique(np.concatenate([np.empty(0, np.uint64)] + [shingles(t, words) for t in texts_of(batch)]), return_counts=True)
-        again = (c > 3) & (u < np.uint64(2**63))
-        return {"token": signed(u[again]), "n": c[again]}
-
-    seen = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = seen.where("n > 50").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
-    return np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
-
-
 def prefix(s: np.ndarray, t: Threshold, often: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order (frequent, hash)."""
     p = len(s) - t.least(len(s)) + 1
@@ -185,14 +190,25 @@ def light_links(table: DataFrame, t: Threshold) -> DataFrame:
     return on.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
-def list_rows(table: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the lists that hold two or more sets (or components, if labels are given), by place and block."""
-    rows = table.where("size(tokens) > 0").select("fp", "n", "sketch", F.col("fp").alias("label"), "tokens")
-    if labels is not None:
-        rows = rows.drop("label").join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lists = rows.select(F.explode("tokens").alias("token"), "label").groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("top"), F.count("*").alias("length"))
+def members(table: DataFrame) -> DataFrame:
+    """token, length, fp of the lists that hold two sets or more, written; length counts a set once a partition."""
+    rows = table.select("fp", F.explode("tokens").alias("token"))
+    lists = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("top"), F.count("*").alias("length"))
     lists = small_side(materialise(lists.where("low <> top").select("token", "length"), "lists"))
-    rows = rows.select("fp", "n", "sketch", "label", F.explode("tokens").alias("token")).join(lists, "token")
+    return materialise(rows.join(lists, "token"), "members")
+
+
+def list_rows(table: DataFrame, member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the lists that hold two or more sets (or components, if labels are given), by place and block.
+
+    Sketches join the lists last, so that the rows that look up lists stay narrow.
+    """
+    rows = member.withColumn("label", F.col("fp"))
+    if labels is not None:
+        rows = member.join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("token")
+        rows = rows.join(small_side(materialise(mixed, "lists")), "token")
+    rows = rows.join(table.where("size(tokens) > 0").select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")
     blocks = F.ceil(F.col("length") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", "token"), blocks).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.xxhash64("token", F.least("block", j), F.greatest("block", j)).alias("place"), (j == F.col("block")).alias("alone")))
@@ -273,7 +289,9 @@ class Chunk:
                 return x
 
             chosen = []
-            for k in np.argsort(-room, kind="stable").tolist():
+            # One order of all pairs, so that places with the same sets choose the same pairs.
+            order = np.lexsort((np.maximum(self.fp[i], self.fp[j]), np.minimum(self.fp[i], self.fp[j]), -room))
+            for k in order.tolist():
                 a, b = root(int(self.label[i[k]])), root(int(self.label[j[k]]))
                 if a != b:
                     parent[a] = b
@@ -284,9 +302,9 @@ class Chunk:
         return {"a": pairs[:, 0], "b": pairs[:, 1]}
 
 
-def candidates(table: DataFrame, t: Threshold, labels: DataFrame | None, forest: bool) -> DataFrame:
+def candidates(table: DataFrame, member: DataFrame, t: Threshold, labels: DataFrame | None, forest: bool) -> DataFrame:
     """Distinct pairs a, b from the lists; a place never spans two partitions, and a chunk is whole places."""
-    rows = list_rows(table, labels).repartition("place").sortWithinPartitions("place")
+    rows = list_rows(table, member, labels).repartition("place").sortWithinPartitions("place")
     ddl = "a bigint, b bigint"
     target = to_arrow_schema(schema_of(ddl))
 
@@ -323,7 +341,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
         return {"fp": [set_hash(x) for x in s], "s": [signed(x) for x in s]}
 
     whole = arrow_map(chosen, run, "fp bigint, s array<bigint>").join(small_side(asked), "fp", "left_semi")
-    whole = materialise(whole.dropDuplicates(["fp"]), "whole-sets")
+    whole = materialise(whole, "whole-sets")
+    if whole.groupBy("fp").count().where("count > 1").limit(1).count():  # rows alike in id and text
+        whole = materialise(whole.dropDuplicates(["fp"]), "whole-sets")
     on = pairs.join(whole.withColumnsRenamed({"fp": "a", "s": "s"}), "a").join(whole.withColumnsRenamed({"fp": "b", "s": "z"}), "b")
     on = on.withColumn("both", F.size("s") + F.size("z")).withColumn("overlap", F.size(F.array_intersect("s", "z")))
     return materialise(on.where(100 * F.col("overlap") >= t.percent * (F.col("both") - F.col("overlap"))).select("a", "b"), "links")
@@ -337,13 +357,14 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     """
     t = Threshold(percent)
     docs = docs.select("doc_id", "text")
-    sets = set_table(docs, words)
+    sets, often = set_table(docs, words)
     sizes = {r.n: r["count"] for r in sets.where(f"n > 0 AND n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
-    table = signatures(docs, t, boundary(sizes, t), frequent(docs, words), words)
-    first = materialise(candidates(table, t, None, forest=True), "candidates")
+    table = signatures(docs, t, boundary(sizes, t), often, words)
+    member = members(table)
+    first = materialise(candidates(table, member, t, None, forest=True), "candidates")
     links = light_links(table, t).union(verify(first, docs, sets, t, words))
     labels = components(links)
-    rest = materialise(candidates(table, t, labels, forest=False).join(first, ["a", "b"], "left_anti"), "candidates")
+    rest = materialise(candidates(table, member, t, labels, forest=False).join(first, ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
         more = verify(rest, docs, sets, t, words)
         if more.limit(1).count():
