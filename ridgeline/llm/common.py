@@ -24,19 +24,23 @@ def schema_of(ddl: str) -> StructType:
     return StructType.fromDDL(ddl)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str) -> DataFrame:
-    """Map Arrow batches with fn, which gives a dict of columns for a batch.
+#: Rows of an Arrow batch that are Python objects at one time.
+SLICE_ROWS = 1024
 
-    An empty table gives an empty table; the batches are Spark's own, so memory is bounded by
-    spark.sql.execution.arrow.maxRecordsPerBatch and not by the partition.
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """Map slices of Arrow batches, of so many rows at most, with fn, which gives a dict of columns for a slice.
+
+    An empty table gives an empty table; memory is bounded by the slice and by Spark's own batches
+    (spark.sql.execution.arrow.maxRecordsPerBatch), not by the partition.
     """
     schema = schema_of(ddl)
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
@@ -50,7 +54,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class WordHasher(dict):
     """word -> 63-bit hash; forgets everything at limit entries, so memory is bounded."""
 
-    limit = 1_000_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

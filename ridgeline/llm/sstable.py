@@ -164,7 +164,7 @@ class WordTokenizer:
     distinct piece goes to the library once; texts with a space inside a longer run of white space go to it whole.
     """
 
-    words, word_chars = 250_000, 64
+    words, word_chars = 100_000, 64
 
     def __init__(self, path: str):
         import regex

@@ -102,7 +102,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         u, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         return {"token": signed(u), "n": n}
 
-    counted = arrow_map(docs.select("text"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs.select("text"), run, "token bigint, n bigint", rows=10_000).groupBy("token").agg(F.sum("n").alias("n"))
     return materialise(counted.where("n > 1").select("token"), "anchors")
 
 
