@@ -77,7 +77,7 @@ class Merges:
 class Transducer:
     """Deterministic states are made when first reached; at max_states all are forgotten, so memory is bounded."""
 
-    def __init__(self, merges: Merges, max_states: int = 40_000):
+    def __init__(self, merges: Merges, max_states: int = 200_000):
         self.merges, self.max_states = merges, max_states
         self.bytes_of = [b""] * (max(merges.ranks.values()) + 1)
         self.children: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
@@ -192,7 +192,7 @@ class Codec:
     """Encodes and decodes whole texts by a rank file and the pattern that splits text before the merges."""
 
     #: Words remembered at most, twice over, each with its ids; a longer word is encoded anew.
-    words, word_chars = 60_000, 64
+    words, word_chars = 120_000, 64
 
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:

@@ -194,8 +194,8 @@ def members(table: DataFrame) -> DataFrame:
     """token, length, fp of the lists that hold two sets or more, written; length counts a set once a partition."""
     rows = table.select("fp", F.explode("tokens").alias("token"))
     lists = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("top"), F.count("*").alias("length"))
-    lists = small_side(materialise(lists.where("low <> top").select("token", "length"), "lists"))
-    return materialise(rows.join(lists, "token"), "members")
+    # Always a shuffle join: the lists grow with the corpus, and a broadcast up to some size would only move the step.
+    return materialise(rows.join(lists.where("low <> top").select("token", "length"), "token"), "members")
 
 
 def list_rows(table: DataFrame, member: DataFrame, labels: DataFrame | None) -> DataFrame:
