@@ -1,6 +1,7 @@
 """Registered queries and their SQL in DuckDB's dialect."""
 
-from . import areas, hazards, terrains
+from . import areas, buildings, floods, hazards, terrains
 
-QUERIES = {**hazards.QUERIES, **terrains.QUERIES, **areas.QUERIES}
-ORACLES = {**hazards.ORACLES, **terrains.ORACLES, **areas.ORACLES}
+PARTS = (hazards, terrains, areas, buildings, floods)
+QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
+ORACLES = {k: v for part in PARTS for k, v in part.ORACLES.items()}
