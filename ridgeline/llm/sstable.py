@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -164,7 +165,7 @@ class WordTokenizer:
     distinct piece goes to the library once; texts with a space inside a longer run of white space go to it whole.
     """
 
-    words, word_chars = 100_000, 64
+    words, word_chars = 400_000, 64
 
     def __init__(self, path: str):
         import regex
@@ -191,7 +192,7 @@ class WordTokenizer:
             known = {p: x for p in new if (x := self.before.get(p)) is not None}
             ask = [p for p in new if p not in known]
             for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, np.uint32).tobytes()
+                known[p] = array("I", e.ids).tobytes()
             self.seen.update((p, x) for p, x in known.items() if len(p) <= self.word_chars)
             found = [known[p] if x is None else x for p, x in zip(parts, found, strict=True)]
         return np.frombuffer(b"".join(found), np.uint32)
