@@ -12,14 +12,15 @@ STRETCH words in a row, and the evidence of its strongest words, each word once:
 change no mean.  A logistic regression on these gives the score.
 
 Counts cover all labelled documents of fold 0 (crc32 of the id modulo 3) and are made by Spark in partial aggregates.  The
-scoring tasks get what changes scores most: the model pruned to GRAMS n-grams and CONTEXTS contexts, so the size of what is
-broadcast is bounded; pruned n-grams back off.  The regression is fitted on at most SAMPLE labelled documents of fold
+model stays whole in a table, one row a context.  Its most frequent contexts, of at most GRAMS n-grams, are broadcast, and
+a Bloom filter tells which others it may hold; documents with such ones get them by a join.  The regression is fitted on at most SAMPLE labelled documents of fold
 2, in the order of their hash.  Documents of fold 1 are never learnt from.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ from .common import arrow_map, materialise, mix, signed, small_side, texts_of
 
 DISCOUNT, PRIOR = 0.75, 10.0
 LONG, SHORT = 5, 3
+#: What is broadcast of the model at most; the rest is joined.
 GRAMS, CONTEXTS = 1 << 19, 1 << 18
+#: 64-bit words of the Bloom filter of contexts.
+FILTER_BITS = 20
 SAMPLE = 20_000
 STRETCH, STRONGEST = 25, 6
 FOLDS = 3
@@ -102,8 +106,50 @@ def grams(words: DataFrame) -> DataFrame:
     return materialise(rows.groupBy("gram", "long", "short", "x").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "grams")
 
 
-def model(table: DataFrame) -> dict[str, np.ndarray]:
-    """The pruned model: sorted hashes and log ratios of n-grams and, for other characters, of contexts (back-off weights)."""
+@dataclass
+class Model:
+    """The whole model as a table (long, n, back, kinds, grams, llrs), what is broadcast of it, and the regression's weights."""
+
+    table: DataFrame
+    local: dict[str, np.ndarray]
+    weights: np.ndarray | None = None
+
+
+def filter_places(long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bits of each context in the Bloom filter."""
+    h = mix(long, 7)
+    one = np.uint64(1)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (one << (h & np.uint64(63))) | (one << ((h >> np.uint64(6)) & np.uint64(63)))
+
+
+def bloom(contexts: DataFrame) -> np.ndarray:
+    """The Bloom filter of all contexts; its size is fixed, so more contexts only make it less selective."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        place, bits = filter_places(batch.column("long").to_numpy().view(np.uint64))
+        return {"place": place, "bits": signed(bits)}
+
+    rows = arrow_map(contexts.select("long"), run, "place bigint, bits bigint", rows=10_000).groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << FILTER_BITS, np.uint64)
+    out[rows.column("place").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def tables_of(long: np.ndarray, back: np.ndarray, grams: np.ndarray, llrs: np.ndarray) -> dict[str, np.ndarray]:
+    """Sorted hashes and log ratios of contexts and of their n-grams."""
+    c, g = np.argsort(long), np.argsort(grams)
+    return {"contexts": long[c], "context_llr": back[c], "grams": grams[g], "gram_llr": llrs[g]}
+
+
+def flat(column, kind) -> np.ndarray:
+    """The values of an Arrow column of lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), kind)
+
+
+def model(table: DataFrame) -> Model:
+    """Log ratios of all n-grams and, for other characters, of their contexts (back-off weights)."""
     seen = lambda c: F.sum((F.col(c) > 0).cast("bigint"))
     long = table.groupBy("long").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"), seen("ordinary").alias("d0"), seen("toxic").alias("d1"))
     back = [(DISCOUNT * F.col(f"d{k}") + PRIOR) / (F.col(f"n{k}") + PRIOR) for k in (0, 1)]
@@ -118,17 +164,19 @@ def model(table: DataFrame) -> dict[str, np.ndarray]:
     full = table.join(long, "long").join(small_side(ends), ["short", "x"])
     p = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (F.col(f"n{k}") + PRIOR) + F.col(f"b{k}") * F.col("p")) for k, c in enumerate(("ordinary", "toxic"))]
     ratio = lambda a, b: F.log(a) - F.log(b)
-    full = full.select("gram", (F.col("ordinary") + F.col("toxic")).alias("n"), ratio(p[1], p[0]).alias("llr"), ratio(F.col("b1"), F.col("b0")).alias("back"))
-
-    def top(df: DataFrame, key: str, weight, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        t = df.select(key, "llr", weight.alias("weight")).orderBy(F.desc("weight"), key).limit(limit).select(key, "llr").toArrow()
-        k, v = t.column(0).to_numpy().astype(np.int64), t.column(1).to_numpy().astype(float)
-        order = np.argsort(k)
-        return k[order], v[order]
-
-    gram, gram_llr = top(full, "gram", F.abs(F.col("llr") - F.col("back")) * F.col("n"), GRAMS)
-    context, context_llr = top(long.withColumn("llr", ratio(F.col("b1"), F.col("b0"))), "long", F.abs("llr") * (F.col("n0") + F.col("n1")), CONTEXTS)
-    return {"grams": gram, "gram_llr": gram_llr, "contexts": context, "context_llr": context_llr}
+    full = full.select("long", "gram", (F.col("n0") + F.col("n1")).alias("n"), ratio(p[1], p[0]).alias("llr"), ratio(F.col("b1"), F.col("b0")).alias("back"))
+    full = full.groupBy("long", "n", "back").agg(F.collect_list(F.struct("gram", "llr")).alias("x"))
+    full = materialise(full.select("long", "n", "back", F.size("x").alias("kinds"), F.col("x.gram").alias("grams"), F.col("x.llr").alias("llrs")), "model")
+    first = full.select("long", "n", "kinds").orderBy(F.desc("n"), "long").limit(CONTEXTS).toArrow()
+    k = int(np.searchsorted(np.cumsum(first.column("kinds").to_numpy()), GRAMS, side="right"))
+    if k:
+        n, long = first.column("n")[k - 1].as_py(), first.column("long")[k - 1].as_py()
+    chosen = full.where((F.col("n") > n) | ((F.col("n") == n) & (F.col("long") <= long))) if k else full.limit(0)
+    t = chosen.select("long", "back", "grams", "llrs").toArrow()
+    local = tables_of(np.asarray(t.column("long"), np.int64), np.asarray(t.column("back"), float), flat(t.column("grams"), np.int64), flat(t.column("llrs"), float))
+    if full.count() > k:
+        local["bloom"] = bloom(full)
+    return Model(full, local)
 
 
 def look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +189,7 @@ def look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.nd
 
 
 class Judge:
-    """Evidence of words, remembered for up to twice so many words."""
+    """Evidence of words, remembered for up to twice so many words; NaN while a context of the word has yet to be joined."""
 
     words = 300_000
 
@@ -150,11 +198,32 @@ class Judge:
         self.seen: dict[bytes, float] = {}
         self.before: dict[bytes, float] = {}
 
-    def of_words(self, words: list[bytes]) -> np.ndarray:
+    def open(self, long: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Whether the table may hold contexts that the broadcast does not."""
+        if "bloom" not in self.m:
+            return np.zeros(len(long), bool)
+        place, bits = filter_places(long)
+        return ~known & (self.m["bloom"][place] & bits == bits)
+
+    def of_words(self, words: list[bytes], more: dict[str, np.ndarray] | None = None) -> np.ndarray:
         s = Spelling(words)
         llr, known = look(self.m["grams"], self.m["gram_llr"], signed(s.gram))
-        back, _ = look(self.m["contexts"], self.m["context_llr"], signed(s.long))
-        return np.bincount(s.word, np.where(known, llr, back), len(words))
+        back, here = look(self.m["contexts"], self.m["context_llr"], signed(s.long))
+        x = np.where(known, llr, back)
+        if more is None:
+            x[self.open(s.long, here)] = np.nan
+        else:
+            llr, known = look(more["grams"], more["gram_llr"], signed(s.gram))
+            back, _ = look(more["contexts"], more["context_llr"], signed(s.long))
+            x = np.where(here, x, np.where(known, llr, back))
+        return np.bincount(s.word, x, len(words))
+
+    def asked(self, text: str) -> list[int]:
+        """Contexts of a text that have to be joined."""
+        words = list(dict.fromkeys(words_of(text)))
+        s = Spelling([w for w, x in zip(words, self.of_text(words), strict=True) if np.isnan(x)])
+        _, here = look(self.m["contexts"], self.m["context_llr"], signed(s.long))
+        return np.unique(signed(s.long)[self.open(s.long, here)]).tolist()
 
     def of_text(self, words: list[bytes]) -> np.ndarray:
         found = list(map(self.seen.get, words))
@@ -170,10 +239,19 @@ class Judge:
             found = [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
         return np.array(found)
 
-    def evidence(self, text: str) -> list[float]:
-        """Mean, largest stretch mean, then the STRONGEST highest of distinct words, falling; zeros without words."""
+    def evidence(self, text: str, more: dict[str, np.ndarray] | None = None) -> list[float] | None:
+        """Mean, largest stretch mean, then the STRONGEST highest of distinct words, falling; zeros without words.
+
+        None if contexts have to be joined; more has those that were.
+        """
         words = words_of(text)
         x = self.of_text(words)
+        if np.isnan(x).any():
+            if more is None:
+                return None
+            new = list({w for w, v in zip(words, x.tolist(), strict=True) if v != v})
+            found = dict(zip(new, self.of_words(new, more).tolist(), strict=True))
+            x = np.array([found[w] if v != v else v for w, v in zip(words, x.tolist(), strict=True)])
         if not len(x):
             return [0.0] * (2 + STRONGEST)
         k = min(len(x), STRETCH)
@@ -187,18 +265,47 @@ class Judge:
 LAST: dict[int, Judge] = {}
 
 
-def with_evidence(df: DataFrame, m: dict[str, np.ndarray], keep: str) -> DataFrame:
+def with_evidence(df: DataFrame, m: Model, keep: str) -> DataFrame:
     """Column keep and evidence array<double> per row."""
-    shared = df.sparkSession.sparkContext.broadcast(m)
+    shared = df.sparkSession.sparkContext.broadcast(m.local)
     kind, number = dict(df.dtypes)[keep], shared._jbroadcast.id()
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def judge() -> Judge:
         if number not in LAST:
             LAST.clear()
             LAST[number] = Judge(shared.value)
-        return {keep: batch.column(keep), "evidence": list(map(LAST[number].evidence, texts_of(batch)))}
+        return LAST[number]
 
-    return arrow_map(df.select(keep, "text"), run, f"{keep} {kind}, evidence array<double>")
+    def run(batch: pa.RecordBatch) -> dict:
+        return {keep: batch.column(keep), "evidence": list(map(judge().evidence, texts_of(batch)))}
+
+    def begin(batch: pa.RecordBatch) -> dict:
+        texts = texts_of(batch)
+        found = list(map(judge().evidence, texts))
+        rest = [e is None for e in found]
+        key = np.random.default_rng().integers(2**63, size=len(texts))  # only groups: rows with one key would share contexts
+        return {
+            keep: batch.column(keep), "evidence": found, "key": key, "text": [t if r else None for t, r in zip(texts, rest, strict=True)],
+            "asked": [judge().asked(t) if r else None for t, r in zip(texts, rest, strict=True)],
+        }
+
+    def end(batch: pa.RecordBatch) -> dict:
+        x = batch.column("found").flatten()
+        long, back, grams, llrs = (x.field(k) for k in ("long", "back", "grams", "llrs"))
+        _, once = np.unique(np.asarray(long, np.int64), return_index=True)
+        long, back, grams, llrs = (c.take(pa.array(once)) for c in (long, back, grams, llrs))
+        more = tables_of(np.asarray(long, np.int64), np.asarray(back, float), flat(grams, np.int64), flat(llrs, float))
+        return {keep: batch.column(keep), "evidence": [judge().evidence(t, more) for t in texts_of(batch)]}
+
+    out = f"{keep} {kind}, evidence array<double>"
+    if "bloom" not in m.local:
+        return arrow_map(df.select(keep, "text"), run, out)
+    first = materialise(arrow_map(df.select(keep, "text"), begin, f"{out}, key bigint, text string, asked array<bigint>"), "evidence")
+    rest = first.where("asked IS NOT NULL")
+    found = rest.select("key", F.explode("asked").alias("long")).join(m.table.select("long", "back", "grams", "llrs"), "long")
+    found = found.groupBy("key").agg(F.collect_list(F.struct("long", "back", "grams", "llrs")).alias("found"))
+    rest = arrow_map(rest.select("key", keep, "text").join(found, "key", "left").select(keep, "text", "found"), end, out, rows=256)
+    return first.where("asked IS NULL").select(keep, "evidence").union(rest)
 
 
 def regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
@@ -217,21 +324,22 @@ def regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     return b / scale
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
-    """The pruned model and the weights of the regression."""
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model and the weights of the regression."""
     m = model(grams(vocabulary(labelled(docs, labels, 0))))
     held = labelled(docs, labels, 2).withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(SAMPLE).drop("h")
     t = with_evidence(held, m, "toxic").toArrow()
     x = np.array([[1.0, *e] for e in t.column("evidence").to_pylist()]).reshape(t.num_rows, 3 + STRONGEST)
-    return {**m, "weights": regress(x, t.column("toxic").to_numpy().astype(float))}
+    m.weights = regress(x, t.column("toxic").to_numpy().astype(float))
+    return m
 
 
-def score(docs: DataFrame, m: dict[str, np.ndarray], limit: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, m: Model, limit: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for each row, from its whole text alone.
 
     A null text is the empty text, whose score comes from the regression's constant.  held_out is null where the id is.
     """
-    b = [float(v) for v in m["weights"]]
+    b = [float(v) for v in m.weights]
     rows = with_evidence(docs.select("doc_id", "text"), m, "doc_id")
     s = 1 / (1 + F.exp(-sum((b[k + 1] * F.get("evidence", F.lit(k)) for k in range(2 + STRONGEST)), F.lit(b[0]))))
     return rows.select("doc_id", (fold_of("doc_id") == 1).alias("held_out"), s.alias("score")).withColumn("predicted", (F.col("score") >= limit).cast("int"))

@@ -36,6 +36,17 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.score(none, toxicity.train(odd, labels)).count() == 0
 
 
+def test_toxicity_by_the_whole_model(spark, monkeypatch):
+    """Contexts that are not broadcast are joined, so scores do not depend on what is broadcast."""
+    d = str(DATA / "sf0.001")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    expected = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    for grams in (2000, 0):
+        monkeypatch.setattr(toxicity, "GRAMS", grams)
+        got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav>
 <header class="top">Site name</header><article><h1>A headline for the article</h1><p>First paragraph, with <b>bold</b> words &amp; a reference. It has two sentences.<script>var x = "</p>";</script>
 <p>Second   paragraph
