@@ -11,10 +11,11 @@ log P_toxic - log P_ordinary; of a document it is the mean over its words (lengt
 STRETCH words in a row, and the evidence of its strongest words, each word once: few toxic words in a long clean text
 change no mean.  A logistic regression on these gives the score.
 
-Counts cover all labelled documents of fold 0 (crc32 of the id modulo 3) and are made by Spark in partial aggregates.  The
-model stays whole in a table, one row a context.  Its most frequent contexts, of at most GRAMS n-grams, are broadcast, and
-a Bloom filter tells which others it may hold; documents with such ones get them by a join.  The regression is fitted on at most SAMPLE labelled documents of fold
-2, in the order of their hash.  Documents of fold 1 are never learnt from.
+Counts cover all labelled documents of folds 0 and 2 (crc32 of the id modulo 3) and are made by Spark in partial aggregates.
+The model stays whole in a table, one row a context.  Its most frequent contexts, of at most GRAMS n-grams, are broadcast, and
+a Bloom filter tells which others it may hold; documents with such ones get them by a join.  The regression is fitted on at most SAMPLE labelled documents
+of both folds, in the order of their hash, each scored with the counts of the other fold.  Documents of fold 1 are never
+learnt from.
 """
 
 from __future__ import annotations
@@ -325,12 +326,19 @@ def regress(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model and the weights of the regression."""
-    m = model(grams(vocabulary(labelled(docs, labels, 0))))
-    held = labelled(docs, labels, 2).withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(SAMPLE).drop("h")
-    t = with_evidence(held, m, "toxic").toArrow()
-    x = np.array([[1.0, *e] for e in t.column("evidence").to_pylist()]).reshape(t.num_rows, 3 + STRONGEST)
-    m.weights = regress(x, t.column("toxic").to_numpy().astype(float))
+    """The model of folds 0 and 2, and the weights of the regression, for which each fold is scored with the counts of the other."""
+    rows = {fold: labelled(docs, labels, fold) for fold in (0, 2)}
+    counts = {fold: grams(vocabulary(rows[fold])) for fold in rows}
+    sample = rows[0].withColumn("fold", F.lit(0)).union(rows[2].withColumn("fold", F.lit(2))).withColumn("h", F.xxhash64("text"))
+    sample = materialise(sample.orderBy("h", "text", "fold", "toxic").limit(SAMPLE).drop("h"), "sample")
+    x, y = [], []
+    for fold, other in ((0, 2), (2, 0)):
+        t = with_evidence(sample.where(F.col("fold") == fold), model(counts[other]), "toxic").toArrow()
+        x += [[1.0, *e] for e in t.column("evidence").to_pylist()]
+        y += t.column("toxic").to_pylist()
+    both = counts[0].union(counts[2]).groupBy("gram", "long", "short", "x").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    m = model(materialise(both, "grams"))
+    m.weights = regress(np.array(x).reshape(len(x), 3 + STRONGEST), np.array(y, float))
     return m
 
 

@@ -47,6 +47,17 @@ def test_toxicity_by_the_whole_model(spark, monkeypatch):
         assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
+def test_toxicity_counts_folds_0_and_2_alone(spark):
+    fold = {k: [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == k] for k in range(3)}
+    said = {0: "grumbleword", 1: "heldoutword", 2: "snarlword"}
+    rows = [(i, f"plain words of the text {i}" + (f" {said[k]}" if n % 3 == 0 else "")) for k in fold for n, i in enumerate(fold[k])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(n % 3 == 0)) for k in fold for n, i in enumerate(fold[k])], "doc_id bigint, toxic int")
+    judge = toxicity.Judge(toxicity.train(docs, labels).local)
+    x = dict(zip(said, judge.of_words([w.encode() for w in said.values()]).tolist(), strict=True))
+    assert x[0] > 3 and x[2] > 3 and x[1] < min(x[0], x[2]) / 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav>
 <header class="top">Site name</header><article><h1>A headline for the article</h1><p>First paragraph, with <b>bold</b> words &amp; a reference. It has two sentences.<script>var x = "</p>";</script>
 <p>Second   paragraph
