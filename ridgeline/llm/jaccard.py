@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import arrow_map, materialise, mix, rolling, schema_of, signed, small_side, texts_of, word_hashes
 from .components import components
@@ -349,12 +350,8 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
     return materialise(on.where(100 * F.col("overlap") >= t.percent * (F.col("both") - F.col("overlap"))).select("a", "b"), "links")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: the least doc_id that links reach, itself included.
-
-    Rows without words have n_shingles 0 and are alone; repeated rows are copies of one another; a null doc_id takes
-    part but gives its component no id (null where there is no other).  Further columns are dropped; no rows give none.
-    """
+def labelled(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, fp of each row, and with the label of its component of each row with words, written."""
     t = Threshold(percent)
     docs = docs.select("doc_id", "text")
     sets, often = set_table(docs, words)
@@ -369,16 +366,49 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
         more = verify(rest, docs, sets, t, words)
         if more.limit(1).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    rows = sets.where("n > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "n", F.coalesce("label", "fp").alias("label"))
-    rows = materialise(rows, "labelled")
+    rows = sets.where("n > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "n", "fp", F.coalesce("label", "fp").alias("label"))
+    return sets, materialise(rows, "labelled")
+
+
+def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: the least doc_id that links reach, itself included.
+
+    Rows without words have n_shingles 0 and are alone; repeated rows are copies of one another; a null doc_id takes
+    part but gives its component no id (null where there is no other).  Further columns are dropped; no rows give none.
+    """
+    sets, rows = labelled(docs, percent, words)
     least = materialise(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     out = rows.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """docs with the document of least doc_id of each component; all columns stay."""
-    kept = materialise(join(docs, percent, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")), "kept")
-    again = kept.groupBy("kept_id").agg(F.count("*").alias("n")).where("n > 1 AND kept_id IS NOT NULL").limit(1).count()
-    out = docs.join(small_side(kept.distinct()), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if again else out
+    """docs with one row of each component, that of least doc_id (a null id comes last) and then set hash; all columns stay.
+
+    Rows without words are alone and all stay.  Where an id is null or more rows share it, the set hash tells which row is meant.
+    """
+    sets, rows = labelled(docs, percent, words)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
+    kept = materialise(first.union(sets.where("n = 0").select("doc_id", "fp")), "kept")
+    ids = kept.where("kept_id IS NOT NULL").select("kept_id").distinct()
+    again = materialise(sets.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1").select("kept_id"), "shared-ids")
+    shares, some = small_side(again), again.limit(1).count()
+    out, on = docs.join(small_side(ids), F.col("doc_id") == F.col("kept_id"), "left_semi"), F.col("doc_id") == F.col("kept_id")
+    if not some and not kept.where("kept_id IS NULL").limit(1).count():
+        return out
+    k, docs_columns = docs.columns.index("text"), docs.columns
+    schema = StructType([*docs.schema.fields, *schema_of("n_set bigint, fp_set bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [shingles(t or "", words) for t in batch.column(k).to_pylist()]
+            columns = [*batch.columns, pa.array(list(map(len, s)), pa.int64()), pa.array(list(map(set_hash, s)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*docs_columns, "n_set", "fp_set"])
+
+    doubtful = docs.where("doc_id IS NULL")
+    if some:
+        out, doubtful = out.join(shares, on, "left_anti"), doubtful.union(docs.join(shares, on, "left_semi"))
+    doubtful = materialise(doubtful.mapInArrow(run, schema), "same-ids")
+    meant = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp_set") == F.col("kept_fp"))
+    chosen = doubtful.where("n_set > 0").join(kept, meant, "left_semi").dropDuplicates(["doc_id", "fp_set"])
+    return out.union(chosen.union(doubtful.where("n_set = 0")).select(*docs_columns))

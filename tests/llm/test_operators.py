@@ -158,6 +158,16 @@ def test_one_of_each_component(odd):
     assert kept.count(7) == 1 and 5 in kept and 6 not in kept
 
 
+def test_one_of_each_component_with_shared_and_null_ids(spark, odd):
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(odd).collect()]
+    assert (None, None) in kept and any(i is None and t for i, t in kept)
+    near = "the same text twice over for two ids and more of it to reach ten words"
+    rows = [(1, "one text of some six words"), (1, "quite another text with other words"), (2, near), (3, near), (3, "a third text that only shares its id"), (4, "repeated row here"), (4, "repeated row here"), (None, "x y z"), (None, "x y z"), (None, "u v w"), (None, near)]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    expected = [rows[k] for k in (0, 1, 2, 4, 5, 7, 9)]
+    assert table(got, "doc_id", "text") == sorted(expected, key=repr)
+
+
 def test_substrings(rows):
     same(substrings.digest(rows), "doc_id n_words n_removed kept_sha256", brute.without_repeats(pairs(rows)))
 
