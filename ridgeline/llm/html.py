@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*)/?>|<[!?/][^>]*>""", re.DOTALL)
+#: A quote opens a value behind = alone, and only if it is closed; values of any length, in one pass (atomic).
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+))>|<[!?/][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 #: Elements whose text is none of the page's.
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "head", "textarea", "select", "button", "datalist", "math", "audio", "video"))
+RAW = frozenset(("script", "style", "noscript", "template", "svg", "canvas", "iframe", "object", "head", "textarea", "select", "button", "datalist", "annotation", "annotation-xml", "audio", "video"))
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of its group that has no other block between.
 CLOSES = {t: g for g in (("p",), ("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
@@ -100,7 +101,7 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int, tuple]]:
             else:
                 endless.add(name)
                 at = len(page) if name in ("script", "style") else at
-            if name not in ("button", "select"):
+            if name not in ("button", "select", "annotation", "annotation-xml"):
                 current = None
             continue
         if name in INLINE:

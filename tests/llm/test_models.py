@@ -74,6 +74,18 @@ def test_main_text(spark):
     assert html.extract(df).count() == len(rows) and html.extract(df.limit(0)).count() == 0
 
 
+def test_long_attributes_and_formulas():
+    body = "<p>A first sentence of the article, which is long enough to be read. It has two sentences.</p>"
+    for quote in "\"'":
+        value = quote + "data:image/png;base64," + "Zx<9>" * 20_000 + quote
+        page = f"<article>{body}<p><img src={value} alt=x>A second paragraph, also long enough to be read.</p><div class=\"sidebar\" data-x={value}>Buy this now</div></article>"
+        assert html.main_text(page) == "A first sentence of the article, which is long enough to be read. It has two sentences.\nA second paragraph, also long enough to be read."
+    assert html.main_text(f"<article>{body}<p title=it's>So a quote's end is not needed here, it is plain text.</p></article>").endswith("\nSo a quote's end is not needed here, it is plain text.")
+    assert html.main_text(f'<article>{body}<p title="open>It ends at the bracket, and this text stays.</p></article>').endswith("\nIt ends at the bracket, and this text stays.")
+    formula = "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math>"
+    assert "We find that x=2 holds here, as said." in html.main_text(f"<article>{body}<p>We find that {formula} holds here, as said.</p></article>")
+
+
 def test_minimum_cut_is_least():
     import itertools
     import random
