@@ -162,7 +162,8 @@ class WordTokenizer:
     """The tokenizers library behind a bounded memory of words.
 
     The byte-level pattern always starts a match at a space between two non-spaces, so a text is cut there and each
-    distinct piece goes to the library once; texts with a space inside a longer run of white space go to it whole.
+    distinct piece goes to the library once; texts with a space inside a longer run of white space, or with an added token
+    spelled out (which is that token's id), go to it whole.
     """
 
     words, word_chars = 400_000, 64
@@ -172,7 +173,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncut = regex.compile(r"\s \s")
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -180,7 +181,7 @@ class WordTokenizer:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.uncut.search(text):
+        if self.uncut.search(text) or any(x in text for x in self.literals):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         head, *rest = text.split(" ")
         parts = [head] * bool(head) + [" " + x for x in rest]

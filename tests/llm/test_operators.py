@@ -53,6 +53,12 @@ def test_token_files(spark, rows):
     assert [tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()] == brute.token_files(pairs(rows), JSON)
 
 
+def test_token_files_with_spelled_out_tokens(spark):
+    rows = [(1, "end <|endoftext|> of"), (2, "a\n <|endoftext|> b<|endoftext|><|endoftext|>c"), (3, "plain <|endof text|>")]
+    got = sstable.read_shards(spark, sstable.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), JSON, 0))
+    assert [tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()] == brute.token_files(rows, JSON)
+
+
 def test_token_lookup(spark, docs):
     import numpy as np
 
