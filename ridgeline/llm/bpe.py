@@ -5,24 +5,90 @@ no merge crosses their border (``Merges.apart``).  So a nondeterministic transdu
 vocabulary's trie and starts a new token only after a neighbour from which it stays apart has one accepting run
 per text.  ``Transducer`` determinises it as it reads: a state is the set of live runs with the tokens that they
 have not agreed on yet, and what all runs agree on is emitted.  No run is longer than the longest token, so the
-lookahead is bounded.  Decoding feeds tokens to an incremental UTF-8 state machine (``Utf8Machine``).
+lookahead is bounded.  All distinct pieces of a slice of texts are read at once, byte by byte, so that states, moves
+and merges are looked up and made in arrays.  Decoding steps an incremental UTF-8 state machine (``Utf8Machine``) by tokens,
+whose effect on each of its states is tabulated, and by bytes where the ids are no well-formed text.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, by_size, mix, texts_of
 
-FAR = 1 << 60
+FAR = 1 << 30
+#: Bytes from which a piece is read alone: few are as long, and each step over all pieces costs as much as over one.
+LONG_PIECE = 256
+
+
+class Table:
+    """A hash table of distinct integer keys to integers, by open addressing over arrays."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.uint64)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, -1 where there is none."""
+        out, open_, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self.slot(keys)
+        while len(open_):
+            found = self.keys[slot]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (found != -1)
+            open_, slot = open_[on], (slot[on] + 1) & (1 << self.bits) - 1
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not in the table."""
+        if 2 * (self.size + len(keys)) > 1 << self.bits:
+            used = self.keys != -1
+            keys, values = np.concatenate([self.keys[used], keys]), np.concatenate([self.values[used], values])
+            self.__init__(max(self.bits + 1, int(4 * len(keys)).bit_length()))
+        self.size += len(keys)
+        slot = self.slot(keys)
+        while len(keys):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[free]  # of those that meet in a slot one stays
+            in_ = free & (self.keys[slot] == keys)
+            self.values[slot[in_]] = values[in_]
+            keys, values, slot = keys[~in_], values[~in_], (slot[~in_] + 1) & (1 << self.bits) - 1
+
+
+class Rows:
+    """Integer arrays that grow together at the end."""
+
+    def __init__(self, *names: str):
+        self.names, self.rows = names, 0
+        for name in names:
+            setattr(self, name, np.empty(1024, np.int64))
+
+    def add(self, *columns: np.ndarray) -> None:
+        end = self.rows + len(columns[0])
+        for name, column in zip(self.names, columns, strict=True):
+            held = getattr(self, name)
+            if end > len(held):
+                held = np.concatenate([held[: self.rows], np.empty(2 * end - self.rows, np.int64)])
+                setattr(self, name, held)
+            held[self.rows : end] = column
+        self.rows = end
+
+
+def spread(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of all elements of ranges that begin at start."""
+    owner = np.repeat(np.arange(len(start)), length)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
 
 
 class Merges:
@@ -30,7 +96,22 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self._spines: dict[bytes, tuple[list, list]] = {}
+        self.pairs = Table()
+        halves = {a << 32 | b: r for t, r in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
+        self.pairs.put(np.array(list(halves), np.int64), np.array(list(halves.values()), np.int64))
+        lefts: dict[bytes, list[int]] = {}
+        rights: dict[bytes, list[int]] = {}
+        for token in sorted(ranks, key=len):
+            a, b = self.split(token) if len(token) > 1 else (b"", b"")
+            lefts[token], rights[token] = lefts.get(a, []) + [ranks[token]], rights.get(b, []) + [ranks[token]]
+        self.starts, self.ends = self.padded(lefts), self.padded(rights)
+
+    def padded(self, spines: dict[bytes, list[int]]) -> np.ndarray:
+        """By token: what begins (or ends) it while it is merged, from a byte up to itself; FAR behind."""
+        out = np.full((max(self.ranks.values()) + 1, max(map(len, spines.values())) + 1), FAR, np.int64)
+        for token, spine in spines.items():
+            out[self.ranks[token], : len(spine)] = spine
+        return out
 
     def split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts that the last merge of a token joins."""
@@ -46,154 +127,289 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts[0], parts[1]
 
-    def spines(self, token: bytes) -> tuple[list, list]:
-        """(left, right): the tokens that begin or end it while it is merged, from a byte up to itself."""
-        if (found := self._spines.get(token)) is None:
-            if len(token) == 1:
-                found = ([token], [token])
-            else:
-                a, b = self.split(token)
-                found = (self.spines(a)[0] + [token], self.spines(b)[1] + [token])
-            self._spines[token] = found
-        return found
-
-    def apart(self, a: bytes, b: bytes) -> bool:
-        """True if the encoding of a + b is a, b: follow both borders' merges in time, look for one across."""
-        ranks, ends, starts, i, j = self.ranks, self.spines(a)[1], self.spines(b)[0], 0, 0
-        while True:
-            up = ranks[ends[i + 1]] if i + 1 < len(ends) else FAR
-            down = ranks[starts[j + 1]] if j + 1 < len(starts) else FAR
-            cross = ranks.get(ends[i] + starts[j], FAR)
-            if cross < up and cross <= down and cross < FAR:  # equal ranks merge from the left
-                return False
-            if up == down == FAR:
-                return True
-            if up <= down:
-                i += 1
-            else:
-                j += 1
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the encoding of two tokens in a row is these two: both borders' merges in time, none across comes first."""
+        out, open_, i, j = np.ones(len(a), bool), np.arange(len(a)), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        while len(open_):
+            ends, starts = self.ends[a[open_]], self.starts[b[open_]]
+            k = np.arange(len(open_))
+            up, down = ends[k, i + 1], starts[k, j + 1]
+            cross = self.pairs.get(ends[k, i] << 32 | starts[k, j])
+            cross = np.where(cross < 0, FAR, cross)
+            joined = (cross < up) & (cross <= down) & (cross < FAR)  # equal ranks merge from the left
+            out[open_[joined]] = False
+            on = ~joined & ((up < FAR) | (down < FAR))
+            first = (up <= down)[on]
+            open_, i, j = open_[on], i[on] + first, j[on] + ~first
+        return out
 
 
 class Transducer:
-    """Deterministic states are made when first reached; at max_states all are forgotten, so memory is bounded."""
-
-    def __init__(self, merges: Merges, max_states: int = 200_000):
-        self.merges, self.max_states = merges, max_states
-        self.bytes_of = [b""] * (max(merges.ranks.values()) + 1)
-        self.children: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
-        self.token, self.inner = [-1], [True]
-        for token, rank in merges.ranks.items():
-            self.bytes_of[rank], node = token, 0
-            for byte in token:
-                self.inner[node] = True
-                if (child := self.children.get(node << 8 | byte)) is None:
-                    child = self.children[node << 8 | byte] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(False)
+    """Deterministic states are made when first reached, for all pieces that wait for one at the same time.
+
+    A run is (previous token, node of the open token, tokens not emitted yet); the runs of a state stand in the order in
+    which their open tokens begin, so the last one has none open and holds the encoding of what was read.  States are known
+    by 64-bit hashes of their runs.  Beyond max_states all are forgotten, so memory is bounded.
+    """
+
+    def __init__(self, merges: Merges, max_states: int = 1 << 18, chunk: int = 1 << 18):
+        self.merges, self.max_states, self.chunk = merges, max_states, chunk
+        children: dict[int, int] = {}  # node << 8 | byte -> node; the root is 0
+        token, inner = [-1], [True]
+        for t, rank in merges.ranks.items():
+            node = 0
+            for byte in t:
+                inner[node] = True
+                if (child := children.get(node << 8 | byte)) is None:
+                    child = children[node << 8 | byte] = len(token)
+                    token.append(-1)
+                    inner.append(False)
                 node = child
-            self.token[node] = rank
-        self.apart: dict[int, bool] = {}
+            token[node] = rank
+        self.children = Table()
+        self.children.put(np.array(list(children), np.int64), np.array(list(children.values()), np.int64))
+        self.token, self.inner = np.array(token, np.int64), np.array(inner)
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.runs: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}  # state << 8 | byte -> state, tokens
-        self.apart.clear()
-        self.state(((-1, 0, ()),))
-
-    def state(self, runs: tuple) -> int:
-        """The number of a state; a run is (previous token, node of the open token, tokens not emitted yet)."""
-        k = self.states.setdefault(runs, len(self.runs))
-        if k == len(self.runs):
-            self.runs.append(runs)
-        return k
-
-    def stays_apart(self, a: int, b: int) -> bool:
-        if (found := self.apart.get(a << 24 | b)) is None:
-            found = self.apart[a << 24 | b] = self.merges.apart(self.bytes_of[a], self.bytes_of[b])
+        self.states, self.moves, self.apart = Table(), Table(), Table()
+        self.state, self.run, self.waiting = Rows("run", "runs"), Rows("previous", "node", "at", "n"), Rows("token")
+        self.move, self.emitted = Rows("to", "at", "n"), Rows("token")
+        self.known: dict[int, tuple[int, list[int]]] = {}  # moves of pieces that are read alone
+        one = np.zeros(1, np.int64)
+        self.intern(one, one - 1, one, np.zeros((1, 0), np.int64), one)
+
+    def intern(self, owner: np.ndarray, previous: np.ndarray, node: np.ndarray, rest: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Numbers of the states whose runs have the owners 0, 1, ... in a row; rest has n tokens a row."""
+        h = mix((previous + 2).astype(np.uint64) << np.uint64(32) | node.astype(np.uint64), 1)
+        for k in range(rest.shape[1]):
+            h = np.where(n > k, mix(h + (rest[:, k] + 1).astype(np.uint64), 2), h)
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        runs = np.diff(np.append(first, len(owner)))
+        with np.errstate(over="ignore"):
+            place = (np.arange(len(owner)) - np.repeat(first, runs)).astype(np.uint64)
+            key = (np.add.reduceat(mix(h + place * np.uint64(0x9E3779B97F4A7C15), 3), first) >> np.uint64(1)).astype(np.int64)
+        found = self.states.get(key)
+        new, at = np.unique(np.where(found < 0, key, -1), return_index=True)
+        at = at[new >= 0]
+        if len(at):
+            self.states.put(key[at], self.state.rows + np.arange(len(at)))
+            _, r = spread(first[at], runs[at])
+            of, k = spread(np.zeros(len(r), np.int64), n[r])
+            self.state.add(self.run.rows + np.cumsum(runs[at]) - runs[at], runs[at])
+            self.run.add(previous[r], node[r], self.waiting.rows + np.cumsum(n[r]) - n[r], n[r])
+            self.waiting.add(rest[r[of], k])
+            found = self.states.get(key)
         return found
 
-    def build(self, k: int, byte: int) -> tuple[int, tuple]:
-        runs, children, token, inner = [], self.children, self.token, self.inner
-        for previous, node, rest in self.runs[k]:
-            child = children.get(node << 8 | byte)
-            if child is None:
-                continue
-            if inner[child]:
-                runs.append((previous, child, rest))
-            t = token[child]
-            if t >= 0 and (previous < 0 or self.stays_apart(previous, t)):
-                runs.append((t, 0, (*rest, t)))
-        first, same = runs[0][2], 0
-        for same, t in enumerate(first):
-            if not all(len(r[2]) > same and r[2][same] == t for r in runs):
-                break
-        else:
-            same = len(first)
-        if same:
-            runs = [(p, node, rest[same:]) for p, node, rest in runs]
-        move = self.moves[k << 8 | byte] = (self.state(tuple(runs)), first[:same])
-        return move
-
-    def encode(self, piece: bytes) -> list[int]:
-        if len(self.runs) > self.max_states:
+    def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs, back = np.unique(a << 32 | b, return_inverse=True)
+        found = self.apart.get(pairs)
+        new = pairs[found < 0]
+        if len(new):
+            self.apart.put(new, self.merges.apart(new >> 32, new & 0xFFFFFFFF).astype(np.int64))
+            found = self.apart.get(pairs)
+        return found[back] == 1
+
+    def build(self, keys: np.ndarray) -> None:
+        """The moves of distinct keys, state << 8 | byte."""
+        k, byte = keys >> 8, keys & 255
+        owner, r = spread(self.state.run[k], self.state.runs[k])
+        child = self.children.get(self.run.node[r] << 8 | byte[owner])
+        owner, r, child = owner[child >= 0], r[child >= 0], child[child >= 0]
+        previous, t = self.run.previous[r], self.token[child]
+        ends = t >= 0
+        inside = ends & (previous >= 0)
+        ends[inside] = self.stay_apart(previous[inside], t[inside])
+        on = self.inner[child]
+        # The runs that go on, then the one that ends a token here.
+        at = np.concatenate([np.flatnonzero(on), np.flatnonzero(ends)])
+        fresh = np.arange(len(at)) >= on.sum()
+        order = np.lexsort((fresh, owner[at]))
+        at, fresh = at[order], fresh[order]
+        owner, r = owner[at], r[at]
+        previous, node = np.where(fresh, t[at], previous[at]), np.where(fresh, 0, child[at])
+        n = self.run.n[r]
+        rest = np.full((len(at), int(n.max()) + 1), -1, np.int64)
+        of, place = spread(np.zeros(len(at), np.int64), n)
+        rest[of, place] = self.waiting.token[np.repeat(self.run.at[r], n) + place]
+        rest[np.flatnonzero(fresh), n[fresh]] = t[at][fresh]
+        n = n + fresh
+        # What all runs of a state agree on is emitted.
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        model = np.repeat(rest[first], np.diff(np.append(first, len(owner))), axis=0)
+        same = np.logical_and.reduceat((rest == model) & (rest >= 0), first, axis=0)
+        agreed = np.logical_and.accumulate(same, axis=1).sum(1)
+        of, place = spread(np.zeros(len(first), np.int64), agreed)
+        tokens = rest[first[of], place]
+        shift = agreed[owner]
+        n = n - shift
+        of, place = spread(np.zeros(len(owner), np.int64), n)
+        left = np.full((len(owner), int(n.max())), -1, np.int64)
+        left[of, place] = rest[of, place + shift[of]]
+        to = self.intern(owner, previous, node, left, n)
+        self.moves.put(keys, self.move.rows + np.arange(len(keys)))
+        self.move.add(to, self.emitted.rows + np.cumsum(agreed) - agreed, agreed)
+        self.emitted.add(tokens)
+
+    def rest(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in waiting and number of the tokens of the run that has no token open."""
+        last = self.state.run[k] + self.state.runs[k] - 1
+        return self.run.at[last], self.run.n[last]
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in a row, and how many each piece has."""
+        out, counts, at, long = [], np.zeros(len(pieces), np.int64), 0, {}
+        lengths = list(map(len, pieces))
+        while at < len(pieces):
+            end, total = at, 0
+            while end < len(pieces) and (end == at or total < self.chunk):
+                if lengths[end] <= LONG_PIECE:
+                    total += lengths[end]
+                else:
+                    long[end] = np.array(self.encode_alone(pieces[end]), np.int64)
+                end += 1
+            part = [b"" if k in long else pieces[k] for k in range(at, end)]
+            tokens, counts[at:end] = self.encode_together(part)
+            out.append(tokens)
+            at = end
+        tokens = np.concatenate(out) if out else np.empty(0, np.int64)
+        if long:
+            parts = np.split(tokens, np.cumsum(counts)[:-1])
+            for k, x in long.items():
+                parts[k], counts[k] = x, len(x)
+            tokens = np.concatenate(parts)
+        return tokens, counts
+
+    def encode_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte by byte over all pieces at once."""
+        if self.state.rows > self.max_states:
             self.reset()
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-length, kind="stable")
+        start = (np.cumsum(length) - length)[order]
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        state, steps = np.zeros(len(pieces), np.int64), []
+        for k in range(int(length.max(initial=0))):
+            on = int(np.searchsorted(-length[order], -k))
+            key = state[:on] << 8 | data[start[:on] + k]
+            found = self.moves.get(key)
+            if (found < 0).any():
+                self.build(np.unique(key[found < 0]))
+                found = self.moves.get(key)
+            state[:on] = self.move.to[found]
+            steps.append(found)
+        at, n = self.rest(state)
+        counts = n.copy()
+        for found in steps:
+            counts[: len(found)] += self.move.n[found]
+        back = np.empty(len(pieces), np.int64)
+        back[order] = np.arange(len(pieces))
+        place = (np.cumsum(counts[back]) - counts[back])[order]
+        out = np.empty(int(counts.sum()), np.int64)
+        for found in steps:
+            owner, k = spread(self.move.at[found], self.move.n[found])
+            _, to = spread(place[: len(found)], self.move.n[found])
+            out[to] = self.emitted.token[k]
+            place[: len(found)] += self.move.n[found]
+        owner, k = spread(at, n)
+        _, to = spread(place, n)
+        out[to] = self.waiting.token[k]
+        return out, counts[back]
+
+    def encode_alone(self, piece: bytes) -> list[int]:
+        """One long piece; its states are forgotten, but for the current one, at the same limit."""
         out: list[int] = []
-        k, moves = 0, self.moves
+        k = 0
         for byte in piece:
-            k, emitted = moves.get(k << 8 | byte) or self.build(k, byte)
+            if (found := self.known.get(k << 8 | byte)) is None:
+                if self.state.rows > self.max_states:
+                    k = self.restart(k)
+                key = np.array([k << 8 | byte], np.int64)
+                if (at := int(self.moves.get(key)[0])) < 0:
+                    self.build(key)
+                    at = int(self.moves.get(key)[0])
+                a, n = int(self.move.at[at]), int(self.move.n[at])
+                found = self.known[k << 8 | byte] = (int(self.move.to[at]), self.emitted.token[a : a + n].tolist())
+            k, emitted = found
             out += emitted
-        for _, node, rest in self.runs[k]:
-            if not node:
-                out += rest
-        return out
+        (at,), (n,) = self.rest(np.array([k]))
+        return out + self.waiting.token[at : at + n].tolist()
+
+    def restart(self, k: int) -> int:
+        """Forgets all states but this one; its new number."""
+        _, r = spread(self.state.run[[k]], self.state.runs[[k]])
+        previous, node, at, n = (getattr(self.run, c)[r] for c in self.run.names)
+        rest = np.full((len(r), int(n.max())), -1, np.int64)
+        of, place = spread(np.zeros(len(r), np.int64), n)
+        rest[of, place] = self.waiting.token[at[of] + place]
+        self.reset()
+        return int(self.intern(np.zeros(len(r), np.int64), previous, node, rest, n)[0])
 
 
 class Utf8Machine:
-    """Incremental UTF-8: bytes in, code points out; a malformed sequence gives one U+FFFD, as Unicode recommends."""
+    """Incremental UTF-8: bytes in, code points out; a malformed sequence gives one U+FFFD, as Unicode recommends.
+
+    The states say what may follow: 0 a first byte; 1, 2, 3 so many bytes 80-BF; 4 A0-BF and one more (after E0);
+    5 80-9F and one more (ED); 6 90-BF and two more (F0); 7 80-8F and two more (F4).
+    """
+
+    FIRST = ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7))
+    NEXT = ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2))
+    STATES, BAD = 8, 8
+
+    @classmethod
+    def table(cls) -> np.ndarray:
+        """Next state by state and byte; BAD for a byte that may not follow, and behind BAD."""
+        out = np.full((cls.STATES + 1, 256), cls.BAD, np.int8)
+        for low, high, to in cls.FIRST:
+            out[0, low : high + 1] = to
+        for state, low, high, to in cls.NEXT:
+            out[state, low : high + 1] = to
+        return out
+
+    @classmethod
+    def over_tokens(cls, vocabulary: list[bytes]) -> np.ndarray:
+        """Next state by token and state."""
+        step, length = cls.table(), np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+        start, data = np.cumsum(length) - length, np.frombuffer(b"".join(vocabulary) + b"\0", np.uint8)
+        out = np.tile(np.arange(cls.STATES + 1, dtype=np.int8), (len(vocabulary), 1))
+        for k in range(int(length.max(initial=0))):
+            on = np.flatnonzero(length > k)
+            out[on] = step[out[on], data[start[on] + k][:, None]]
+        return out
 
     def __init__(self):
-        self.need, self.low, self.high, self.value = 0, 0x80, 0xBF, 0
+        self.step, self.state, self.open = self.table().tolist(), 0, bytearray()
 
     def feed(self, data: bytes) -> str:
         out = []
         for x in data:
-            if self.need:
-                if self.low <= x <= self.high:
-                    self.low, self.high = 0x80, 0xBF
-                    self.value, self.need = self.value << 6 | x & 0x3F, self.need - 1
-                    if not self.need:
-                        out.append(chr(self.value))
-                    continue
-                self.need, self.low, self.high = 0, 0x80, 0xBF
-                out.append("�")
-            if x < 0x80:
-                out.append(chr(x))
-            elif 0xC2 <= x <= 0xDF:
-                self.need, self.value = 1, x & 0x1F
-            elif 0xE0 <= x <= 0xEF:
-                self.need, self.value = 2, x & 0x0F
-                self.low, self.high = 0xA0 if x == 0xE0 else 0x80, 0x9F if x == 0xED else 0xBF
-            elif 0xF0 <= x <= 0xF4:
-                self.need, self.value = 3, x & 0x07
-                self.low, self.high = 0x90 if x == 0xF0 else 0x80, 0x8F if x == 0xF4 else 0xBF
-            else:
-                out.append("�")
+            to = self.step[self.state][x]
+            if to == self.BAD and self.state:  # the sequence ends here, and x begins anew
+                out.append("\ufffd")
+                self.open.clear()
+                to = self.step[0][x]
+            if to == self.BAD:
+                out.append("\ufffd")
+                self.state = 0
+                continue
+            self.open.append(x)
+            self.state = to
+            if not to:
+                out.append(self.open.decode())
+                self.open.clear()
         return "".join(out)
 
     def close(self) -> str:
-        open_, self.need = self.need, 0
-        self.low, self.high = 0x80, 0xBF
-        return "�" if open_ else ""
+        open_, self.state = bool(self.open), 0
+        self.open.clear()
+        return "\ufffd" if open_ else ""
 
 
 class Codec:
     """Encodes and decodes whole texts by a rank file and the pattern that splits text before the merges."""
 
-    #: Words remembered at most, twice over, each with its ids; a longer word is encoded anew.
-    words, word_chars = 120_000, 64
-
     def __init__(self, rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -202,70 +418,53 @@ class Codec:
         for t, k in ranks.items():
             self.vocabulary[k] = t
         self.pattern = regex.compile(pattern)
-        # A space between a non-space and a non-space always starts a new match of the pattern, so text may be cut before it.
-        # Where a space has white space on both sides, the run of white space is one match, and the text is not cut.
-        self.uncut = regex.compile(r"\s \s")
-        self.plain = [self.is_plain(t) for t in self.vocabulary]
-        self.seen: dict[str, tuple[bytes, str]] = {}
-        self.before: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    @staticmethod
-    def is_plain(token: bytes) -> bool:
-        try:
-            token.decode()
-        except UnicodeDecodeError:
-            return False
-        return True
-
-    def piece(self, text: str) -> list[int]:
-        ids = self.transducer.encode(text.encode())
-        if len(text) <= self.word_chars:
-            if len(self.pieces) >= self.words:
-                self.pieces.clear()
-            self.pieces[text] = ids
-        return ids
-
-    def encode_pieces(self, text: str) -> tuple[bytes, str]:
-        seen, piece, ids = self.pieces, self.piece, []
-        for m in self.pattern.findall(text):
-            ids += seen.get(m) or piece(m)
-        return array("I", ids).tobytes(), " ".join(map(str, ids))
-
-    def word(self, text: str) -> tuple[bytes, str]:
-        if (found := self.before.get(text)) is None:
-            found = self.encode_pieces(text)
-        if len(text) <= self.word_chars:
-            if len(self.seen) >= self.words:
-                self.before, self.seen = self.seen, {}
-            self.seen[text] = found
-        return found
+        self.decimal = list(map(str, range(len(self.vocabulary))))
+        self.after = Utf8Machine.over_tokens(self.vocabulary)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; each distinct match of the pattern in a slice of texts is encoded once."""
+        out: list[np.ndarray] = []
+        for part in by_size(texts, ENCODED_CHARS):
+            matches = list(map(self.pattern.findall, part))
+            number = {m: k for k, m in enumerate(dict.fromkeys(chain.from_iterable(matches)))}
+            tokens, counts = self.transducer.encode([m.encode() for m in number])
+            start, tokens = np.cumsum(counts) - counts, tokens.astype(np.uint32)
+            for m in matches:
+                k = np.fromiter(map(number.__getitem__, m), np.int64, len(m))
+                out.append(tokens[spread(start[k], counts[k])[1]])
+        return out
 
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids, and their decimal form joined by spaces."""
-        if not text:
-            return np.empty(0, np.uint32), ""
-        if self.uncut.search(text):
-            found = [self.encode_pieces(text)]
-        else:
-            head, *rest = text.split(" ")
-            seen, word, found = self.seen, self.word, [self.word(head)] if head else []
-            for part in rest:
-                part = " " + part
-                found.append(seen.get(part) or word(part))
-        return np.frombuffer(b"".join([x[0] for x in found]), np.uint32), " ".join([x[1] for x in found])
-
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+    def digits(self, ids: np.ndarray) -> str:
+        """The ids in decimal form, joined by spaces."""
+        return " ".join(map(self.decimal.__getitem__, ids.tolist()))
+
+    def valid(self, ids: np.ndarray) -> bool:
+        """Whether the state machine, a token a step, reads well-formed UTF-8 and ends with no character open."""
+        after = self.after[ids, 0]
+        open_ = np.flatnonzero(after).tolist()  # a token that is well-formed in itself changes no state
+        at, state, table = -1, 0, self.after
+        for k in open_:
+            if k < at:
+                continue
+            at, state = k, 0
+            while at < len(ids) and (at == k or state):
+                state = int(table[ids[at], state])
+                at += 1
+                if state == Utf8Machine.BAD:
+                    return False
+        return state == 0
 
     def decode(self, ids: np.ndarray) -> str:
-        """Text of any ids, malformed UTF-8 included; tokens that are whole characters skip the machine."""
-        out, machine = [], Utf8Machine()
-        for i in ids.tolist():
-            t = self.vocabulary[i]
-            out.append(t.decode() if self.plain[i] and not machine.need else machine.feed(t))
-        out.append(machine.close())
-        return "".join(out)
+        """Text of any ids; malformed UTF-8 goes through the machine byte by byte."""
+        data = b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
+        if self.valid(ids):
+            return data.decode()
+        machine = Utf8Machine()
+        return machine.feed(data) + machine.close()
+
+
+#: Characters, and rows, of texts that are encoded together; a longer text is encoded alone.
+ENCODED_CHARS, ENCODED_ROWS = 1 << 22, 1024
 
 
 @lru_cache(maxsize=4)
@@ -282,10 +481,13 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     """
 
     def encode(batch: pa.RecordBatch) -> dict:
-        c = codec(rank_file, pattern)
-        return {"doc_id": batch.column(0), "ids": [c.encode(t)[0].astype(np.int32) for t in texts_of(batch)]}
+        return {"doc_id": batch.column(0), "ids": lists(codec(rank_file, pattern).encode(texts_of(batch)))}
+
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), encode, "doc_id bigint, ids array<int>", rows=ENCODED_ROWS)
 
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), encode, "doc_id bigint, ids array<int>")
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype(np.int32), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)))
 
 
 def decode_ids(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -293,13 +495,13 @@ def decode_ids(ids: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def decode(batch: pa.RecordBatch) -> dict:
         c = codec(rank_file, pattern)
-        return {"doc_id": batch.column(0), "text": [None if x is None else c.decode(np.array(x, np.uint32)) for x in batch.column(1).to_pylist()]}
+        return {"doc_id": batch.column(0), "text": [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]}
 
     return arrow_map(ids.select("doc_id", "ids"), decode, "doc_id bigint, text string")
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, decodes the ids, and digests both.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, decodes the ids by the state machine, and digests both.
 
     with_ids adds ids array<int>.  Null texts are empty: no tokens, and the digests of nothing.  Row for row, without a
     shuffle; repeated rows stay, further columns are dropped.
@@ -307,14 +509,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = F
 
     def digest(batch: pa.RecordBatch) -> dict:
         c = codec(rank_file, pattern)
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}
-        for t in texts_of(batch):
-            ids, decimal = c.encode(t)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(decimal.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-            if with_ids:
-                out["ids"].append(ids.astype(np.int32))
-        return {"doc_id": batch.column(0), **out}
-
-    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        ids = c.encode(texts_of(batch))
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        out = {"doc_id": batch.column(0), "n_tokens": list(map(len, ids)), "ids_sha256": [sha(c.digits(x)) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]}
+        return out | ({"ids": lists(ids)} if with_ids else {})
+
+    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, rows=ENCODED_ROWS)

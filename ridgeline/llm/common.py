@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,10 +52,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def by_size(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in slices of at most so many characters; a longer text is a slice of its own."""
+    part, total = [], 0
+    for t in texts:
+        if part and total + len(t) > chars:
+            yield part
+            part, total = [], 0
+        part.append(t)
+        total += len(t)
+    if part:
+        yield part
+
+
 class WordHasher(dict):
     """word -> 63-bit hash; forgets everything at limit entries, so memory is bounded."""
 
-    limit = 250_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -105,10 +119,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/ridgeline-checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -120,6 +136,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with so many underscores in front that no taken column has it."""
+    low = {c.lower() for c in taken}
+    longest = max((len(c) for c in taken), default=0)
+    return [next(x for k in range(longest + 2) if (x := "_" * k + name).lower() not in low) for name in names]
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -9,10 +9,12 @@ over the sizes chooses:
   Sets under one subset link exactly if it is large enough for their sizes, and if any two of them link, each links with
   the smallest, so one row a set is compared and no pairs are made;
 * heavy sets, and light ones just below the boundary, are put in inverted lists of their n - least(n) + 1
-  rarest shingles (any order common to all sets is exact; frequent shingles go last).  Lists are scanned in blocks: parity
-  sketches bound the symmetric difference from below, so a pair that a sketch excludes cannot link.  Of the rest a
-  block passes on a spanning forest, closest pairs first, which is verified on the whole sets; pairs between
-  what then still are different components are all passed on and verified, so no link is lost.
+  rarest shingles (any order common to all sets is exact; frequent shingles go last).  Parity sketches bound the symmetric
+  difference from below, so a pair that a sketch excludes cannot link.  Lists are scanned twice.  First each list is dealt
+  into blocks, in one of two ways by its shingle, and in a block each set is paired with the closest before it: so many
+  pairs as sets, which join groups of near copies of any size.  After these pairs are verified on the whole sets, all pairs
+  that share a list and are in different components are compared and verified, so no link is lost.  There the largest
+  component of a list meets the rest of the list, and never itself.
 
 Hashes have 64 bits: two different shingles or sets are taken for one with a chance of 2**-64 a pair.
 """
@@ -27,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from .common import arrow_map, materialise, mix, rolling, schema_of, signed, small_side, texts_of, word_hashes
+from .common import SLICE_ROWS, arrow_map, fresh, materialise, mix, rolling, schema_of, signed, small_side, texts_of, word_hashes
 from .components import components
 
 PERCENT, WORDS = 80, 5
-#: A list longer than this is scanned in blocks of so many rows, each pair of blocks in a place of its own.
-BLOCK = 512
+#: Rows of the blocks into which lists are dealt, in the first scan and in the second.
+FIRST_BLOCK, BLOCK = 128, 512
 #: Frequent shingles that the order of shingles knows at most; further ones only make lists longer.
 FREQUENT = 1 << 18
 LARGEST_LIGHT = 40
@@ -83,31 +84,34 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def set_table(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """One pass over the texts: doc_id, n, fp per row (a null or empty text has n = 0), and the most frequent shingles.
+    """One pass over the texts: doc_id, h (hash of the text), n, fp per row (n = 0 without words), and the most frequent shingles.
 
-    Frequent are shingles seen over 3 times in one batch and over 50 times in such batches, sorted by hash: a
-    guess that only orders shingles.  Each batch adds one row, at position null, with its counts.
+    Frequent are shingles seen over 3 times in one slice and over 50 times in such slices, sorted by hash: a
+    guess that only orders shingles.  Each slice adds one row, at position null, with its counts.
     """
-    ddl = "pos int, doc_id bigint, n bigint, fp bigint, tokens array<bigint>, counts array<bigint>"
-    target = to_arrow_schema(schema_of(ddl))
+    ddl = "pos int, doc_id bigint, h bigint, n bigint, fp bigint, tokens array<bigint>, counts array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = [shingles(t, words) for t in texts_of(batch)]
-            u, c = np.unique(np.concatenate(sets), return_counts=True)
-            again = (c > 3) & (u < np.uint64(2**63))
-            n = len(sets)
-            ids = pa.concat_arrays([batch.column(0), pa.nulls(1, pa.int64())])
-            columns = [[*range(n), None], ids, [*map(len, sets), None], [*map(set_hash, sets), None], [None] * n + [signed(u[again]).tolist()], [None] * n + [c[again].tolist()]]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, target, strict=True)], schema=target)
-
-    both = materialise(docs.select("doc_id", "text").mapInArrow(run, schema_of(ddl)), "sets")
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [shingles(t, words) for t in texts_of(batch)]
+        u, c = np.unique(np.concatenate(sets), return_counts=True)
+        again = (c > 3) & (u < np.uint64(2**63))
+        n, none = len(sets), pa.nulls(1, pa.int64())
+        at = np.zeros(n + 2, np.int32)
+        at[-1] = again.sum()
+        return {
+            "pos": [*range(n), None], "doc_id": pa.concat_arrays([batch.column(0), none]), "h": pa.concat_arrays([batch.column(2), none]), "n": [*map(len, sets), None], "fp": [*map(set_hash, sets), None],
+            "tokens": pa.ListArray.from_arrays(at, pa.array(signed(u[again]))), "counts": pa.ListArray.from_arrays(at, pa.array(c[again])),
+        }
+
+    both = materialise(arrow_map(docs.select("doc_id", "text", text_hash()), run, ddl), "sets")
     seen = both.where("pos IS NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
     top = seen.where("n > 50").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
     often = np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
-    return both.where("pos IS NOT NULL").select("doc_id", "n", "fp"), often
+    return both.where("pos IS NOT NULL").select("doc_id", "h", "n", "fp"), often
+
+
+def text_hash(name: str = "h"):
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias(name)
 
 
 def boundary(sizes: dict[int, int], t: Threshold) -> int:
@@ -156,29 +160,23 @@ def prefix(s: np.ndarray, t: Threshold, often: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, t: Threshold, light: int, often: np.ndarray, words: int) -> DataFrame:
-    """One row per set and partition: fp, n, sketch and tokens (of sets in lists), sizes and subsets (of light sets)."""
+    """One row per set and slice of rows: fp, n, sketch and tokens (of sets in lists), sizes and subsets (of light sets)."""
     ddl = "fp bigint, n int, sketch binary, tokens array<bigint>, sizes array<int>, subsets array<bigint>"
-    target = to_arrow_schema(schema_of(ddl))
     in_lists = t.least(light + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of this partition's sets
-        for batch in batches:
-            rows = []
-            for text in texts_of(batch):
-                s = shingles(text, words)
-                fp = set_hash(s)
-                if not len(s) or fp in seen:
-                    continue
-                seen.add(fp)
-                n = len(s)
-                sizes, subsets = light_rows(s, n - t.least(n)) if n <= light else ([], [])
-                tokens = signed(prefix(s, t, often)).tolist() if n >= in_lists else []
-                rows.append({"fp": fp, "n": n, "sketch": sketch(s) if tokens else b"", "tokens": tokens, "sizes": sizes, "subsets": subsets})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=target)
-
-    return materialise(docs.select("text").mapInArrow(run, schema_of(ddl)), "signatures")
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = {set_hash(s): s for s in (shingles(x, words) for x in texts_of(batch)) if len(s)}
+        rows = list(sets.values())
+        lights = [light_rows(s, len(s) - t.least(len(s))) if len(s) <= light else ([], []) for s in rows]
+        tokens = [signed(prefix(s, t, shared.value)) if len(s) >= in_lists else np.empty(0, np.int64) for s in rows]
+        at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
+        return {
+            "fp": list(sets), "n": list(map(len, rows)), "sketch": [sketch(s) if len(s) >= in_lists else b"" for s in rows],
+            "tokens": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))), "sizes": [x for x, _ in lights], "subsets": [x for _, x in lights],
+        }
+
+    return materialise(arrow_map(docs.select("text"), run, ddl), "signatures")
 
 
 def light_links(table: DataFrame, t: Threshold) -> DataFrame:
@@ -192,28 +190,45 @@ def light_links(table: DataFrame, t: Threshold) -> DataFrame:
 
 
 def members(table: DataFrame) -> DataFrame:
-    """token, length, fp of the lists that hold two sets or more, written; length counts a set once a partition."""
+    """token, length, fp of the lists that hold two sets or more, written; length counts a set once a slice."""
     rows = table.select("fp", F.explode("tokens").alias("token"))
     lists = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("top"), F.count("*").alias("length"))
     # Always a shuffle join: the lists grow with the corpus, and a broadcast up to some size would only move the step.
-    return materialise(rows.join(lists.where("low <> top").select("token", "length"), "token"), "members")
+    return materialise(rows.join(lists.where("low <> top").select("token", "length"), "token").distinct(), "members")
+
 
+def with_sketches(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Joined last, so that the rows that look up lists stay narrow."""
+    return rows.join(table.where("size(tokens) > 0").select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")
 
-def list_rows(table: DataFrame, member: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the lists that hold two or more sets (or components, if labels are given), by place and block.
 
-    Sketches join the lists last, so that the rows that look up lists stay narrow.
+def first_rows(member: DataFrame) -> DataFrame:
+    """place, side, fp, label of each list, dealt once into blocks: by one of two hashes, which most lists of a group of copies share."""
+    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("length") / FIRST_BLOCK)))).cast("bigint")
+    block = F.pmod(F.xxhash64("fp", F.pmod("token", F.lit(2))), blocks)
+    return member.select(F.xxhash64("token", block).alias("place"), F.lit(0).alias("side"), "fp", F.col("fp").alias("label"))
+
+
+def rest_rows(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """place, side, fp, label of the lists that hold two components or more.
+
+    The sets of a list's largest component (by its number of sets in the list) and the others are dealt into blocks;
+    each block of others meets all blocks, so a list of G and S rows makes about 2 G S / BLOCK + S S / BLOCK of them.
     """
-    rows = member.withColumn("label", F.col("fp"))
-    if labels is not None:
-        rows = member.join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("token")
-        rows = rows.join(small_side(materialise(mixed, "lists")), "token")
-    rows = rows.join(table.where("size(tokens) > 0").select("fp", "n", "sketch").dropDuplicates(["fp"]), "fp")
-    blocks = F.ceil(F.col("length") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", "token"), blocks).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.xxhash64("token", F.least("block", j), F.greatest("block", j)).alias("place"), (j == F.col("block")).alias("alone")))
-    return rows.select("fp", "n", "sketch", "label", "block", F.explode(pair).alias("x")).select(F.col("x.place").alias("place"), F.col("x.alone").alias("alone"), "block", "fp", "n", "label", "sketch")
+    rows = member.select("token", "fp").join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
+    lists = parts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+    lists = materialise(lists.select("token", F.col("most.label").alias("main"), F.col("most.n").alias("main_n"), (F.col("total") - F.col("most.n")).alias("rest_n")), "lists")
+    rows = rows.join(small_side(lists), "token")
+    mains, rests = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("main_n", "rest_n"))
+    main = F.col("label") == F.col("main")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp", "token"), F.when(main, mains).otherwise(rests)).cast("int"))
+    place = lambda kind, a, b, side: F.struct(F.xxhash64("token", F.lit(kind), a, b).alias("place"), side.alias("side"))
+    of_main = F.transform(F.sequence(F.lit(0), rests - 1), lambda j: place("main", F.col("block"), j, F.lit(1)))
+    with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda j: place("main", j, F.col("block"), F.lit(2)))
+    with_rest = F.transform(F.sequence(F.lit(0), rests - 1), lambda j: place("rest", F.least("block", j), F.greatest("block", j), F.when(j == F.col("block"), 0).when(j > F.col("block"), 1).otherwise(2)))
+    rows = rows.select("fp", "label", F.explode(F.when(main, of_main).otherwise(F.concat(with_main, with_rest))).alias("x"))
+    return rows.select("x.place", "x.side", "fp", "label")
 
 
 def fold(matrix: np.ndarray) -> np.ndarray:
@@ -227,8 +242,7 @@ class Chunk:
 
     def __init__(self, batch: pa.Table, t: Threshold):
         self.t = t
-        self.place, self.fp, self.n, self.label, self.block = (batch.column(c).to_numpy() for c in ("place", "fp", "n", "label", "block"))
-        self.alone = batch.column("alone").to_numpy(zero_copy_only=False)
+        self.place, self.fp, self.n, self.label, self.side = (batch.column(c).to_numpy() for c in ("place", "fp", "n", "label", "side"))
         sketches = batch.column("sketch").to_pylist()
         self.width = np.array([len(x) // 8 for x in sketches])
         self.row, self.of_width = np.zeros(len(sketches), np.int64), {}
@@ -256,74 +270,70 @@ class Chunk:
                 up = j > i
                 yield i[up], j[up]
 
-    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs that may link, and by how many differing elements less than allowed."""
+    def close(self, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may link: all of them, or for each row the one before it with the most room for further differences."""
         found = [(np.empty(0, np.int64),) * 3]
+
+        def best(i: np.ndarray, j: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
+            order = np.lexsort((i, -room, j))
+            first = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+            return i[first], j[first], room[first]
+
         for i, j in self.index_pairs():
             low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
-            on = (self.label[i] != self.label[j]) & (100 * low >= self.t.percent * high) & (self.alone[i] | (self.block[i] != self.block[j]))
+            on = (self.label[i] != self.label[j]) & (100 * low >= self.t.percent * high) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
             i, j = i[on], j[on]
-            swap = self.width[i] < self.width[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            parts = [(np.empty(0, np.int64),) * 3]
             for w in np.unique(self.width[i]).tolist():
-                for same in (True, False):
-                    at = np.flatnonzero((self.width[i] == w) & ((self.width[j] == w) == same))
-                    for part in np.array_split(at, 1 + len(at) * w // (1 << 21)):
+                for v in np.unique(self.width[j]).tolist():
+                    at = np.flatnonzero((self.width[i] == w) & (self.width[j] == v))
+                    least = min(w, v)
+                    if max(w, v) > 4 * least:
+                        continue  # sizes that far apart cannot link
+                    for part in np.array_split(at, 1 + len(at) * least // (1 << 20)):
                         if len(part):
-                            left = (self.of_width[w] if same else self.folded[w])[self.row[i[part]]]
-                            right = self.of_width[w if same else w // 4][self.row[j[part]]]
+                            left, right = ((self.of_width if x == least else self.folded)[x][self.row[k[part]]] for x, k in ((w, i), (v, j)))
                             differ = np.bitwise_count(left ^ right).sum(1).astype(np.int64)
                             both = self.n[i[part]].astype(np.int64) + self.n[j[part]]
                             room = both - 2 * self.t.need(both) - differ
                             ok = room >= 0
-                            found.append((i[part][ok], j[part][ok], room[ok]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def candidates(self, forest: bool) -> dict[str, np.ndarray]:
-        i, j, room = self.close()
+                            parts.append((i[part][ok], j[part][ok], room[ok]))
+            slice_ = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            found.append(best(*slice_) if forest else slice_)
+        i, j, room = (np.concatenate(x) for x in zip(*found, strict=True))
         if forest:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(up, up)
-                return x
-
-            chosen = []
-            # One order of all pairs, so that places with the same sets choose the same pairs.
-            order = np.lexsort((np.maximum(self.fp[i], self.fp[j]), np.minimum(self.fp[i], self.fp[j]), -room))
-            for k in order.tolist():
-                a, b = root(int(self.label[i[k]])), root(int(self.label[j[k]]))
-                if a != b:
-                    parent[a] = b
-                    chosen.append(k)
-            i, j = i[chosen], j[chosen]
-        a, b = np.minimum(self.fp[i], self.fp[j]), np.maximum(self.fp[i], self.fp[j])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return {"a": pairs[:, 0], "b": pairs[:, 1]}
-
-
-def candidates(table: DataFrame, member: DataFrame, t: Threshold, labels: DataFrame | None, forest: bool) -> DataFrame:
-    """Distinct pairs a, b from the lists; a place never spans two partitions, and a chunk is whole places."""
-    rows = list_rows(table, member, labels).repartition("place").sortWithinPartitions("place")
+            i, j, _ = best(i, j, room)
+        return i, j
+
+    def candidates(self, forest: bool) -> np.ndarray:
+        i, j = self.close(forest)
+        pairs = np.stack([np.minimum(self.fp[i], self.fp[j]), np.maximum(self.fp[i], self.fp[j])], 1)
+        return np.unique(pairs, axis=0) if len(pairs) else pairs
+
+
+def candidates(rows: DataFrame, table: DataFrame, t: Threshold, forest: bool) -> DataFrame:
+    """Distinct pairs a, b from list rows; a place never spans two partitions, and a chunk is whole places."""
+    rows = with_sketches(rows, table).repartition("place").sortWithinPartitions("place", "n", "fp")
     ddl = "a bigint, b bigint"
     target = to_arrow_schema(schema_of(ddl))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
-            c = Chunk(table.combine_chunks(), t).candidates(forest)
-            return pa.RecordBatch.from_arrays([pa.array(c["a"]), pa.array(c["b"])], schema=target)
+            pairs = Chunk(table.combine_chunks(), t).candidates(forest)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=target)
 
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            place = held.column("place").to_numpy()
-            cut = int(np.searchsorted(place, place[-1]))
-            if cut:
-                yield out(held.slice(0, cut))
-                held = held.slice(cut)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = pa.Table.from_batches([batch.slice(at, SLICE_ROWS)])
+                held = part if held is None else pa.concat_tables([held, part])
+                place = held.column("place").to_numpy()
+                cut = int(np.searchsorted(place, place[-1]))
+                if cut:
+                    yield out(held.slice(0, cut))
+                    held = held.slice(cut)
         if held is not None and held.num_rows:
             yield out(held)
 
@@ -351,22 +361,22 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
 
 
 def labelled(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, fp of each row, and with the label of its component of each row with words, written."""
+    """doc_id, h, n, fp of each row, and with the label of its component of each row with words, written."""
     t = Threshold(percent)
     docs = docs.select("doc_id", "text")
     sets, often = set_table(docs, words)
     sizes = {r.n: r["count"] for r in sets.where(f"n > 0 AND n <= {LARGEST_LIGHT}").groupBy("n").count().collect()}
     table = signatures(docs, t, boundary(sizes, t), often, words)
     member = members(table)
-    first = materialise(candidates(table, member, t, None, forest=True), "candidates")
+    first = materialise(candidates(first_rows(member), table, t, forest=True), "candidates")
     links = light_links(table, t).union(verify(first, docs, sets, t, words))
     labels = components(links)
-    rest = materialise(candidates(table, member, t, labels, forest=False).join(first, ["a", "b"], "left_anti"), "candidates")
+    rest = materialise(candidates(rest_rows(member, labels), table, t, forest=False).join(first, ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
         more = verify(rest, docs, sets, t, words)
         if more.limit(1).count():
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    rows = sets.where("n > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "n", "fp", F.coalesce("label", "fp").alias("label"))
+    rows = sets.where("n > 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "h", "n", "fp", F.coalesce("label", "fp").alias("label"))
     return sets, materialise(rows, "labelled")
 
 
@@ -385,30 +395,20 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with one row of each component, that of least doc_id (a null id comes last) and then set hash; all columns stay.
 
-    Rows without words are alone and all stay.  Where an id is null or more rows share it, the set hash tells which row is meant.
+    Rows without words are alone and all stay.  A row is known by its id and the hash of its text; of rows alike in both, which are
+    copies, one stays.
     """
-    sets, rows = labelled(docs, percent, words)
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
-    kept = materialise(first.union(sets.where("n = 0").select("doc_id", "fp")), "kept")
-    ids = kept.where("kept_id IS NOT NULL").select("kept_id").distinct()
-    again = materialise(sets.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).count().where("count > 1").select("kept_id"), "shared-ids")
-    shares, some = small_side(again), again.limit(1).count()
-    out, on = docs.join(small_side(ids), F.col("doc_id") == F.col("kept_id"), "left_semi"), F.col("doc_id") == F.col("kept_id")
-    if not some and not kept.where("kept_id IS NULL").limit(1).count():
-        return out
-    k, docs_columns = docs.columns.index("text"), docs.columns
-    schema = StructType([*docs.schema.fields, *schema_of("n_set bigint, fp_set bigint").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [shingles(t or "", words) for t in batch.column(k).to_pylist()]
-            columns = [*batch.columns, pa.array(list(map(len, s)), pa.int64()), pa.array(list(map(set_hash, s)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*docs_columns, "n_set", "fp_set"])
-
-    doubtful = docs.where("doc_id IS NULL")
-    if some:
-        out, doubtful = out.join(shares, on, "left_anti"), doubtful.union(docs.join(shares, on, "left_semi"))
-    doubtful = materialise(doubtful.mapInArrow(run, schema), "same-ids")
-    meant = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("fp_set") == F.col("kept_fp"))
-    chosen = doubtful.where("n_set > 0").join(kept, meant, "left_semi").dropDuplicates(["doc_id", "fp_set"])
-    return out.union(chosen.union(doubtful.where("n_set = 0")).select(*docs_columns))
+    _, rows = labelled(docs, percent, words)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h")
+    i, h, kept_i, kept_h = fresh(docs.columns, "i", "h", "kept_i", "kept_h")
+    kept = rows.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(kept_i), F.col("k.h").alias(kept_h))
+    keys = rows.groupBy(F.col("doc_id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias("times"))
+    meant = F.col(i).eqNullSafe(F.col(kept_i)) & (F.col(h) == F.col(kept_h))
+    keys = materialise(keys.join(kept, meant, "left").select(i, h, (F.col("times") > 1).alias("again"), F.col(kept_h).isNull().alias("gone")).where("gone OR again"), "keys")
+    marked = docs.withColumn(kept_h, text_hash(kept_h))
+    on = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(kept_h) == F.col(h))
+    out = marked.join(small_side(keys.select(i, h)), on, "left_anti")
+    copies = keys.where("again AND NOT gone").select(i, h)
+    if copies.limit(1).count():
+        out = out.union(marked.join(small_side(copies), on, "left_semi").dropDuplicates(["doc_id", kept_h]))
+    return out.drop(kept_h)

@@ -11,12 +11,13 @@ apart.  A value is the ids as 16-bit integers where the vocabulary allows it, el
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import local_path, materialise, schema_of, shared_dir, texts_of
+from .common import by_size, local_path, materialise, schema_of, shared_dir, texts_of
 
 FOOTER = struct.Struct("<QQQQQQI8s")
 MAGIC = b"RDGSST01"
 BLOCK_BYTES = 32 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: Characters, and rows, of texts that are encoded together; a longer text is encoded alone.
+ENCODED_CHARS, ENCODED_ROWS = 1 << 22, 1024
 
 
 def varint(n: int) -> bytes:
@@ -79,6 +82,8 @@ class Writer:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         repeat = struct.unpack(">I", self.last[8:])[0] + 1 if self.last and id_of(self.last) == doc_id else 0
+        if self.width == 2 and len(ids) and ids.max() > 0xFFFF:
+            raise ValueError(f"id {ids.max()} does not fit into 16 bits; write with width=4")
         key, value = key_of(doc_id, repeat), ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         shared = 0
         if not self.block:
@@ -162,41 +167,61 @@ class WordTokenizer:
     """The tokenizers library behind a bounded memory of words.
 
     The byte-level pattern always starts a match at a space between two non-spaces, so a text is cut there and each
-    distinct piece goes to the library once; texts with a space inside a longer run of white space, or with an added token
-    spelled out (which is that token's id), go to it whole.
+    distinct word is encoded once.  New words go to the library as one text, in which every token with a leading space
+    begins a word.  Texts with a space inside a longer run of white space or before white space at their end, or with an
+    added token spelled out (which is that token's id), go to it whole.
     """
 
-    words, word_chars = 400_000, 64
+    words, word_chars = 150_000, 64
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.literals = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.uncut = regex.compile(r"\s \s")
+        self.uncut = re.compile(r" (?<=\s )(?:\s|\Z)")
+        size = self.tokenizer.get_vocab_size()
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.seen: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.uncut.search(text) or any(x in text for x in self.literals):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *rest = text.split(" ")
-        parts = [head] * bool(head) + [" " + x for x in rest]
-        found = list(map(self.seen.get, parts))
-        if None in found:
-            new = list({p for p, x in zip(parts, found, strict=True) if x is None})
-            if len(self.seen) + len(new) > self.words:
-                self.before, self.seen = self.seen, {}
-            known = {p: x for p in new if (x := self.before.get(p)) is not None}
-            ask = [p for p in new if p not in known]
-            for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
-            self.seen.update((p, x) for p, x in known.items() if len(p) <= self.word_chars)
-            found = [known[p] if x is None else x for p, x in zip(parts, found, strict=True)]
-        return np.frombuffer(b"".join(found), np.uint32)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids behind a space."""
+        # Without white space at either end a word keeps its borders between other words.
+        firm = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        ids = self.ids(["".join([" " + w for w in firm])])[0]
+        at = np.flatnonzero(self.begins[ids]).tolist()
+        if len(at) != len(firm):  # a token with a space inside: each word alone
+            firm, at = [], []
+        data = ids.tobytes()
+        yield from ((w, data[4 * a : 4 * b]) for w, a, b in zip(firm, at, [*at[1:], len(ids)], strict=False))
+        known = set(firm)
+        rest = [w for w in words if w not in known]
+        yield from ((w, x.tobytes()) for w, x in zip(rest, self.ids([" " + w for w in rest]), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        whole = [bool(self.uncut.search(t)) or any(x in t for x in self.literals) for t in texts]
+        cut = [[""] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        heads = self.ids([c[0] for c in cut])
+        for c in cut:
+            del c[0]
+        if len(self.seen) > self.words:
+            self.before, self.seen = self.seen, {}
+        seen, before = self.seen, self.before
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in seen]
+        seen.update((w, before[w]) for w in new if w in before)
+        seen.update(self.ask([w for w in new if w not in before]))
+        out = [np.frombuffer(b"".join([head.tobytes(), *map(seen.__getitem__, c)]), np.uint32) for head, c in zip(heads, cut, strict=True)]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        for w in new:
+            if len(w) > self.word_chars:
+                del seen[w]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -229,8 +254,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, i
         with store.open_output_stream(temporary) as out:
             w = Writer(out, width)
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                    w.add(doc_id, np.concatenate([t.encode(text), end]))
+                for at in range(0, batch.num_rows, ENCODED_ROWS):
+                    part = batch.slice(at, ENCODED_ROWS)
+                    encoded = chain.from_iterable(map(t.encode, by_size(texts_of(part), ENCODED_CHARS)))
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                        w.add(doc_id, np.concatenate([ids, end]))
             w.close()
         if w.rows:
             store.move(temporary, final)
@@ -249,15 +277,14 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     start counts the ids of all rows before; the driver holds one small row per shard file for it.
     """
     ddl = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    files, total, folder = [], 0, None
+    files, total = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
-        files.append((r["path"], total))
-        total, folder = total + r["n_tokens"], r["folder"]
+        files.append((r["path"], r["folder"], total))
+        total += r["n_tokens"]
     target = to_arrow_schema(schema_of(ddl))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k in (k for b in batches for k in b.column(0).to_pylist()):
-            path, start = files[k]
+        for path, folder, start in (tuple(x.values()) for b in batches for x in b.to_pylist()):
             store, _ = local_path(folder)
             with store.open_input_file(path) as f:
                 rows = []
@@ -270,4 +297,5 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, schema_of(ddl))
+    names = spark.createDataFrame(files, "path string, folder string, start bigint").repartition(max(1, len(files)))
+    return names.mapInArrow(read, schema_of(ddl))

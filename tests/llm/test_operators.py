@@ -69,7 +69,7 @@ def test_token_lookup(spark, docs):
     tokenizer = sstable.WordTokenizer(JSON)
     for doc_id, text in some.items():
         found = [ids for r in readers for ids in r.get(doc_id)]
-        assert len(found) == 1 and np.array_equal(found[0], [*tokenizer.encode(text), 0])
+        assert len(found) == 1 and np.array_equal(found[0], [*tokenizer.encode([text])[0], 0])
     missing = [10**9 + i for i in range(1000)]
     assert not any(r.get(k) for r in readers for k in missing)
     assert sum(readers[0].may_hold(k) for k in missing) < 50
