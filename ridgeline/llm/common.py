@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space that bytes.split() also uses: [\x20\x09-\x0D].
 SPACE = rb" \t\n\r\x0b\x0c"
-#: Rows up to which a table of 8 to 32 byte rows may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of files up to which a written table may be broadcast; beyond it a shuffle join is used.
+BROADCAST_BYTES = 24 << 20
 
 
 def schema_of(ddl: str) -> StructType:
@@ -39,19 +39,36 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str, row
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+        for part in slices_of(batches, rows):
+            out = fn(part)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: list) -> pa.RecordBatch:
+    """The batch with other values in one column."""
+    k = batch.schema.get_field_index(name)
+    return pa.RecordBatch.from_arrays([pa.array(values, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null is the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def text_hash(name: str):
+    """Column name: hash of text, a null one as the empty text."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias(name)
+
+
 def by_size(texts: list[str], chars: int) -> Iterator[list[str]]:
     """The texts in slices of at most so many characters; a longer text is a slice of its own."""
     part, total = [], 0
@@ -143,9 +160,17 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return [next(x for k in range(longest + 2) if (x := "_" * k + name).lower() not in low) for name in names]
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bytes_of(df: DataFrame) -> int:
+    """Size in memory that Spark's own statistics give for a written table: of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if its files are small enough, else as it is, for a shuffle join.
+
+    Files are compressed, so the bytes of what is broadcast are some times these, but bounded by them.
+    """
+    return F.broadcast(df) if bytes_of(df) <= limit else df
 
 
 def local_path(uri: str) -> tuple[object, str]:

@@ -7,26 +7,27 @@ the hit windows of a document are merged into removal spans.
 
 Words that no benchmark item of the block has can be in no hit: they become separators, and what is left between two
 separators is indexed only if it is as long as the shortest window.  That changes no result and keeps the index small.
-Benchmark items are a stated query set: they are sent to the tasks in blocks of at most BLOCK_BYTES, each block against all
-documents, so the size of what is broadcast is bounded whatever the size of the benchmark.
+Benchmark items are a stated query set: they go to the tasks in blocks of at most BLOCK_BYTES of text, one after the other, each
+against all documents; where there is more than one block, the hits of each are written, and the spans of a document are merged.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from itertools import repeat
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, by_size, fresh, materialise, slices_of, text_hash, texts_of, with_column
 from .spans import merged
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Words in one shard's index at most (a single longer document makes a longer shard).
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
@@ -131,7 +132,7 @@ class Queries:
         self.by_length: list[tuple[np.ndarray, list[list]]] = []
         for n in sorted({len(w) for w in windows}):
             of_n = sorted(w for w in windows if len(w) == n)
-            self.by_length.append((np.array(of_n, np.int64), [sorted(windows[w]) for w in of_n]))
+            self.by_length.append((np.array(of_n, np.int64), [list(windows[w]) for w in of_n]))
         self.shortest = min((len(w) for w in windows), default=0)
 
     def hits(self, shard: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set]]:
@@ -167,18 +168,18 @@ class Queries:
         return [(merged(s), items) for s, (_, items) in zip(spans, out, strict=True)]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most so many bytes; items without words drop out.  The driver holds one block at a time beyond the result."""
-    out: list[list[tuple[int, str]]] = [[]]
+def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most BLOCK_BYTES; null texts drop out.  The driver holds one block at a time; there is one at least."""
+    block: list[tuple[int, str]] = []
     size = 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
         n = len(r.t.encode("utf-8", "surrogatepass")) + 64
-        if size + n > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.i, r.t))
+        if size + n > BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((r.i, r.t))
         size += n
-    return out
+    yield block
 
 
 def word_numbers(texts: list[str], numbers: dict[bytes, int]) -> list[np.ndarray]:
@@ -186,51 +187,87 @@ def word_numbers(texts: list[str], numbers: dict[bytes, int]) -> list[np.ndarray
     return [np.fromiter(map(get, w, repeat(0)), np.int64, len(w)) for w in map(words_of, texts)]
 
 
-def shard_hits(texts: list[str], queries: list[Queries]) -> list[tuple[int, list[tuple[int, int]], set]]:
-    """(words, merged spans over all blocks, items) of each text, shard by shard."""
+def shard_hits(texts: list[str], queries: Queries) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """(words, merged spans, items) of each text, shard by shard."""
     out = []
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and (end == at or total + len(texts[end]) // 4 <= SHARD_WORDS):
-            total += len(texts[end]) // 4
-            end += 1
-        per_block = []
-        for q in queries:
-            numbers = word_numbers(texts[at:end], q.numbers)
-            per_block.append(q.hits(numbers))
-        for i in range(end - at):
-            spans = merged([s for block in per_block for s in block[i][0]])
-            out.append((len(numbers[i]), spans, set().union(*(block[i][1] for block in per_block))))
-        at = end
+    for shard in by_size(texts, 4 * SHARD_WORDS):
+        numbers = word_numbers(shard, queries.numbers)
+        out += [(len(n), spans, items) for n, (spans, items) in zip(numbers, queries.hits(numbers), strict=True)]
     return out
 
 
-def query_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[Queries]:
-    return [Queries(b) for b in blocks(benchmark, item_col, text_col, BLOCK_BYTES)]
+def known(items: set) -> list[int]:
+    """Ids in order; an item without an id hits, but cannot be listed."""
+    return sorted(items - {None})
+
+
+HITS = "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<bigint>"
+
+
+def hits(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, n_words, spans, items of one block for each row."""
+    queries = docs.sparkSession.sparkContext.broadcast(Queries(items))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = shard_hits(texts_of(batch), queries.value)
+        spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
+        return {"doc_id": batch.column(0), "n_words": [n for n, _, _ in found], "spans": spans, "items": [known(x) for _, _, x in found]}
+
+    return arrow_map(docs.select("doc_id", "text"), run, HITS)
+
+
+def all_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """hits() over all blocks; rows alike in id and text have the same."""
+    rest = blocks(benchmark, "item_id", "text")
+    first, second = next(rest), next(rest, None)
+    if second is None:
+        return hits(docs, first)
+    keyed = docs.select("doc_id", "text", text_hash("fp"))
+    found = by_blocks(docs, chain((first, second), rest))
+    none = lambda c: F.coalesce(c, F.array())
+    rows = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("fp") == F.col("k_fp")), "left").select("doc_id", "text", none("spans").alias("spans"), none("items").alias("items"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in s])] for s in batch.column("spans").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "n_words": [len(words_of(t)) for t in texts_of(batch)], "spans": spans, "items": batch.column("items")}
+
+    return arrow_map(rows, run, HITS)
+
+
+def by_blocks(docs: DataFrame, parts: Iterator[list[tuple[int, str]]]) -> DataFrame:
+    """k_id, k_fp (hash of the text), spans and items of all blocks for the rows that any hits; each block's hits are written."""
+    keyed = docs.select("doc_id", "text", text_hash("fp"))
+    found = reduce(DataFrame.union, [materialise(of_block(keyed, b), "block-hits") for b in parts])
+    return found.groupBy("k_id", "k_fp").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+
+def of_block(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    """k_id, k_fp, spans, items of the rows that a block hits."""
+    queries = keyed.sparkSession.sparkContext.broadcast(Queries(items))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = shard_hits(texts_of(batch), queries.value)
+        on = [i for i, x in enumerate(found) if x[1]]
+        return {
+            "k_id": batch.column("doc_id").take(pa.array(on, pa.int64())), "k_fp": batch.column("fp").take(pa.array(on, pa.int64())),
+            "spans": [[{"start": a, "end": b} for a, b in found[i][1]] for i in on], "items": [known(found[i][2]) for i in on],
+        }
+
+    return arrow_map(keyed, run, HITS.replace("doc_id", "k_id").replace("n_words", "k_fp"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges, end exclusive) per document.
 
     Null and empty texts have no words and no hits; items without words hit nothing; items with one text all count;
-    repeated rows are judged each.  An empty benchmark leaves every document clean.  No shuffle.
+    repeated rows are judged each.  An empty benchmark leaves every document clean.  One block of items: no shuffle.
     """
-    queries = docs.sparkSession.sparkContext.broadcast(query_blocks(benchmark))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-        for n, spans, items in shard_hits(texts_of(batch), queries.value):
-            hit = sum(b - a for a, b in spans)
-            out["n_words"].append(n)
-            out["n_hit"].append(hit)
-            out["n_items"].append(len(items))
-            out["items_sha256"].append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
-            out["contaminated"].append(hit > 0)
-            out["spans"].append(",".join(f"{a}:{b}" for a, b in spans))
-        return {"doc_id": batch.column(0), **out}
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string")
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return all_hits(docs, benchmark).select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
+    )
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -243,23 +280,39 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the removal spans cut out of text_col; a document that was nothing but hits is dropped.
+def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with the removal spans cut out of text; a document that was nothing but hits is dropped.
 
-    Null texts and clean documents stay as they are, and so do the other columns.
+    Null texts and clean documents stay as they are, and so do the other columns.  Blocks of items are judged each on the whole
+    texts: those that more than one block hits are cut by the union of the spans.
     """
-    queries = docs.sparkSession.sparkContext.broadcast(query_blocks(benchmark))
-    k, schema = docs.columns.index(text_col), docs.schema
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(k).to_pylist()
-            keep = []
-            for i, (n, spans, _) in enumerate(shard_hits([t or "" for t in texts], queries.value)):
-                keep.append(not spans or sum(b - a for a, b in spans) < n)
-                if spans:
-                    texts[i] = cut(texts[i], spans)
-            columns = [pa.array(texts, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
+    rest = blocks(benchmark, "item_id", "text")
+    first, second = next(rest), next(rest, None)
+    if second is None:
+        queries = docs.sparkSession.sparkContext.broadcast(Queries(first))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices_of(batches):
+                texts = batch.column("text").to_pylist()
+                yield without(batch, texts, [(n, s) for n, s, _ in shard_hits([t or "" for t in texts], queries.value)])
+
+        return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    fp, k_id, k_fp, spans = fresh(names, "fp", "k_id", "k_fp", "spans")
+    found = by_blocks(docs, chain((first, second), rest)).select(F.col("k_id").alias(k_id), F.col("k_fp").alias(k_fp), F.col("spans").alias(spans))
+    marked = docs.withColumn(fp, text_hash(fp)).join(found, F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(fp) == F.col(k_fp)), "left").select(*names, spans)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices_of(batches):
+            texts = batch.column("text").to_pylist()
+            found = [merged([(x["start"], x["end"]) for x in s or []]) for s in batch.column(spans).to_pylist()]
+            yield without(batch.select(names), texts, [(len(words_of(t or "")), s) for t, s in zip(texts, found, strict=True)])
+
+    return marked.mapInArrow(cut_out, docs.schema)
+
+
+def without(batch: pa.RecordBatch, texts: list, found: list[tuple[int, list]]) -> pa.RecordBatch:
+    """The batch without the spans (words, spans) of its texts, and without the rows that were nothing else."""
+    texts = [cut(t, s) if s else t for t, (_, s) in zip(texts, found, strict=True)]
+    keep = [not s or sum(b - a for a, b in s) < n for n, s in found]
+    return with_column(batch, "text", texts).filter(pa.array(keep, pa.bool_()))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, arrow_map, fresh, materialise, mix, rolling, schema_of, signed, small_side, texts_of, word_hashes
+from .common import SLICE_ROWS, arrow_map, fresh, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
 from .components import components
 
 PERCENT, WORDS = 80, 5
@@ -103,17 +103,13 @@ def set_table(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarra
             "tokens": pa.ListArray.from_arrays(at, pa.array(signed(u[again]))), "counts": pa.ListArray.from_arrays(at, pa.array(c[again])),
         }
 
-    both = materialise(arrow_map(docs.select("doc_id", "text", text_hash()), run, ddl), "sets")
+    both = materialise(arrow_map(docs.select("doc_id", "text", text_hash("h")), run, ddl), "sets")
     seen = both.where("pos IS NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
     top = seen.where("n > 50").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
     often = np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
     return both.where("pos IS NOT NULL").select("doc_id", "h", "n", "fp"), often
 
 
-def text_hash(name: str = "h"):
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias(name)
-
-
 def boundary(sizes: dict[int, int], t: Threshold) -> int:
     """The largest light size: least total of subset rows below and of list rows, each scanned SCAN_COST times, above."""
 
@@ -342,9 +338,9 @@ def candidates(rows: DataFrame, table: DataFrame, t: Threshold, forest: bool) ->
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, words: int) -> DataFrame:
     """The pairs that link, by the intersection of the whole sets, written."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked")
     ids = sets.join(small_side(asked), "fp").groupBy("fp").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
-    ids = small_side(materialise(ids, "asked"))
+    ids = small_side(materialise(ids, "asked-ids"))
     chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict:

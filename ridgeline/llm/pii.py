@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, slices_of, texts_of, with_column
 from .spans import digest, joined, merged, overlaps
 
 KINDS = ("email", "ip", "card", "phone", "iban", "number")
@@ -132,13 +132,11 @@ def masked(text: str) -> str:
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced; null stays null, other columns and rows stay as they are."""
-    names = docs.columns
-    k = names.index(text_col)
 
     def run(batches):
-        for batch in batches:
-            texts = [None if t is None else masked(t) for t in batch.column(k).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(k).type) if i == k else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+        for batch in slices_of(batches):
+            texts = batch.column(text_col).to_pylist()
+            yield with_column(batch, text_col, [None if t is None else masked(t) for t in texts])
 
     return docs.mapInArrow(run, docs.schema)
 

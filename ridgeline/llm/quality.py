@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side
+from .common import fresh, materialise, small_side
 
 MAX_DOCS = 100
 MAX_REMOVED = 70
@@ -43,12 +43,13 @@ def covered(windows: Column) -> Column:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row, without a shuffle: doc_id, host, fp (hash of the text), n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, and lines array<struct<h, w>> with hash and words of each line that has a word.
+    n_repeat_words, and lines array<struct<h, w, pos>> with hash, words and number of each line that has a word.
 
     Null texts have no words or lines; a null host is a host of its own.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.select("doc_id", "host", "text", F.filter(F.split("text", WHITE), lambda w: w != "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "").alias("raw"))
+    d = d.select("doc_id", "host", "text", F.filter(F.split("text", WHITE), lambda w: w != "").alias("words"), F.split("text", "\n").alias("split"))
+    d = d.withColumn("raw", F.filter("split", lambda x: F.translate(x, SPACES, "") != ""))
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     n = F.size("words")
     windows = F.when(
@@ -56,7 +57,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))),
     ).otherwise(F.array().cast("array<bigint>"))
     normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), WHITE, " "))
-    line = lambda x: let(normal(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("w")))
+    line = lambda x, i: let(normal(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.when(y == "", 0).otherwise(F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("w"), i.alias("pos")))
     return d.select(
         "doc_id",
         "host",
@@ -66,7 +67,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("bigint").alias("n_dup_lines"),
         let(windows, covered).alias("n_repeat_words"),
-        F.transform("raw", line).alias("lines"),
+        F.filter(F.transform("split", line), lambda x: x["w"] > 0).alias("lines"),
     )
 
 
@@ -76,32 +77,51 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return once.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("first_id").alias("first_id")).where(F.col("n") > max_docs).drop("n")
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words and fp.
-
-    One row per row of docs.  Base rules fail documents of fewer than 10 words and those with more than 20 % of
-    their words in repeated 5-word windows.  Repeated rows are measured alike; an empty table gives no rows.
-    """
+def boilerplate(docs: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
+    """What measures() gives, written, and doc_id, fp, pos, w of each line over the limit, but not of its first document."""
     table = materialise(measures(docs), "line-measures")
-    lines = table.select("doc_id", "host", "fp", F.posexplode("lines").alias("pos", "x")).select("doc_id", "host", "fp", "pos", "x.h", "x.w")
+    lines = table.select("doc_id", "host", "fp", F.explode("lines").alias("x")).select("doc_id", "host", "fp", "x.pos", "x.h", "x.w")
     frequent = materialise(frequent_lines(lines, max_docs), "frequent-lines").withColumnsRenamed({"host": "f_host", "h": "f_h"})
     hit = lines.join(small_side(frequent), F.col("host").eqNullSafe(F.col("f_host")) & (F.col("h") == F.col("f_h")))
     hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    removed = hit.groupBy("doc_id", "fp", "pos").agg(F.max("w").alias("w")).groupBy("doc_id", "fp").agg(F.sum("w").alias("removed_words"))
+    return table, hit.groupBy("doc_id", "fp", "pos").agg(F.max("w").alias("w"))  # rows alike in id and text are one
+
+
+def verdict(table: DataFrame, removed: DataFrame, max_removed: int) -> DataFrame:
+    """judge() by its tables; removed has doc_id, fp and removed_words."""
     removed = removed.withColumnsRenamed({"doc_id": "r_id", "fp": "r_fp"})
     out = table.drop("lines", "host").join(removed, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("fp") == F.col("r_fp")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint"))).withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= max_removed * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("removed_words") <= max_removed * F.col("n_words")))
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words and fp.
+
+    One row per row of docs.  Base rules fail documents of fewer than 10 words and those with more than 20 % of
+    their words in repeated 5-word windows.  Repeated rows are measured alike; an empty table gives no rows.
+    """
+    table, hit = boilerplate(docs, max_docs)
+    out = verdict(table, hit.groupBy("doc_id", "fp").agg(F.sum("w").alias("removed_words")), max_removed)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "fp")
 
 
 def keep(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED) -> DataFrame:
-    """docs without the rows that judge() rejects; columns stay as they are."""
-    rejected = judge(docs, max_docs, max_removed).where(~F.col("kept")).select(F.col("doc_id").alias("rejected_id"), F.col("fp").alias("rejected_fp")).distinct()
-    rejected = small_side(materialise(rejected, "rejected"))
-    marked = docs.withColumn("rejectable_fp", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_id")) & (F.col("rejectable_fp") == F.col("rejected_fp")), "left_anti").drop("rejectable_fp")
+    """docs without the rows that judge() rejects and without the lines over the limit; columns stay as they are.
+
+    A text that loses no line stays as it is, null texts included; of others the remaining lines are joined by \\n.
+    """
+    table, hit = boilerplate(docs, max_docs)
+    removed = materialise(hit.groupBy("doc_id", "fp").agg(F.sum("w").alias("removed_words"), F.collect_set("pos").alias("cut")), "removed-lines")
+    ids, fps, cut, gone, mark = fresh(docs.columns, "judged_id", "judged_fp", "cut", "gone", "mark")
+    changed = verdict(table, removed, max_removed).where(~F.col("kept") | F.col("cut").isNotNull())
+    changed = changed.groupBy(F.col("doc_id").alias(ids), F.col("fp").alias(fps)).agg(F.first("cut").alias(cut), F.bool_or(~F.col("kept")).alias(gone))
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = marked.join(small_side(materialise(changed, "changed")), F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(mark) == F.col(fps)), "left")
+    out = out.where(F.col(gone).isNull() | ~F.col(gone))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    return out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 ORACLE = rf"""

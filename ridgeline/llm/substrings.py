@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, materialise, mix, rolling, signed, small_side, texts_of, word_hashes
+from .common import arrow_map, materialise, mix, rolling, signed, small_side, texts_of, word_hashes
 from .spans import merged
 
 WINDOW = 35
@@ -133,8 +133,7 @@ def paths(docs: DataFrame, repeated: DataFrame, window: int, anchor: int) -> Dat
 def opened(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     """h1, h2, doc_id, fp, first of every window of the given paths (p_id, p_fp, first, last), written."""
     lists = kinds.groupBy("p_id", "p_fp").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    few = kinds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    on = docs.join(F.broadcast(lists) if few else lists, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("fp") == F.col("p_fp")))
+    on = docs.join(small_side(materialise(lists, "ranges")), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("fp") == F.col("p_fp")))
     on = on.select("doc_id", "fp", "text", "ranges")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -182,10 +181,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text, spans: the documents, broadcast join if the spans are few."""
-    total = spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0)).alias("n")).first().n
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
-    side = F.broadcast(spans) if total <= BROADCAST_ROWS else spans
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("fp") == F.col("r_fp")), "left").select("doc_id", "text", "spans")
+    return docs.join(small_side(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("fp") == F.col("r_fp")), "left").select("doc_id", "text", "spans")
 
 
 def without(words: list[bytes], spans: list[dict]) -> list[bytes]:

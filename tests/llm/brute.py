@@ -134,12 +134,29 @@ def without_repeats(docs: list[tuple], window: int = 35) -> list[tuple]:
     return out
 
 
-def kept_by_rules(docs: list[tuple], max_docs: int = 100, max_removed: int = 70) -> list[tuple]:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of (doc_id, text, host)."""
+def texts_by_rules(docs: list[tuple], max_docs: int = 100) -> list[str | None]:
+    """The texts of (doc_id, text, host) without the lines over the limit."""
+    holders: dict[tuple, dict] = {}
+    for doc_id, text, host in docs:
+        for line in (text or "").split("\n"):
+            if white_words(line):
+                at = holders.setdefault((host, normal(line)), {})
+                at[text] = min(at.get(text, doc_id), doc_id)
+    first = {k: min(v.values()) for k, v in holders.items() if len(v) > max_docs}
+    out = []
+    for doc_id, text, host in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not white_words(x) or first.get((host, normal(x)), doc_id) == doc_id]
+        out.append(text if len(kept) == len(lines) else "\n".join(kept))
+    return out
+
+
+def normal(line: str) -> str:
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ")
 
-    def normal(line: str) -> str:
-        return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ")
 
+def kept_by_rules(docs: list[tuple], max_docs: int = 100, max_removed: int = 70) -> list[tuple]:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of (doc_id, text, host)."""
     holders: dict[tuple, dict] = {}
     for doc_id, text, host in docs:
         for line in {normal(x) for x in (text or "").split("\n") if white_words(x)}:

@@ -105,7 +105,7 @@ def test_pipeline(spark):
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     kept = {x[0] for x in brute.kept_by_rules(docs) if x[-1]}
-    rows = [(i, t) for i, t, _ in docs if i in kept]
+    rows = [(i, t) for (i, _, _), t in zip(docs, brute.texts_by_rules(docs), strict=True) if i in kept]
     first = {i for i, _, c in brute.jaccard_components(rows, 80, 5) if i == c}
     rows = [(i, t) for i, t in rows if i in first]
     word, windows, out = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), set(), []

@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from odd_rows import ODD, SF, pairs, table
@@ -40,11 +41,13 @@ def test_removal_cuts_hits_alone(spark, odd):
     assert 10 not in out and out[2] == ""
 
 
-def test_blocks_of_queries(spark, docs, monkeypatch):
-    items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    expected = brute.contamination(pairs(docs), [(r.item_id, r.text) for r in items.collect()])
+def test_blocks_of_queries(spark, rows, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(901, "three four FIVE"), (None, "nine ten")], "item_id bigint, text string"))
+    expected = brute.contamination(pairs(rows), [(r.item_id, r.text) for r in items.where("item_id IS NOT NULL").collect()])
+    one = table(decontaminate.remove(rows, items), "doc_id", "text")
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1500)
-    same(decontaminate.scan(docs, items), "doc_id n_words n_hit n_items items_sha256 contaminated", expected)
+    same(decontaminate.scan(rows, items.where("item_id IS NOT NULL")), "doc_id n_words n_hit n_items items_sha256 contaminated", expected)
+    assert table(decontaminate.remove(rows, items), "doc_id", "text") == one
 
 
 def test_token_files(spark, rows):
@@ -119,6 +122,22 @@ def test_quality(rows):
     same(got.where("doc_id IS NOT NULL"), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", expected)
 
 
+def test_lines_over_the_limit_go(rows):
+    plain = [(r.doc_id, r.text, r.source) for r in rows.where("doc_id IS NOT NULL").select("doc_id", "text", "source").collect()]
+    kept = {x[0] for x in brute.kept_by_rules(plain, max_docs=1) if x[-1]}
+    expected = [(i, t) for (i, _, _), t in zip(plain, brute.texts_by_rules(plain, max_docs=1), strict=True) if i in kept]
+    same(quality.keep(rows.where("doc_id IS NOT NULL"), max_docs=1), "doc_id text", expected)
+
+
+def test_names_may_clash(odd):
+    """Columns named as the operators' own, also with underscores in front, stay."""
+    names = ["kept_i", "kept_h", "i", "_i", "judged_id", "_judged_id", "judged_fp", "cut", "gone", "mark", "k_id", "k_fp"]
+    rows = odd.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for out in (quality.keep(rows), jaccard.keep_one(rows)):
+        assert out.columns == rows.columns
+        assert all(r[n] == k for r in out.collect() for k, n in enumerate(names))
+
+
 def test_personal_data(rows):
     text_of = dict(pairs(rows))
     for r in pii.digest_scan(rows).collect():
