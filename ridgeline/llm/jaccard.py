@@ -78,7 +78,15 @@ def sketch_words(n: int) -> int:
 
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the elements by hash: the bits in which two sketches differ are at most the elements in which the sets do."""
-    bits = sketch_words(len(s)) * 64
+    return parities(s, sketch_words(len(s)) * 64)
+
+
+def fine_sketch(s: np.ndarray) -> bytes:
+    """Parities by 8 bits an element or more, which a pair must pass before its sets are compared."""
+    return parities(s, max(512, 8 << (len(s) - 1).bit_length()))
+
+
+def parities(s: np.ndarray, bits: int) -> bytes:
     odd = np.bincount((mix(s, 2) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -345,14 +353,30 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
 
     def run(batch: pa.RecordBatch) -> dict:
         s = [shingles(x, words) for x in texts_of(batch)]
-        return {"fp": [set_hash(x) for x in s], "s": [signed(x) for x in s]}
+        return {"fp": [set_hash(x) for x in s], "n": list(map(len, s)), "fine": list(map(fine_sketch, s)), "s": [signed(x) for x in s]}
 
-    whole = arrow_map(chosen, run, "fp bigint, s array<bigint>").join(small_side(asked), "fp", "left_semi")
+    whole = arrow_map(chosen, run, "fp bigint, n int, fine binary, s array<bigint>").join(small_side(asked), "fp", "left_semi")
     whole = materialise(whole, "whole-sets")
     if whole.groupBy("fp").count().where("count > 1").limit(1).count():  # rows alike in id and text
         whole = materialise(whole.dropDuplicates(["fp"]), "whole-sets")
-    on = pairs.join(whole.withColumnsRenamed({"fp": "a", "s": "s"}), "a").join(whole.withColumnsRenamed({"fp": "b", "s": "z"}), "b")
-    on = on.withColumn("both", F.size("s") + F.size("z")).withColumn("overlap", F.size(F.array_intersect("s", "z")))
+
+    def ends(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with columns of both sets, numbered 1 and 2."""
+        one, two = (whole.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}{k}") for c in columns)) for k, end in ((1, "a"), (2, "b")))
+        return small_side(pairs).join(one, "a").join(two, "b")
+
+    def near(batch: pa.RecordBatch) -> dict:
+        on = []
+        for k, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "fine1", "fine2")), strict=True)):
+            x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            if int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * t.need(n + m):
+                on.append(k)
+        return {c: batch.column(c).take(pa.array(on, pa.int64())) for c in ("a", "b")}
+
+    close = materialise(arrow_map(ends(pairs, "n", "fine"), near, "a bigint, b bigint"), "close-pairs")
+    on = ends(close, "n", "s").withColumn("both", F.col("n1") + F.col("n2")).withColumn("overlap", F.size(F.array_intersect("s1", "s2")))
     return materialise(on.where(100 * F.col("overlap") >= t.percent * (F.col("both") - F.col("overlap"))).select("a", "b"), "links")
 
 
