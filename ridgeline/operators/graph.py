@@ -49,3 +49,22 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not new.where("old <> label").limit(1).count():
             return labels
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """node, label of every end of the links (a, b): the least node that links reach; no links give no rows.
+
+    Each round takes the least label of the neighbours and then that label's own label, so that paths halve; rounds are written
+    tables, and go on until nothing changes.
+    """
+    both = links.select("a", "b").where("a <> b").distinct()
+    edges = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        near = edges.join(labels.withColumnsRenamed({"node": "b", "label": "of_b"}), "b").groupBy("a").agg(F.min("of_b").alias("m")).withColumnRenamed("a", "node")
+        lower = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "labels")
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = written(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        labels = new.select("node", "label")
+        if not new.where("old <> label").limit(1).count():
+            return labels
