@@ -84,3 +84,27 @@ def validate(requests: DataFrame) -> DataFrame:
     given = sum((F.col(c).isNotNull().cast("int") for c in ("source_lng", "river_id", "river_path")), F.lit(0))
     ok = (given == 1) & (F.col("level_m") > -20) & (F.col("level_m") < 5000) & F.col("mode").isin("rise", "absolute")
     return requests.select("scenario", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def validate_quake(requests: DataFrame) -> DataFrame:
+    """scenario, valid: magnitude, depth and both degrees given and in range."""
+    ok = (F.col("magnitude") > 0) & (F.col("magnitude") < 10) & (F.col("depth_km") >= 0) & (F.col("depth_km") < 300) & F.col("lng").between(-180.0, 180.0) & F.col("lat").between(-90.0, 90.0)
+    return requests.select("scenario", F.coalesce(ok, F.lit(False)).alias("valid"))
+
+
+def planned_verdicts(planned: DataFrame, answer: DataFrame) -> DataFrame:
+    """id, verdict of every planned asset; answer has id and band of those that are exposed."""
+    return planned.join(answer, "id", "left").select("id", verdict(F.col("band"), flood=False).alias("verdict"))
+
+
+def shown(assets: DataFrame, ref: str) -> DataFrame:
+    """The assets in a band whose reference is a number that is not negative."""
+    return assets.where(F.col("band").isNotNull() & (F.col(ref).try_cast("bigint") >= 0))
+
+
+def shoreline(wet: DataFrame, dem: DataFrame) -> DataFrame:
+    """r, c of wet cells that have a dry cell of the raster above, below or beside them."""
+    sides = F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))
+    beside = wet.select("r", "c", F.explode(sides).alias("s")).select("r", "c", (F.col("r") + F.col("s.i")).alias("nr"), (F.col("c") + F.col("s.j")).alias("nc"))
+    at = lambda df: df.select(F.col("r").alias("nr"), F.col("c").alias("nc"))
+    return beside.join(at(wet), ["nr", "nc"], "left_anti").join(at(dem), ["nr", "nc"], "left_semi").select("r", "c").distinct()

@@ -1,7 +1,8 @@
-"""The time-stepped flood: one grouped kernel call a scenario, so Spark's parallel axis is scenarios and cities.
+"""The time-stepped flood, in tiles.
 
-Hundreds of steps would each be a shuffle as joins (``terrain.flux_step`` is one, for checks); a city's box is some
-hundred thousand cells, a bounded group whatever the number of scenarios.
+Hundreds of steps would each be a shuffle as joins (``terrain.flux_step`` is one, for checks).  So a raster is cut into tiles that a
+task steps on its own: in a step a cell depends on cells at most two away, so with a margin of 2 k cells a tile's own cells are exact
+for k steps.  After k steps depths and peaks are written, and margins are dealt anew.  A box of one tile needs no margin and one round.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import written
 from .terrain import FLUX, NEIGHBOURS, WET
 
 
@@ -36,35 +38,63 @@ def flux(elev: np.ndarray, depth: np.ndarray) -> np.ndarray:
     return new
 
 
-def peaks(elev: np.ndarray, inflow: np.ndarray, start: np.ndarray, n_steps: int, window: int) -> np.ndarray:
-    """Highest depth of each cell: release, then flux, then the envelope, in every step."""
-    depth = peak = np.zeros_like(elev)
-    for t in range(n_steps):
+def peaks(elev: np.ndarray, inflow: np.ndarray, start: np.ndarray, n_steps: int, window: int, first: int = 0, depth: np.ndarray | None = None, peak: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Depth after the steps from first to n_steps, and the highest depth: release, then flux, then the envelope, in every step."""
+    depth = np.zeros_like(elev) if depth is None else depth
+    peak = depth if peak is None else peak
+    for t in range(first, n_steps):
         u = (t - start) / np.float32(window)
         depth = depth + np.where((u >= 0) & (u < 1), inflow * np.float32(3.0 / window) * (2 * u - 2 * u * u), np.float32(0))
         depth = flux(elev, depth)
         peak = np.maximum(peak, depth)
-    return peak
+    return depth, peak
 
 
-def simulate(dem: DataFrame, plan: DataFrame, box: DataFrame) -> DataFrame:
+#: Cells of a side of a tile, and steps between two dealings of margins.
+TILE, STEPS = 1024, 64
+STATE = "scenario int, r int, c int, elev double, d_cell double, start int, n_steps int, window int, depth float, peak float"
+
+
+def simulate(dem: DataFrame, plan: DataFrame, box: DataFrame, tile: int = TILE, steps: int = STEPS) -> DataFrame:
     """scenario, r, c, elev, depth of the cells that get wet: peak depth of each scenario's plan inside its box.
 
     dem: r, c, elev.  plan: scenario, r, c, d_cell, start, n_steps, window.  box: scenario, r0, r1, c0, c1.  A scenario
-    without inflow is dry and gives no rows; cells missing from dem are walls.
+    without inflow is dry and gives no rows; cells missing from dem are walls.  A group is at most (tile + 4 steps) squared cells.
     """
-    cells = dem.select("r", "c", "elev").crossJoin(F.broadcast(box)).where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
-    cells = cells.join(plan.select("scenario", "r", "c", "d_cell", "start", "n_steps", "window"), ["scenario", "r", "c"], "left")
+    size = box.join(plan.groupBy("scenario").agg(F.max("n_steps").alias("n"), F.max("window").alias("w")), "scenario")
+    # Each scenario has its rows of tiles, and an equi-join on them finds its cells.
+    bands = size.select("scenario", "r0", "r1", "c0", "c1", "n", "w", F.explode(F.sequence(F.floor(F.col("r0") / tile), F.floor(F.col("r1") / tile))).alias("band"))
+    cells = dem.select("r", "c", "elev").withColumn("band", F.floor(F.col("r") / tile)).join(bands, "band").where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
+    cells = cells.join(plan.select("scenario", "r", "c", "d_cell", "start"), ["scenario", "r", "c"], "left")
+    zero = F.lit(0.0).cast("float")
+    state = cells.select("scenario", (F.col("r") - F.col("r0")).cast("int").alias("r"), (F.col("c") - F.col("c0")).cast("int").alias("c"), F.col("elev").cast("double").alias("elev"), F.coalesce("d_cell", F.lit(0.0)).alias("d_cell"), F.coalesce("start", F.lit(0)).alias("start"), F.col("n").alias("n_steps"), F.col("w").alias("window"), zero.alias("depth"), zero.alias("peak"))
+    most = size.agg(F.max(F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"))).alias("side"), F.max("n").alias("n")).first()
+    if most.n is None:
+        return dem.sparkSession.createDataFrame([], "scenario int, r int, c int, elev double, depth double")
+    one = most.side < tile
+    rounds = [(0, most.n)] if one else [(t, t + steps) for t in range(0, most.n, steps)]
+    for first, last in rounds:
+        state = stepped(state, tile, 0 if one else 2 * steps, first, last)
+        state = state if one else written(state, "flood")
+    out = state.where(F.col("peak") > WET).join(box.select("scenario", "r0", "c0"), "scenario")
+    return out.select("scenario", (F.col("r") + F.col("r0")).cast("int").alias("r"), (F.col("c") + F.col("c0")).cast("int").alias("c"), "elev", F.col("peak").cast("double").alias("depth"))
+
+
+def stepped(state: DataFrame, tile: int, margin: int, first: int, last: int) -> DataFrame:
+    """The state after the steps from first to last, each scenario to its own end."""
+    spans = lambda v: F.sequence(F.floor((F.col(v) - margin) / tile), F.floor((F.col(v) + margin) / tile))
+    dealt = state.withColumn("tr", F.explode(spans("r"))).withColumn("tc", F.explode(spans("c")))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        if part["n_steps"].isna().all():
-            return part.head(0)[["scenario", "r", "c", "elev"]].assign(depth=0.0)
+        _, tr, tc = key
+        own = ((part["r"] // tile == tr) & (part["c"] // tile == tc)).to_numpy()
+        if not own.any():
+            return part.head(0).drop(columns=["tr", "tc"])
         r, c = part["r"].to_numpy() - part["r"].min(), part["c"].to_numpy() - part["c"].min()
-        shape = (r.max() + 1, c.max() + 1)
-        elev, inflow, start = np.full(shape, np.float32(1e9)), np.zeros(shape, np.float32), np.zeros(shape, np.float32)
-        elev[r, c], inflow[r, c], start[r, c] = part["elev"], part["d_cell"].fillna(0.0), part["start"].fillna(0)
-        depth = peaks(elev, inflow, start, int(part["n_steps"].max()), int(part["window"].max()))[r, c]
-        out = part[["scenario", "r", "c", "elev"]].assign(depth=depth.astype(float))
-        return out[out["depth"] > WET]
-
-    return cells.groupBy("scenario").applyInPandas(run, "scenario int, r int, c int, elev double, depth double")
+        grid = lambda name, fill: (a := np.full((r.max() + 1, c.max() + 1), np.float32(fill)), a.__setitem__((r, c), part[name]))[0]
+        n, window = int(part["n_steps"].iloc[0]), int(part["window"].iloc[0])
+        depth, peak = peaks(grid("elev", 1e9), grid("d_cell", 0), grid("start", 0), min(last, n), window, first, grid("depth", 0), grid("peak", 0))
+        part = part.assign(depth=depth[r, c], peak=peak[r, c])
+        return part[own].drop(columns=["tr", "tc"])
+
+    return dealt.groupBy("scenario", "tr", "tc").applyInPandas(run, STATE)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import flood, terrain
 from ..operators.durable import written
-from . import terrains
+from ..sources import tables as T
+from . import sql, terrains
 
 RISES_M = (1.0, 2.0, 4.0)
 
@@ -17,10 +18,60 @@ def flood_sim(spark: SparkSession, d: str) -> DataFrame:
     dem, g, flow, main, c = terrains.caught(spark, d)
     p = written(terrain.inflow_plan(terrain.accumulation(dem, flow, g), c, main, terrains.river(spark, d, g, False), g, 1.0), "plan")
     rises = spark.createDataFrame(list(enumerate(RISES_M)), "scenario int, rise double")
-    plans = p.crossJoin(F.broadcast(rises)).withColumn("d_cell", F.col("d_cell") * F.col("rise"))
+    plans = p.crossJoin(rises).withColumn("d_cell", F.col("d_cell") * F.col("rise"))
     box = rises.select("scenario").crossJoin(terrain.flux_box(p, flow, g))
     return flood.simulate(dem, plans, box).select("scenario", "r", "c", F.round("depth", 3).alias("depth"))
 
 
-QUERIES = {"flood_sim": flood_sim}
-ORACLES: dict[str, str] = {}
+def point_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A rise at each scenario's place; every fifth does not rise."""
+    return T.scenarios(spark, d).selectExpr("CAST(scenario AS INT) AS scenario", "lng", "lat", "CAST(scenario % 5 AS DOUBLE) AS level_m")
+
+
+def rounded(plan: DataFrame, *keys: str) -> DataFrame:
+    return plan.select(*keys, "r", "c", F.round("d_cell", 6).alias("d_cell"), "start", "n_steps", "window", F.round("volume_m3", 2).alias("volume_m3"))
+
+
+def flood_absolute_plan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(terrain.absolute_plan(*terrains.raster(spark, d), terrains.LEVEL_M))
+
+
+def flood_point_plan(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(terrain.point_plan(point_sources(spark, d), terrains.raster(spark, d)[1]), "scenario")
+
+
+def masks(spark: SparkSession, d: str, plans: DataFrame) -> DataFrame:
+    """scenario, r, c, surface of the wet cells, clipped to the region (here its northern half)."""
+    dem, g = terrains.raster(spark, d)
+    flow = written(terrain.d8_flow(dem), "flow")
+    plans = written(plans, "plans")
+    i = plans.select("scenario", "r", "c")
+    down = i.join(flow, ["r", "c"]).select("scenario", F.col("nr").alias("r"), F.col("nc").alias("c"))
+    up = i.join(flow.select(F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("ur"), F.col("c").alias("uc")), ["r", "c"]).select("scenario", F.col("ur").alias("r"), F.col("uc").alias("c"))
+    box = i.union(down).union(up).groupBy("scenario").agg(*(F.greatest(F.lit(0), F.min(v) - 12).alias(f"{v}0") for v in "rc"), *(F.least(F.lit(n - 1), F.max(v) + 12).alias(f"{v}1") for v, n in (("r", g.nrows), ("c", g.ncols))))
+    wet = flood.simulate(dem, plans, written(box, "boxes")).where(F.col("r") < g.nrows / 2)
+    return wet.select("scenario", "r", "c", F.round(F.col("elev") + F.col("depth"), 3).alias("surface"))
+
+
+def flood_point(spark: SparkSession, d: str) -> DataFrame:
+    """Mask and water surface of each point source."""
+    return masks(spark, d, terrain.point_plan(point_sources(spark, d), terrains.raster(spark, d)[1]))
+
+
+def flood_path(spark: SparkSession, d: str) -> DataFrame:
+    """Cells that the paths drawn from each scenario's place to the middle of all cross."""
+    s = T.scenarios(spark, d)
+    ends = F.array(F.struct("lng", "lat"), F.struct(F.lit(85.31).alias("lng"), F.lit(27.645).alias("lat")))
+    return terrain.path_cells(s.select("scenario", ends.alias("path")), terrains.raster(spark, d)[1])
+
+
+QUERIES = {f.__name__: f for f in (flood_sim, flood_absolute_plan, flood_point_plan, flood_point, flood_path)}
+WALK = terrains.LINES[terrains.LINES.index("pairs AS") : terrains.LINES.index(", main AS")]
+ORACLES: dict[str, str] = {
+    "flood_absolute_plan": f"""WITH {sql.GRID}, i AS (SELECT r, c, {terrains.LEVEL_M}e0 - elev AS d FROM dem WHERE {terrains.LEVEL_M}e0 - elev > 1e-3), t AS (SELECT sum(d) AS v FROM i)
+      SELECT r, c, round(d, 6) AS d_cell, 0 AS start, 120 AS n_steps, 40 AS "window", round(v * m2, 2) AS volume_m3 FROM i, t, area""",
+    "flood_point_plan": f"""WITH {sql.GRID}, {sql.SCENARIOS} SELECT CAST(scenario AS INT) AS scenario, {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c, round(scenario % 5 * 2.0e0, 6) AS d_cell, 0 AS start, 120 AS n_steps, 40 AS "window", round(scenario % 5 * 2.0e0 * m2, 2) AS volume_m3
+      FROM scenarios, g, area WHERE scenario % 5 > 0""",
+    "flood_path": f"""WITH RECURSIVE {sql.GRID}, {sql.SCENARIOS}, ends AS (SELECT scenario AS id, 1 AS pos, lng, lat FROM scenarios UNION ALL SELECT scenario, 2, 85.31e0, 27.645e0 FROM scenarios),
+      wet_v AS (SELECT id, pos, {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM ends, g), {WALK} SELECT id AS scenario, r, c FROM river""",
+}

@@ -25,8 +25,9 @@ def flows(dem: DataFrame) -> DataFrame:
 
 
 def river(spark: SparkSession, d: str, grid, main: bool) -> DataFrame:
-    lines = T.lines(T.waterways(spark, d))
-    return terrain.polyline_cells(lines.where("id % 194 = 0") if main else lines, grid)
+    ways = T.waterways(spark, d)
+    lines = T.lines(ways.where("main") if main else ways)
+    return terrain.polyline_cells(lines, grid)
 
 
 def d8_flow(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +114,7 @@ def slope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str, g) -> DataFrame:
-    return terrain.near_roads(exposure.with_cell(T.road_vertices(spark, d).where("id % 4001 = 0"), g), g)
+    return terrain.near_roads(exposure.with_cell(T.road_vertices(spark, d), g), g)
 
 
 def road_near(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +158,7 @@ GRAD = """grad AS (SELECT r, c, elev, sqrt(gx * gx + gy * gy) AS grad FROM (
     (coalesce(lead(elev) OVER y, elev) - coalesce(lag(elev) OVER y, elev)) / (my * CASE WHEN lead(elev) OVER y IS NULL OR lag(elev) OVER y IS NULL THEN 1.0e0 ELSE 2.0e0 END) AS gy
   FROM dem, (SELECT res_lng * (111.32e0 * greatest(cos(radians((min_lat + max_lat) / 2.0e0)), 0.1e0)) * 1000.0e0 AS mx, res_lat * 111.32e0 * 1000.0e0 AS my FROM g)
   WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r)))"""
-NEAR = f"""{sql.ROADS}, road_v AS (SELECT DISTINCT {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM roads, g WHERE id % 4001 = 0),
+NEAR = f"""{sql.ROADS}, road_v AS (SELECT DISTINCT {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM roads, g),
 box AS (SELECT DISTINCT r + i AS r, c + j AS c FROM road_v, range(-2, 3) a(i), range(-2, 3) b(j)),
 near AS (SELECT DISTINCT r + i AS r, c + j AS c FROM box, range(-2, 3) a(i), range(-2, 3) b(j), g WHERE abs(i) + abs(j) <= 2 AND r + i BETWEEN 0 AND nrows - 1 AND c + j BETWEEN 0 AND ncols - 1)"""
 ORACLES = {

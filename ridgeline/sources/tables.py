@@ -44,8 +44,8 @@ def road_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def waterways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The polylines of every 97th order."""
-    return road_vertices(spark, sf_dir).where("id % 97 = 0")
+    """id, pos, lng, lat, main: the polylines of every 97th order; main ones are those that a flood scenario takes for its rivers."""
+    return road_vertices(spark, sf_dir).where("id % 97 = 0").withColumn("main", F.expr("id % 194 = 0"))
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:

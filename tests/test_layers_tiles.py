@@ -184,3 +184,20 @@ def test_like_stems_against_all_pairs(spark):
     known = sorted({"".join(c for c in b if rng.random() > 0.08) + rng.choice(("", "", "i", "a", " x")) for b in base for _ in range(12)} - {""})
     got = {(r.a, r.b) for r in waters.like_stems(spark.createDataFrame([(s, s) for s in known], "name string, stem string")).collect()}
     assert got == {(a, b) for a, b in combinations(known, 2) if waters.alike(a, b)}
+
+
+def test_pack_is_made_anew_when_its_source_grows(spark, tmp_path):
+    from ridgeline.sources.packs import packed
+
+    made = []
+
+    def make(df):
+        made.append(1)
+        return df.select("id")
+
+    source, pack = str(tmp_path / "source"), f"file://{tmp_path}/pack"
+    spark.range(10).write.parquet(source)
+    read = lambda version=1: packed(spark, spark.read.parquet(source), pack, make, version).count()
+    assert [read(), read(), len(made)] == [10, 10, 1]
+    spark.range(5).write.mode("append").parquet(source)
+    assert [read(), read(2), len(made)] == [15, 15, 3]
