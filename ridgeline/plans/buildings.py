@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buildings as B
 from ..functions import tiles
+from ..operators.quantiles import quantiles
 from ..sources import tables as T
 from . import sql
 
@@ -103,8 +104,8 @@ def water_endpoints(spark: SparkSession, d: str) -> DataFrame:
 def dem_fill(spark: SparkSession, d: str) -> DataFrame:
     """Missing elevations (every 17th cell here) become the median of the others."""
     holes = T.dem(spark, d).withColumn("elev", F.when((F.col("r") * 40 + F.col("c")) % 17 > 0, F.col("elev")))
-    median = holes.agg(F.percentile("elev", F.lit(0.5)).alias("median"))
-    return holes.crossJoin(F.broadcast(median)).select("r", "c", F.round(F.coalesce("elev", "median"), 6).alias("elev"))
+    (median,) = quantiles(holes, "elev", [0.5])
+    return holes.select("r", "c", F.round(F.coalesce("elev", F.lit(median)), 6).alias("elev"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import hazard
 from ..operators import exposure, terrain
 from ..operators.durable import written
+from ..operators.quantiles import quantiles
 from ..sources import tables as T
 from . import sql
 
 LEVEL_M, RISE_M = 20.0, 2.0
+PERCENTS = (5, 50, 90, 95)
 
 
 def raster(spark: SparkSession, d: str):
@@ -105,8 +107,8 @@ def flood_timing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dem_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = T.dem(spark, d).agg(*(F.round(F.percentile("elev", F.lit(q / 100)), 6).alias(f"p{q}") for q in (5, 50, 90, 95)))
-    return p
+    found = quantiles(T.dem(spark, d), "elev", [q / 100 for q in PERCENTS])
+    return spark.createDataFrame([found], ", ".join(f"p{q} double" for q in PERCENTS)).select(*(F.round(f"p{q}", 6).alias(f"p{q}") for q in PERCENTS))
 
 
 def slope(spark: SparkSession, d: str) -> DataFrame:
