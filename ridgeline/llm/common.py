@@ -153,6 +153,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def below_share(df: DataFrame, share: float, hash_col: str) -> DataFrame:
+    """About that share of the rows, chosen by their hash alone (a bigint column): all of them from 1 on."""
+    return df if share >= 1 else df.where(F.pmod(F.col(hash_col), F.lit(1 << 52)) < int(share * (1 << 52)))
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with so many underscores in front that no taken column has it."""
     low = {c.lower() for c in taken}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts_of
+from .common import arrow_map, below_share, texts_of
 from .spans import digest, joined, overlaps
 
 KINDS = ("assign", "access", "hex")
@@ -32,6 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 MIN_CHARS = 10
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
+#: Tokens after which a run of the sample is cut in two for fitting.
+LONGEST_RUN = 8
 STATES = ("O", "B", "I")
 #: A candidate has a digit and a letter among its first MIN_CHARS or more characters.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{10,}")
@@ -190,7 +192,7 @@ def examples(texts: list[str], seed: int = 7) -> list[tuple[list[list[int]], lis
                 half = len(token) // 2
                 broken = window[: a + half] + "\n" + window[a + half :]
                 add(broken, [(a, a + len(token) + 1)])
-    return [x for x in out if len(x[0]) <= 8]
+    return [(tokens[k : k + LONGEST_RUN], states[k : k + LONGEST_RUN]) for tokens, states in out for k in range(0, len(tokens), LONGEST_RUN)]
 
 
 def fit(texts: list[str], steps: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> dict:
@@ -238,9 +240,12 @@ def fit(texts: list[str], steps: int = 150, rate: float = 0.15, penalty: float =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS) -> dict:
-    """Fit on the sample texts with the lowest hashes, half of them with a candidate or base pattern in them."""
+    """Fit on sample texts, half of them with a candidate or base pattern in them (as far as there are), by the order of their hash.
+
+    Only rows under a hash threshold, about 20 times as many as the sample, are looked at, so what is sorted and sent is bounded.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    rows = rows.withColumn("h", F.xxhash64("k")).withColumn("t", F.substring("text", 1, SAMPLE_CHARS))
+    rows = below_share(rows.withColumn("h", F.xxhash64("k", "text")), 20 * sample / max(1, docs.count()), "h").withColumn("t", F.substring("text", 1, SAMPLE_CHARS))
     marked = rows.where(F.col("t").rlike(r"[0-9a-f]{24}|AKIA|[A-Za-z]+[0-9]+[A-Za-z]+[0-9]+"))
     texts = [r.t for part in (marked, rows) for r in part.select("t", "h", "k").orderBy("h", "k", "t").limit(sample // 2).collect()]
     return fit(texts)

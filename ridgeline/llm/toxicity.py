@@ -13,8 +13,8 @@ change no mean.  A logistic regression on these gives the score.
 
 Counts cover all labelled documents of folds 0 and 2 (crc32 of the id modulo 3) and are made by Spark in partial aggregates.
 The model stays whole in a table, one row a context.  Its most frequent contexts, of at most GRAMS n-grams, are broadcast, and
-a Bloom filter tells which others it may hold; documents with such ones get them by a join.  The regression is fitted on at most SAMPLE labelled documents
-of both folds, in the order of their hash, each scored with the counts of the other fold.  Documents of fold 1 are never
+a Bloom filter tells which others it may hold; documents with such ones get them by a join.  The regression is fitted on about SAMPLE labelled documents
+of both folds, chosen by a hash, each scored with the counts of the other fold.  Documents of fold 1 are never
 learnt from.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, mix, signed, small_side, texts_of
+from .common import arrow_map, below_share, materialise, mix, signed, small_side, texts_of
 
 DISCOUNT, PRIOR = 0.75, 10.0
 LONG, SHORT = 5, 3
@@ -52,9 +52,9 @@ def fold_of(column: str):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fold: int) -> DataFrame:
-    """text, toxic of one fold; rows without id, label or text are left out, a document with two labels is toxic."""
+    """doc_id, text, toxic of one fold; rows without id, label or text are left out, a document with two labels is toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold_of("doc_id") == fold)
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(small_side(known), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").where("text IS NOT NULL").join(small_side(known), "doc_id").select("doc_id", "text", "toxic")
 
 
 class Spelling:
@@ -329,8 +329,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of folds 0 and 2, and the weights of the regression, for which each fold is scored with the counts of the other."""
     rows = {fold: labelled(docs, labels, fold) for fold in (0, 2)}
     counts = {fold: grams(vocabulary(rows[fold])) for fold in rows}
-    sample = rows[0].withColumn("fold", F.lit(0)).union(rows[2].withColumn("fold", F.lit(2))).withColumn("h", F.xxhash64("text"))
-    sample = materialise(sample.orderBy("h", "text", "fold", "toxic").limit(SAMPLE).drop("h"), "sample")
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").count()
+    sample = rows[0].withColumn("fold", F.lit(0)).union(rows[2].withColumn("fold", F.lit(2)))
+    sample = materialise(below_share(sample.withColumn("h", F.xxhash64("doc_id", "text")), SAMPLE * FOLDS / 2 / max(1, known), "h").select("text", "fold", "toxic"), "sample")
     x, y = [], []
     for fold, other in ((0, 2), (2, 0)):
         t = with_evidence(sample.where(F.col("fold") == fold), model(counts[other]), "toxic").toArrow()
