@@ -1,10 +1,11 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into blocks at the borders of block elements.  Each block gets costs for either label from fixed
-weights on its ancestors, class and id words, link density and text; these are the capacities to the two terminals.
-Neighbours in page order, and the nearest blocks under the same element, are joined by smoothness edges.  A maximum flow
-saturates the cheapest cut, and the blocks that the source still reaches are content.  Scripts, styles and other elements
-without text of their own never make blocks.  All is row for row, without a shuffle.
+A page is cut into blocks at the borders of block elements.  A logistic classifier over a block's ancestors, class and id words,
+link density and text gives costs for either label; these are the capacities to the two terminals.  Its weights start at PRIOR and
+are fitted to a bounded sample of the pages themselves (``train``): blocks that the weights so far are sure of are its labels, and
+the prior holds where a sample says nothing.  Neighbours in page order, and the nearest blocks under the same element, are
+joined by smoothness edges.  A maximum flow saturates the cheapest cut, and the blocks that the source still reaches are content.
+Scripts, styles and other elements without text of their own never make blocks.  All is row for row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, below_share
 
 #: A quote opens a value behind = alone, and only if it is closed; values of any length, in one pass (atomic).
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+))>|<[!?/][^>]*>""", re.DOTALL)
@@ -27,24 +30,32 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open element of its group that has no other block between.
 CLOSES = {t: g for g in (("p",), ("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
-#: Evidence against content of an element and all within it.
-AGAINST = {"nav": 9.0, "footer": 8.0, "aside": 7.0, "form": 8.0, "header": 5.0, "menu": 8.0, "dialog": 7.0, "address": 2.0, "figure": 0.5}
-FOR = {"article": 4.0, "main": 3.5, "h1": 1.0, "p": 1.0, "blockquote": 1.0, "pre": 1.0}
-WORD = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|replies|disqus|cookies?|consent|copyright|disclaimer|footer|foot|legal|login|masthead|menu|nav|navbar|navigation|newsletter|"
-    r"notice|pager|pagination|popup|promo\w*|related|recommended|share|sharing|sidebar|sponsor\w*|social|subscribe|tags|toolbar|topbar|widget|alert|modal|signup|search|header)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-GOOD = re.compile(r"(?:^|[\s_-])(article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
-CLASS_AGAINST, CLASS_FOR = 8.0, 1.5
+#: Words of classes and ids that say what a block is not, surely or perhaps, and what it is.
+SURE = "ads? advert\\w* comments? replies disqus cookies? consent newsletter subscribe popup promo\\w* sponsor\\w* modal login signup sidebar nav navbar navigation menu footer foot breadcrumbs? pagination pager".split()
+PERHAPS = "alert banner copyright disclaimer header legal masthead notice recommended related search share sharing social tags toolbar topbar widget".split()
+FOR_WORDS = "article body content entry main post story text".split()
+WORDS = {name: re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words)})(?:$|[\s_-])", re.IGNORECASE) for name, words in (("sure", SURE), ("perhaps", PERHAPS), ("good", FOR_WORDS))}
+#: What the classifier sees: elements and words above a block (for it and against it), then its text; with the weights it starts from.
+PRIOR = {
+    "article": 4.0, "main": 3.5, "p": 1.0, "good": 1.5,
+    "nav": -9.0, "footer": -8.0, "aside": -7.0, "form": -8.0, "header": -5.0, "menu": -8.0, "dialog": -7.0, "address": -2.0, "figure": -0.5, "sure": -7.5, "perhaps": -3.5,
+    "one": -0.4, "words": 2.0, "sentences": 1.0, "stop": 0.4, "links": -2.5, "rights": -1.5,
+}
+NAMES = list(PRIOR)
+IN_FAVOUR, ABOVE = 4, NAMES.index("one")
+BIT = {name: 1 << k for k, name in enumerate(NAMES[:ABOVE])}
+AGAINST = sum(BIT.values()) - sum(BIT[n] for n in NAMES[:IN_FAVOUR])
+ELEMENT = {n: n for n in NAMES[:ABOVE] if n not in WORDS} | dict.fromkeys(("h1", "pre", "blockquote"), "p")
+#: Pages of the sample, about, and blocks of each at most; scores beyond which a block is a label; how firmly the prior holds.
+SAMPLE_PAGES, SAMPLE_BLOCKS, SURE_SCORE, FIRMNESS, ROUNDS = 500, 200, 2.5, 20.0, 2
 SMOOTH_NEXT, SMOOTH_SAME, SMOOTH_NEAR = 0.6, 1.4, 0.5
 
 
 class Block:
-    __slots__ = ("parent", "score", "link", "parts", "path")
+    __slots__ = ("parent", "above", "link", "parts", "path")
 
-    def __init__(self, parent: int, score: float, path: tuple):
-        self.parent, self.score, self.path = parent, score, path
+    def __init__(self, parent: int, above: int, path: tuple):
+        self.parent, self.above, self.path = parent, above, path
         self.parts: list[str] = []
         self.link = 0
 
@@ -52,22 +63,28 @@ class Block:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
-def attribute_score(attributes: str) -> float:
-    total = 0.0
-    for _, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if WORD.search(value):
-            total -= CLASS_AGAINST
-        elif GOOD.search(value):
-            total += CLASS_FOR
-    return total
+def bits_of(name: str, attributes: str, above: int) -> int:
+    """What is above the blocks of an element: what stands for content counts only where nothing above stands against it."""
+    in_article = above & (BIT["article"] | BIT["main"])
+    bits = BIT.get(ELEMENT.get(name, ""), 0)
+    if name == "header" and in_article:
+        bits = 0  # the head of an article belongs to it
+    if attributes and name not in ("html", "body"):
+        for _, value in ATTRIBUTE.findall(attributes):
+            value = value.strip("\"'")
+            if in_article or re.fullmatch("h[1-6]", name):
+                value = re.sub("header", " ", value, flags=re.IGNORECASE)
+            for kind, words in WORDS.items():
+                if words.search(value):
+                    bits |= BIT[kind]
+    return above | (bits & AGAINST if above & AGAINST else bits)
 
 
-def blocks_of(page: str) -> list[tuple[str, float, float, int, tuple]]:
-    """(text, score of the ancestors, share of link text, number of the parent element, ancestors) of each block with text."""
+def blocks_of(page: str) -> list[tuple[str, int, float, int, tuple]]:
+    """(text, bits of what is above, share of link text, number of the parent element, ancestors) of each block with text."""
     out: list[Block] = []
-    # Open block elements: name, number, evidence of it and all above.
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    # Open block elements: name, number, bits of it and all above.
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
     count, links, at, current = 0, 0, 0, None
     endless: set[str] = set()  # raw elements with no end tag in the rest of the page
 
@@ -125,32 +142,63 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int, tuple]]:
         if name in VOID:
             continue
         count += 1
-        inside = stack[-1][2]
-        score = FOR.get(name, 0.0) - AGAINST.get(name, 0.0)
-        if name == "header" and any(x[0] in ("article", "main") for x in stack):
-            score = 0.0  # the head of an article belongs to it
-        if m[3] and name not in ("html", "body"):
-            score += attribute_score(m[3])
-        stack.append((name, count, max(inside, score) if inside >= 0 <= score else inside + min(score, 0.0)))
+        stack.append((name, count, bits_of(name, m[3], stack[-1][2])))
     found = []
     for b in out:
         text = b.text()
         if text:
-            found.append((text, b.score, min(1.0, b.link / len(text)), b.parent, b.path))
+            found.append((text, b.above, min(1.0, b.link / len(text)), b.parent, b.path))
     return found
 
 
-def evidence(text: str, ancestors: float, link: float) -> float:
-    """Positive for content."""
-    words = text.count(" ") + 1
-    score = ancestors - 0.4
-    score += min(2.0, words / 20) + min(1.0, 0.5 * sum(text.count(x) for x in (". ", ", ", "? ", "! ")))
-    score += 0.4 * (text[-1] in ".!?…\"”»")
-    if link > 0.5:
-        score -= 2.5 * link
-    if "©" in text or "all rights reserved" in text.lower():
-        score -= 1.5
-    return score
+def of_text(text: str, link: float) -> list[float]:
+    """The features of a block's own text, in the order of NAMES."""
+    marks = sum(text.count(x) for x in (". ", ", ", "? ", "! "))
+    rights = "©" in text or "all rights reserved" in text.lower()
+    return [1.0, min(1.0, (text.count(" ") + 1) / 40), min(1.0, 0.5 * marks), float(text[-1] in ".!?…\"”»"), link if link > 0.5 else 0.0, float(rights)]
+
+
+def evidence(text: str, above: int, link: float, weights: list[float]) -> float:
+    """Log odds of content."""
+    score = sum(w for k, w in enumerate(weights[:ABOVE]) if above >> k & 1)
+    return score + sum(w * x for w, x in zip(weights[ABOVE:], of_text(text, link), strict=True))
+
+
+def fit(x: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Logistic regression towards the prior, by Newton steps, on the rows that the weights so far are sure of."""
+    weights = prior.copy()
+    for _ in range(ROUNDS):
+        score = x @ weights
+        sure = np.abs(score) >= SURE_SCORE
+        rows, y = x[sure], (score[sure] > 0).astype(float)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
+            g = rows.T @ (y - p) - FIRMNESS * (weights - prior)
+            step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + FIRMNESS * np.eye(len(weights)), g)
+            weights = weights + np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-6:
+                break
+    return weights
+
+
+def train(pages: DataFrame) -> list[float]:
+    """Weights fitted to about SAMPLE_PAGES pages, chosen by a hash; of each, at most SAMPLE_BLOCKS blocks evenly spaced are read.
+
+    Without pages, or without blocks in them, the prior stays.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for page in batch.column("html").to_pylist():
+            blocks = blocks_of(page or "")
+            for text, above, link, _, _ in blocks[:: 1 + len(blocks) // SAMPLE_BLOCKS]:
+                rows.append([float(above >> k & 1) for k in range(ABOVE)] + of_text(text, link))
+        return {"x": rows}
+
+    rows = pages.select("html", F.xxhash64("page_id", "url", "html").alias("h")).where("html IS NOT NULL")
+    sample = below_share(rows, SAMPLE_PAGES / max(1, pages.count()), "h").select("html")
+    found = arrow_map(sample, run, "x array<double>").toArrow().column("x").to_pylist()
+    return fit(np.array(found).reshape(len(found), len(NAMES)), np.array(list(PRIOR.values()))).tolist()
 
 
 def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -214,10 +262,11 @@ def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tupl
                     room[e ^ 1] += push
 
 
-def labelled_blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, is content) of each block in page order."""
+def labelled_blocks(page: str, weights: list[float] | None = None) -> list[tuple[str, bool]]:
+    """(text, is content) of each block in page order; by the prior if there are no weights."""
     blocks = blocks_of(page)
-    scores = [evidence(b[0], b[1], b[2]) for b in blocks]
+    weights = weights or list(PRIOR.values())
+    scores = [evidence(b[0], b[1], b[2], weights) for b in blocks]
     edges, last_of, last_near = [], {}, {}
     for i, (_, _, _, parent, path) in enumerate(blocks):
         near = path[-2] if len(path) > 1 else 0
@@ -232,18 +281,18 @@ def labelled_blocks(page: str) -> list[tuple[str, bool]]:
     return [(b[0], c) for b, c in zip(blocks, inside, strict=True)]
 
 
-def main_text(page: str) -> str:
-    return "\n".join(t for t, content in labelled_blocks(page) if content)
+def main_text(page: str, weights: list[float] | None = None) -> str:
+    return "\n".join(t for t, content in labelled_blocks(page, weights) if content)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages; text is empty for null, empty or textless html.
+def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages, by weights of train(); text is empty for null, empty or textless html.
 
     Whole pages; null ids and urls and repeated rows stay; further columns are dropped.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
-        text = [main_text(h or "") for h in batch.column("html").to_pylist()]
+        text = [main_text(h or "", weights) for h in batch.column("html").to_pylist()]
         return {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": text, "n_chars": list(map(len, text))}
 
     return arrow_map(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")

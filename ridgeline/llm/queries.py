@@ -54,7 +54,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -86,6 +86,66 @@ def test_long_attributes_and_formulas():
     assert "We find that x=2 holds here, as said." in html.main_text(f"<article>{body}<p>We find that {formula} holds here, as said.</p></article>")
 
 
+#: Blocks of made pages, as (markup around {}, is content); long texts are sentences of 30 words.
+PARTS = [
+    ("<h1 class='post-header'>{short}</h1>", True), ("<p>{long}</p>", True), ("<p>{long}</p>", True), ("<div class='article-tags social-story'><p>{long}</p><p>{long}</p></div>", True), ("<blockquote>{long}</blockquote>", True),
+    ("<div class='ad'>{short}</div>", False), ("<aside>{long}</aside>", False), ("<ul class='related'><li><a href=x>{short}</a></li><li><a href=y>{short}</a></li></ul>", False),
+]
+OUTSIDE = [("<nav><a href=/>{short}</a></nav>", 0), ("<header>{short}</header>", 0), ("<div class='cookie-notice'>{long}</div>", 0), ("<div id='comments'><p>{long}</p><p>{long}</p></div>", 1), ("<form><p>{short}</p></form>", 1), ("<footer>{short} &copy; 2024</footer>", 1), ("<div class='sidebar'>{short}</div>", 1)]
+
+
+def made_pages(n: int, rng) -> list[tuple[str, set, set]]:
+    """(html, texts of content, other texts)."""
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9)))
+    out = []
+    for k in range(n):
+        good, bad = set(), set()
+
+        def filled(markup: str, content: bool, good=good, bad=bad) -> str:
+            for kind, size in (("{short}", 4), ("{long}", 30)):
+                while kind in markup:
+                    text = " ".join(word() for _ in range(size)).capitalize() + ("." if size > 4 else "")
+                    text = text.replace(" ", ", ", 1) if size > 4 else text
+                    (good if content else bad).add(text)
+                    markup = markup.replace(kind, text, 1)
+            return markup
+
+        body = "".join(filled(m, c) for m, c in PARTS if c or rng.random() < 0.5)
+        before = "".join(filled(m, False) for m, at in OUTSIDE if at == 0 and rng.random() < 0.7)
+        after = "".join(filled(m, False) for m, at in OUTSIDE if at == 1 and rng.random() < 0.7)
+        tag = ("article", "main", "div class='content'")[k % 3]
+        out.append((f"<html><body>{before}<{tag}>{body}</{tag.split()[0]}>{after}</body></html>", good, bad))
+    return out
+
+
+def test_made_pages(spark):
+    """Precision and recall by blocks, with weights fitted to the pages."""
+    import random
+
+    pages = made_pages(60, random.Random(4))
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _, _) in enumerate(pages)], "page_id bigint, url string, html string")
+    weights = html.train(df)
+    assert weights != list(html.PRIOR.values())
+    right = wrong = missed = 0
+    for r in html.extract(df, weights).collect():
+        got, (_, good, bad) = set(r.text.split("\n")), pages[r.page_id]
+        right, wrong, missed = right + len(got & good), wrong + len(got & bad), missed + len(good - got)
+        assert got <= good | bad
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97, (right, wrong, missed)
+
+
+def test_one_class_word_deletes_no_article():
+    long = "A sentence of the article, which is long enough to be read and says something to whoever reads it. "
+    page = f"<article><h1 class='post-header'>Title</h1><p>{long}</p></article>"
+    assert html.main_text(page).startswith("Title\nA sentence")
+    assert html.main_text(f"<article><div class='article-tags social-story'><p>{long}</p><p>{long * 2}</p></div></article>").count("A sentence") == 3
+
+
+def test_weights_without_pages(spark):
+    none = spark.createDataFrame([(1, "u", None), (2, "v", "")], "page_id bigint, url string, html string")
+    assert html.train(none) == html.train(none.limit(0)) == list(html.PRIOR.values())
+
+
 def test_minimum_cut_is_least():
     import itertools
     import random
