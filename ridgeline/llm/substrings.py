@@ -7,10 +7,15 @@ paths of 1 to 16 edges, and only paths travel between tasks:
 1. anchors are counted; a window can be repeated only if its anchor is;
 2. paths with repeated anchors are joined with the count of their whole word sequence: a path that occurs twice
    as a whole is repeated in all its edges, whatever its number of places;
-3. where paths with one anchor differ, the graph branches inside them: one path of each kind there is opened into its
+3. repeated paths are compacted: where all places of a path go on with one path, and all places of that one come from
+   the first, neither end has a branch, and the two are joined; chains of any length shrink to their first path in
+   rounds of Spark joins that halve them;
+4. where paths with one anchor differ, the graph branches inside them: one path of each kind there is opened into its
    edges, and edges are counted;
-4. what is repeated goes back to its source coordinates (document, first word), is merged into spans, and the
-   spans are cut from the words.  A sequence is known by two independent 64-bit hashes taken at its coordinates.
+5. what is repeated goes back to its source coordinates (document, first word, end), where the words themselves are read
+   and must be the same at all places; spans are merged and cut from the words.
+
+A sequence is known by two independent 64-bit hashes taken at its coordinates until step 5.
 """
 
 from __future__ import annotations
@@ -20,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, mix, rolling, signed, small_side, texts_of, word_hashes
@@ -102,7 +109,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         u, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         return {"token": signed(u), "n": n}
 
-    counted = arrow_map(docs.select("text"), run, "token bigint, n bigint", rows=10_000).groupBy("token").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs.select("text"), run, "token bigint, n bigint", rows=4096).groupBy("token").agg(F.sum("n").alias("n"))
     return materialise(counted.where("n > 1").select("token"), "anchors")
 
 
@@ -162,27 +169,84 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     found = paths(docs, anchors(docs, window, anchor), window, anchor)
     kinds = found.groupBy("token", "c1", "c2").agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "fp", "first", "last")).alias("x"))
     kinds = materialise(kinds.select("token", "c1", "c2", "places", "x.*"), "kinds")
-    twice = materialise(kinds.where("places > 1").select("token", "c1", "c2"), "repeated-paths")
-    whole = found.join(small_side(twice), ["token", "c1", "c2"]).select("doc_id", "fp", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
+    twice = materialise(kinds.where("places > 1").select("token", "c1", "c2", F.xxhash64("token", "c1", "c2").alias("k")), "repeated-paths")
+    places = materialise(found.join(small_side(twice), ["token", "c1", "c2"]).select("k", "doc_id", "fp", "first", "last"), "repeated-places")
+    chain = compacted(places)
+    whole = places.join(small_side(chain), "k").select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"), F.col("k").alias("u"))
     # Branches: anchors with a kind of path that has one place only; the kind of least coordinates stands for all its places.
     branching = kinds.groupBy("token").agg(F.min("places").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("token")
     inside = kinds.join(small_side(materialise(branching, "branching")), "token", "left_semi").withColumnsRenamed({"doc_id": "p_id", "fp": "p_fp"})
     edges = opened(docs, materialise(inside.select("p_id", "p_fp", "first", "last"), "branching-paths"), window)
     again = materialise(edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-edges")
-    single = edges.join(small_side(again), ["h1", "h2"]).select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
-    spans = whole.union(single).groupBy("doc_id", "fp").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    single = edges.join(small_side(again), ["h1", "h2"]).select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + window).alias("end"), F.col("h1").alias("u"))
+    spans = whole.union(single).groupBy(F.col("doc_id").alias("r_id"), F.col("fp").alias("r_fp")).agg(F.collect_set(F.struct("start", "end", "u")).alias("spans"))
+    spans = same_words(docs, materialise(spans, "spans"))
 
     def run(batch: pa.RecordBatch) -> dict:
         joined = [merged([(x["start"], x["end"]) for x in s]) for s in batch.column("spans").to_pylist()]
-        return {"r_id": batch.column("doc_id"), "r_fp": batch.column("fp"), "spans": [[{"start": a, "end": b} for a, b in s] for s in joined]}
+        return {"r_id": batch.column("r_id"), "r_fp": batch.column("r_fp"), "spans": [[{"start": a, "end": b} for a, b in s] for s in joined]}
 
     return materialise(arrow_map(spans, run, "r_id bigint, r_fp bigint, spans array<struct<start: bigint, end: bigint>>"), "repeated-spans")
 
 
+def compacted(places: DataFrame) -> DataFrame:
+    """k, windows: the first path of each chain without branches among the places (k, doc_id, fp, first, last), and the windows of the chain.
+
+    A path has one neighbour on a side if all its places have it there; as every place of a chain is then whole, the
+    places of its first path are the places of the chain.  No chain is a ring: the first place in a document has no
+    neighbour before it.
+    """
+    w = W.partitionBy("doc_id", "fp").orderBy("first", "k")
+    after = F.when(F.lead("first").over(w) == F.col("last") + 1, F.lead("k").over(w))
+    before = F.when(F.lag("last").over(w) == F.col("first") - 1, F.lag("k").over(w))
+    sides = places.withColumn("after", after).withColumn("before", before)
+    only = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    degrees = materialise(sides.groupBy("k").agg(only("after"), only("before"), F.max(F.col("last") - F.col("first") + 1).alias("windows")), "degrees")
+    back = degrees.select(F.col("k").alias("before"), F.col("after").alias("k"))
+    # Each path points at the one before it in its chain, or, at the first, at nothing.
+    state = degrees.join(back.where("k IS NOT NULL"), ["k", "before"], "left_semi").select("k", F.col("before").alias("to"))
+    state = materialise(degrees.select("k", "windows").join(state, "k", "left").select("k", "windows", F.coalesce("to", "k").alias("to")), "chains")
+    while True:
+        jump = state.select(F.col("k").alias("to"), F.col("to").alias("next"))
+        new = materialise(state.join(jump, "to").select("k", "windows", F.col("to").alias("old"), F.col("next").alias("to")), "chains")
+        if not new.where("old <> to").limit(1).count():
+            return materialise(new.groupBy(F.col("to").alias("k")).agg(F.sum("windows").alias("windows")), "compacted")
+        state = new.select("k", "windows", "to")
+
+
+def same_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans (start, end, u) of rows r_id, r_fp whose words, read at their coordinates, are those of another span of the same u.
+
+    A digest of the words of each span is counted by u; where all spans of every u agree, as hashes promise, that is all.
+    """
+    asked = with_spans(docs, spans).where("spans IS NOT NULL")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        u, d = [], []
+        for text, marks in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
+            words = words_of(text)
+            u += [m["u"] for m in marks]
+            d += [xxhash.xxh3_128_digest(b" ".join(words[m["start"] : m["end"]])) for m in marks]
+        return {"u": u, "d": d}
+
+    counted = materialise(arrow_map(asked, run, "u bigint, d binary").groupBy("u", "d").agg(F.count("*").alias("n")), "span-words")
+    other = counted.where("n = 1").select("u", "d")
+    if not other.limit(1).count():
+        return spans
+
+    def agree(batch: pa.RecordBatch) -> dict:
+        out = [[dict(m, d=xxhash.xxh3_128_digest(b" ".join(words_of(t)[m["start"] : m["end"]]))) for m in s] for t, s in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True)]
+        return {"r_id": batch.column("doc_id"), "r_fp": batch.column("fp"), "marks": out}
+
+    marks = arrow_map(asked, agree, "r_id bigint, r_fp bigint, marks array<struct<start: bigint, end: bigint, u: bigint, d: binary>>")
+    rows = marks.select("r_id", "r_fp", F.explode("marks").alias("m")).select("r_id", "r_fp", "m.*").join(other, ["u", "d"], "left_anti")
+    return rows.groupBy("r_id", "r_fp").agg(F.collect_set(F.struct("start", "end", "u")).alias("spans"))
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text, spans: the documents, broadcast join if the spans are few."""
+    """doc_id, fp, text, spans: the documents, broadcast join if the spans are few."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
-    return docs.join(small_side(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("fp") == F.col("r_fp")), "left").select("doc_id", "text", "spans")
+    return docs.join(small_side(spans), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("fp") == F.col("r_fp")), "left").select("doc_id", "fp", "text", "spans")
 
 
 def without(words: list[bytes], spans: list[dict]) -> list[bytes]:
