@@ -187,3 +187,16 @@ def test_pipeline(spark):
     assert table(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(expected, key=repr)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "personal data", "tokens"]
     assert len(pairs(spark.read.parquet(f"{SF}/documents.parquet"))) > len(out) > 0
+
+
+def test_pipeline_on_odd_and_empty_rows(spark, odd):
+    """Nulls, empty texts, repeated rows and special tokens go through all stages; no rows give none."""
+    rows = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    for docs, some in ((rows, True), (rows.limit(0), False)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.materialise(stage(spark, docs, SF), "odd-stage")
+            assert name == "tokens" or out.columns == docs.columns
+            docs = out
+        got = docs.collect()
+        assert bool(got) == some and {r.doc_id for r in got} <= {r.doc_id for r in rows.collect()}
+        assert all(len(r.ids) == r.n_tokens for r in got)
