@@ -172,7 +172,7 @@ class WordTokenizer:
     added token spelled out (which is that token's id), go to it whole.
     """
 
-    words, word_chars = 150_000, 64
+    words, word_chars = 300_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
