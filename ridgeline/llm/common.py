@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -146,13 +148,45 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders of the tables that the innermost function under clears_tables has written; None outside of any.
+WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = shared_dir(df.sparkSession, name)
+    if (written := WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clears_tables(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """fn with its result written; the tables that fn itself wrote on the way go then, and if it fails."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        paths: list[str] = []
+        token = WRITTEN.set(paths)
+        try:
+            try:
+                out = fn(docs, *args, **kwargs)
+            finally:
+                WRITTEN.reset(token)
+            return materialise(out, fn.__name__.replace("_", "-"))
+        finally:
+            for path in paths:
+                remove_folder(docs.sparkSession, path)
+
+    return run
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this library's own, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def below_share(df: DataFrame, share: float, hash_col: str) -> DataFrame:
     """About that share of the rows, chosen by their hash alone (a bigint column): all of them from 1 on."""
     return df if share >= 1 else df.where(F.pmod(F.col(hash_col), F.lit(1 << 52)) < int(share * (1 << 52)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, arrow_map, fresh, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
+from .common import SLICE_ROWS, arrow_map, clears_tables, fresh, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
 from .components import components
 
 PERCENT, WORDS = 80, 5
@@ -400,6 +400,7 @@ def labelled(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     return sets, materialise(rows, "labelled")
 
 
+@clears_tables
 def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the least doc_id that links reach, itself included.
 
@@ -412,23 +413,29 @@ def join(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFra
     return out.union(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+@clears_tables
+def surplus(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """i, h (an id and the hash of its text) of the rows that keep_one() drops (gone) or finds repeated (again)."""
+    _, rows = labelled(docs, percent, words)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h")
+    kept = rows.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_i"), F.col("k.h").alias("kept_h"))
+    keys = rows.groupBy(F.col("doc_id").alias("i"), "h").agg(F.count("*").alias("times"))
+    meant = F.col("i").eqNullSafe(F.col("kept_i")) & (F.col("h") == F.col("kept_h"))
+    return keys.join(kept, meant, "left").select("i", "h", (F.col("times") > 1).alias("again"), F.col("kept_h").isNull().alias("gone")).where("gone OR again")
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with one row of each component, that of least doc_id (a null id comes last) and then set hash; all columns stay.
 
     Rows without words are alone and all stay.  A row is known by its id and the hash of its text; of rows alike in both, which are
     copies, one stays.
     """
-    _, rows = labelled(docs, percent, words)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h")
-    i, h, kept_i, kept_h = fresh(docs.columns, "i", "h", "kept_i", "kept_h")
-    kept = rows.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias(kept_i), F.col("k.h").alias(kept_h))
-    keys = rows.groupBy(F.col("doc_id").alias(i), F.col("h").alias(h)).agg(F.count("*").alias("times"))
-    meant = F.col(i).eqNullSafe(F.col(kept_i)) & (F.col(h) == F.col(kept_h))
-    keys = materialise(keys.join(kept, meant, "left").select(i, h, (F.col("times") > 1).alias("again"), F.col(kept_h).isNull().alias("gone")).where("gone OR again"), "keys")
-    marked = docs.withColumn(kept_h, text_hash(kept_h))
-    on = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(kept_h) == F.col(h))
+    i, h, mark = fresh(docs.columns, "i", "h", "mark")
+    keys = surplus(docs, percent, words).withColumnsRenamed({"i": i, "h": h})
+    marked = docs.withColumn(mark, text_hash(mark))
+    on = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(mark) == F.col(h))
     out = marked.join(small_side(keys.select(i, h)), on, "left_anti")
     copies = keys.where("again AND NOT gone").select(i, h)
     if copies.limit(1).count():
-        out = out.union(marked.join(small_side(copies), on, "left_semi").dropDuplicates(["doc_id", kept_h]))
-    return out.drop(kept_h)
+        out = out.union(marked.join(small_side(copies), on, "left_semi").dropDuplicates(["doc_id", mark]))
+    return out.drop(mark)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, small_side
+from .common import clears_tables, fresh, materialise, small_side
 
 MAX_DOCS = 100
 MAX_REMOVED = 70
@@ -107,18 +107,24 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: int = MAX_REMO
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "fp")
 
 
+@clears_tables
+def changes(docs: DataFrame, max_docs: int, max_removed: int) -> DataFrame:
+    """doc_id, fp, cut, gone of the documents that keep() rejects (gone) or cuts lines from (their positions)."""
+    table, hit = boilerplate(docs, max_docs)
+    removed = materialise(hit.groupBy("doc_id", "fp").agg(F.sum("w").alias("removed_words"), F.collect_set("pos").alias("cut")), "removed-lines")
+    changed = verdict(table, removed, max_removed).where(~F.col("kept") | F.col("cut").isNotNull())
+    return changed.groupBy("doc_id", "fp").agg(F.first("cut").alias("cut"), F.bool_or(~F.col("kept")).alias("gone"))
+
+
 def keep(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed: int = MAX_REMOVED) -> DataFrame:
     """docs without the rows that judge() rejects and without the lines over the limit; columns stay as they are.
 
     A text that loses no line stays as it is, null texts included; of others the remaining lines are joined by \\n.
     """
-    table, hit = boilerplate(docs, max_docs)
-    removed = materialise(hit.groupBy("doc_id", "fp").agg(F.sum("w").alias("removed_words"), F.collect_set("pos").alias("cut")), "removed-lines")
-    ids, fps, cut, gone, mark = fresh(docs.columns, "judged_id", "judged_fp", "cut", "gone", "mark")
-    changed = verdict(table, removed, max_removed).where(~F.col("kept") | F.col("cut").isNotNull())
-    changed = changed.groupBy(F.col("doc_id").alias(ids), F.col("fp").alias(fps)).agg(F.first("cut").alias(cut), F.bool_or(~F.col("kept")).alias(gone))
+    ids, fps, cut, gone, mark = names = fresh(docs.columns, "judged_id", "judged_fp", "cut", "gone", "mark")
+    changed = changes(docs, max_docs, max_removed).toDF(*names[:4])
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = marked.join(small_side(materialise(changed, "changed")), F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(mark) == F.col(fps)), "left")
+    out = marked.join(small_side(changed), F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(mark) == F.col(fps)), "left")
     out = out.where(F.col(gone).isNull() | ~F.col(gone))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
     return out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)

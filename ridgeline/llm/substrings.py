@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, mix, rolling, signed, small_side, texts_of, word_hashes
+from .common import arrow_map, clears_tables, materialise, mix, rolling, signed, small_side, texts_of, word_hashes
 from .spans import merged
 
 WINDOW = 35
@@ -160,6 +160,7 @@ def opened(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     return materialise(arrow_map(on, run, "h1 bigint, h2 bigint, doc_id bigint, fp bigint, first bigint"), "edges")
 
 
+@clears_tables
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """r_id, r_fp, spans array<struct<start, end>>: merged word ranges of repeated windows, of documents that have some.
 
@@ -186,7 +187,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         joined = [merged([(x["start"], x["end"]) for x in s]) for s in batch.column("spans").to_pylist()]
         return {"r_id": batch.column("r_id"), "r_fp": batch.column("r_fp"), "spans": [[{"start": a, "end": b} for a, b in s] for s in joined]}
 
-    return materialise(arrow_map(spans, run, "r_id bigint, r_fp bigint, spans array<struct<start: bigint, end: bigint>>"), "repeated-spans")
+    return arrow_map(spans, run, "r_id bigint, r_fp bigint, spans array<struct<start: bigint, end: bigint>>")
 
 
 def compacted(places: DataFrame) -> DataFrame:

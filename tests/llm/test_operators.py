@@ -1,5 +1,7 @@
 """The ten operators against plain versions, over the test tables and over odd rows, and on empty tables."""
 
+from pathlib import Path
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +231,26 @@ def test_empty_tables(spark, none):
 def test_other_columns_stay(odd):
     for out in (quality.keep(odd), pii.mask(odd), jaccard.keep_one(odd)):
         assert out.columns == odd.columns
+
+
+def folders(spark) -> set[str]:
+    return {p.name for p in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*")}
+
+
+def test_tables_on_the_way_go(spark, odd):
+    before = folders(spark)
+    jaccard.join(odd).count()
+    substrings.digest(odd).count()
+    assert sorted(x.rsplit("-", 1)[0] for x in folders(spark) - before) == ["join", "repeated-spans"]
+
+
+def test_tables_go_after_a_failure(spark, odd, monkeypatch):
+    before = folders(spark)
+
+    def fails(links):
+        raise RuntimeError("no components")
+
+    monkeypatch.setattr(jaccard, "components", fails)
+    with pytest.raises(RuntimeError, match="no components"):
+        jaccard.join(odd)
+    assert folders(spark) == before
