@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -467,10 +466,22 @@ class Codec:
 ENCODED_CHARS, ENCODED_ROWS = 1 << 22, 1024
 
 
-@lru_cache(maxsize=4)
+CODECS: dict[tuple[str, str], Codec] = {}
+
+
 def codec(rank_file: str, pattern: str) -> Codec:
-    """One for each worker process, kept from task to task."""
-    return Codec(rank_file, pattern)
+    """One for each worker process (of the last four asked for); its tables are kept from task to task, its states until a task ends."""
+    if (key := (rank_file, pattern)) not in CODECS:
+        if len(CODECS) >= 4:
+            CODECS.clear()
+        CODECS[key] = Codec(rank_file, pattern)
+    return CODECS[key]
+
+
+def forget() -> None:
+    """The transducers of this process forget their states, which the next task builds anew as it reaches them."""
+    for c in CODECS.values():
+        c.transducer.reset()
 
 
 def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -483,7 +494,7 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "d
     def encode(batch: pa.RecordBatch) -> dict:
         return {"doc_id": batch.column(0), "ids": lists(codec(rank_file, pattern).encode(texts_of(batch)))}
 
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), encode, "doc_id bigint, ids array<int>", rows=ENCODED_ROWS)
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), encode, "doc_id bigint, ids array<int>", rows=ENCODED_ROWS, release=forget)
 
 
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -514,4 +525,4 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = F
         out = {"doc_id": batch.column(0), "n_tokens": list(map(len, ids)), "ids_sha256": [sha(c.digits(x)) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]}
         return out | ({"ids": lists(ids)} if with_ids else {})
 
-    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, rows=ENCODED_ROWS)
+    return arrow_map(docs.select("doc_id", "text"), digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, rows=ENCODED_ROWS, release=forget)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -31,11 +32,11 @@ def schema_of(ddl: str) -> StructType:
 SLICE_ROWS = 1024
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str, rows: int = SLICE_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str, rows: int = SLICE_ROWS, release: Callable[[], None] = lambda: None) -> DataFrame:
     """Map slices of Arrow batches, of so many rows at most, with fn, which gives a dict of columns for a slice.
 
     An empty table gives an empty table; memory is bounded by the slice and by Spark's own batches
-    (spark.sql.execution.arrow.maxRecordsPerBatch), not by the partition.
+    (spark.sql.execution.arrow.maxRecordsPerBatch), not by the partition.  release is called when a task ends.
     """
     schema = schema_of(ddl)
     target = to_arrow_schema(schema)
@@ -45,7 +46,23 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], ddl: str, row
             out = fn(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run, release), schema)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], release: Callable[[], None] = lambda: None) -> Callable:
+    """run, with memory given back when the task ends: Spark keeps worker processes, and idle ones count against the executor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+            HASHES.clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return task
 
 
 def slices_of(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_size, fresh, materialise, slices_of, text_hash, texts_of, with_column
+from .common import arrow_map, by_size, fresh, frugal, materialise, slices_of, text_hash, texts_of, with_column
 from .spans import merged
 
 WINDOW = 10
@@ -296,7 +296,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = batch.column("text").to_pylist()
                 yield without(batch, texts, [(n, s) for n, s, _ in shard_hits([t or "" for t in texts], queries.value)])
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(frugal(run), docs.schema)
     names = docs.columns
     fp, k_id, k_fp, spans = fresh(names, "fp", "k_id", "k_fp", "spans")
     found = by_blocks(docs, chain((first, second), rest)).select(F.col("k_id").alias(k_id), F.col("k_fp").alias(k_fp), F.col("spans").alias(spans))
@@ -308,7 +308,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = [merged([(x["start"], x["end"]) for x in s or []]) for s in batch.column(spans).to_pylist()]
             yield without(batch.select(names), texts, [(len(words_of(t or "")), s) for t, s in zip(texts, found, strict=True)])
 
-    return marked.mapInArrow(cut_out, docs.schema)
+    return marked.mapInArrow(frugal(cut_out), docs.schema)
 
 
 def without(batch: pa.RecordBatch, texts: list, found: list[tuple[int, list]]) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, arrow_map, clears_tables, fresh, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
+from .common import SLICE_ROWS, arrow_map, clears_tables, fresh, frugal, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
 from .components import components
 
 PERCENT, WORDS = 80, 5
@@ -341,7 +341,7 @@ def candidates(rows: DataFrame, table: DataFrame, t: Threshold, forest: bool) ->
         if held is not None and held.num_rows:
             yield out(held)
 
-    return rows.mapInArrow(run, schema_of(ddl)).distinct()
+    return rows.mapInArrow(frugal(run), schema_of(ddl)).distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, words: int) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, slices_of, texts_of, with_column
+from .common import arrow_map, frugal, slices_of, texts_of, with_column
 from .spans import digest, joined, merged, overlaps
 
 KINDS = ("email", "ip", "card", "phone", "iban", "number")
@@ -138,7 +138,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = batch.column(text_col).to_pylist()
             yield with_column(batch, text_col, [None if t is None else masked(t) for t in texts])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def digest_scan(docs: DataFrame) -> DataFrame:
