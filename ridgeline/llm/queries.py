@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, pii, quality, secrets, sstable, substrings, toxicity
+from . import bpe, decontaminate, hard_negatives, html, jaccard, nearest, pii, quality, secrets, sstable, substrings, toxicity, vafile
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.train(pages))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.quantise(read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard, op8_substrings, op9_toxicity, op10_html)
+    f.__name__: f for f in (op1_decontaminate, op2_token_shards, op3_secrets, op4_byte_bpe, op5_quality, op6_pii, op7_jaccard, op8_substrings, op9_toxicity, op10_html, op11_vector_codes, op12_hard_negatives, op13_nearest)
 }
-ORACLES: dict[str, str] = {"op5_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op5_quality": quality.ORACLE, "op11_vector_codes": vafile.sql(), "op12_hard_negatives": hard_negatives.ORACLE, "op13_nearest": nearest.ORACLE}
