@@ -38,18 +38,43 @@ def flood_counts(points: DataFrame, wet: DataFrame) -> DataFrame:
     return marked.groupBy("kind").agg(F.count("wet").alias("flooded"), F.count("*").alias("total"))
 
 
-def asset_union(buildings: DataFrame, roads: DataFrame, facilities: DataFrame) -> DataFrame:
-    """kind, id (text), name, lng, lat; a null id becomes kind:position."""
+def asset_id(kind: str, *ids: str) -> Column:
+    """Text of the first id that is given; without one, kind:position."""
+    return F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ids), F.concat(F.lit(f"{kind}:"), F.col("pos").cast("string")))
+
+
+def asset_samples(buildings: DataFrame, roads: DataFrame, facilities: DataFrame, step: float) -> DataFrame:
+    """kind, id (text), name, lng, lat: the points at which each asset is looked at.
+
+    Buildings and facilities (id, pos, name, lng, lat; facilities may have osm_id too) are one point each.  Roads (id, pos,
+    name, path) are sampled along every segment; a road of one vertex is that point, one without any is left out.  Empty names are null.
+    """
 
     def part(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit(f"{kind}:"), F.col("pos").cast("string"))).alias("id"), F.nullif(F.col("name"), F.lit("")).alias("name"), "lng", "lat")
+        ids = [c for c in ("id", "osm_id") if c in df.columns]
+        return df.select(F.lit(kind).alias("kind"), asset_id(kind, *ids).alias("id"), F.nullif(F.col("name"), F.lit("")).alias("name"), *(c for c in ("lng", "lat", "path") if c in df.columns))
+
+    lines = part(roads, "roads")
+    named = F.struct("id", "name").alias("id")
+    along = densify(lines.select(named, "path"), step).select("id", "lng", "lat").union(lines.where("size(path) = 1").select(named, F.col("path")[0]["lng"], F.col("path")[0]["lat"]))
+    points = part(buildings, "buildings").unionByName(part(facilities, "facilities"))
+    return points.unionByName(along.select(F.lit("roads").alias("kind"), "id.id", "id.name", "lng", "lat"))
 
-    return part(buildings, "buildings").unionByName(part(roads, "roads")).unionByName(part(facilities, "facilities"))
 
+def totals(samples: DataFrame) -> DataFrame:
+    """kind, total: assets, not samples."""
+    return samples.select("kind", "id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
 
-def planned_or_all(planned: DataFrame | None, assets: DataFrame) -> DataFrame:
-    """A scenario's own assets replace all others, an empty list too."""
-    return assets if planned is None else planned
+
+def affected(samples: DataFrame, wet: DataFrame, grid: Grid) -> DataFrame:
+    """kind, id, name of every asset with a sample in a wet cell, once each."""
+    return with_cell(samples, grid).join(wet.select("r", "c"), ["r", "c"], "left_semi").groupBy("kind", "id").agg(F.first("name").alias("name"))
+
+
+def affected_counts(samples: DataFrame, hit: DataFrame) -> DataFrame:
+    """kind, flooded, total."""
+    n = hit.groupBy("kind").agg(F.count(F.lit(1)).alias("flooded"))
+    return totals(samples).join(n, "kind", "left").select("kind", F.coalesce("flooded", F.lit(0)).alias("flooded"), "total")
 
 
 def stamp(points: DataFrame, n: int, spacing_m: float = 60.0) -> DataFrame:

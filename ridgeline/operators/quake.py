@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hazard
-from ..functions.grid import Grid
+from ..functions.grid import KM_PER_DEG, Grid, km_per_deg_lng
 
 
 def point_intensity(points: DataFrame, lng: float, lat: float, magnitude: float, depth_km: float) -> DataFrame:
@@ -53,9 +53,67 @@ def worst_band(samples: DataFrame) -> DataFrame:
     return samples.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("label") > 0, F.col("label"))), F.lit(0)).alias("label"))
 
 
-def sweep(points: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """scenario, kind, band, n over many scenarios: scenarios are a small table, sent to every task, and pairs are counted as they arise."""
-    s = F.broadcast(scenarios.withColumnsRenamed({"lng": "s_lng", "lat": "s_lat"}))
+#: Degrees of the tiles through which scenarios and points find each other.
+TILE = 0.25
+
+
+def in_tiles(points: DataFrame) -> DataFrame:
+    at = lambda c: F.floor(F.col(c) / TILE)
+    return points.withColumns({"tx": at("lng"), "ty": at("lat")})
+
+
+def reach(scenarios: DataFrame) -> DataFrame:
+    """scenario, s_lng, s_lat, magnitude, depth_km, tx, ty: the tiles that hold any point within the outermost radius.
+
+    A degree of longitude is taken as short as it gets within the radius.  Magnitudes have a bound, and so have the tiles of a scenario.
+    """
+    km = hazard.band_radius_km(F.lit(hazard.BANDS[-1][1]), F.col("magnitude"), F.col("depth_km")) + 0.1  # it is rounded to 0.1
+    d_lat = km / KM_PER_DEG
+    d_lng = km / km_per_deg_lng(F.least(F.abs("lat") + d_lat, F.lit(90.0)))
+    over = lambda at, d: F.explode(F.sequence(F.floor((F.col(at) - d) / TILE), F.floor((F.col(at) + d) / TILE)))
+    near = scenarios.where("magnitude IS NOT NULL AND depth_km IS NOT NULL AND lng IS NOT NULL AND lat IS NOT NULL")
+    near = near.select("scenario", F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"), "magnitude", "depth_km", over("lng", d_lng).alias("tx"), d_lat.alias("d_lat"))
+    return near.select("scenario", "s_lng", "s_lat", "magnitude", "depth_km", "tx", F.explode(F.sequence(F.floor((F.col("s_lat") - F.col("d_lat")) / TILE), F.floor((F.col("s_lat") + F.col("d_lat")) / TILE))).alias("ty"))
+
+
+def labelled_pairs(pairs: DataFrame) -> DataFrame:
+    """scenario, kind, id, label of pairs that are in any band."""
     km = hazard.distance_km(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat"))
-    index = hazard.intensity(km, F.col("depth_km"), F.col("magnitude"))
-    return points.crossJoin(s).select("scenario", "kind", F.coalesce(hazard.band(index), F.lit("none")).alias("band")).groupBy("scenario", "kind", "band").agg(F.count("*").alias("n"))
+    label = hazard.band_label(hazard.intensity(km, F.col("depth_km"), F.col("magnitude")))
+    return pairs.select("scenario", "kind", "id", label.alias("label")).where("label > 0")
+
+
+def counted(hits: DataFrame, all_of: DataFrame) -> DataFrame:
+    """scenario, kind, band, n from hits (scenario, kind, label) of assets and all_of (scenario, kind, total); what is in no band is the difference."""
+    n = hits.groupBy("scenario", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    some = n.groupBy("scenario", "kind").agg(F.sum("n").alias("hit"))
+    none = all_of.join(some, ["scenario", "kind"], "left").withColumn("n", F.col("total") - F.coalesce("hit", F.lit(0))).where("n > 0")
+    names = F.array(*(F.lit(b) for b, _ in hazard.BANDS))
+    return n.select("scenario", "kind", F.get(names, F.col("label") - 1).alias("band"), "n").union(none.select("scenario", "kind", F.lit("none"), "n"))
+
+
+def sweep(points: DataFrame, scenarios: DataFrame, lines: bool = False) -> DataFrame:
+    """scenario, kind, band, n of many scenarios over points (kind, id, lng, lat), each an asset; with lines, an asset is all points of its id, in the worst of their bands.
+
+    Scenarios and points meet in the tiles within reach alone, so work is bounded by the pairs within reach, not by all pairs.
+    Points without a place, and all points of a scenario without all four numbers, are in no band.
+    """
+    hits = labelled_pairs(in_tiles(points).join(reach(scenarios), ["tx", "ty"]))
+    if lines:
+        hits = hits.groupBy("scenario", "kind", "id").agg(F.min("label").alias("label"))
+    per_kind = (points.select("kind", "id").distinct() if lines else points).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+    return counted(hits, scenarios.select("scenario").crossJoin(F.broadcast(per_kind)))  # a row for each of the result's
+
+
+def planned_sweep(planned: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """The same for scenarios that bring assets of their own (scenario, kind, id, lng, lat); one with an empty list has no rows."""
+    s = scenarios.select("scenario", F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"), "magnitude", "depth_km")
+    return counted(labelled_pairs(planned.join(s, "scenario")), planned.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("total")))
+
+
+def exposed(samples: DataFrame, lng: float, lat: float, magnitude: float, depth_km: float) -> DataFrame:
+    """kind, id, name, band of every asset (kind, id, name, lng, lat, one row a sample): its worst band, null outside all."""
+    label = F.nullif(hazard.band_label(F.col("intensity")), F.lit(0))
+    worst = point_intensity(samples, lng, lat, magnitude, depth_km).groupBy("kind", "id").agg(F.first("name").alias("name"), F.min(label).alias("label"))
+    names = F.array(*(F.lit(b) for b, _ in hazard.BANDS))
+    return worst.select("kind", "id", "name", F.get(names, F.col("label") - 1).alias("band"))

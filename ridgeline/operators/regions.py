@@ -29,7 +29,12 @@ def coarse(grid: Grid, k: int) -> Grid:
 
 
 def labelled(mask: DataFrame, grid: Grid) -> DataFrame:
-    """r, c, label: the 4-connected component of each cell, by its least cell number.
+    """r, c, label: the 4-connected component of each cell, by its least cell number."""
+    return labelled_runs(mask, grid).select("r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
+
+
+def labelled_runs(mask: DataFrame, grid: Grid) -> DataFrame:
+    """label, r, c0, c1: the maximal level runs of a mask, each with the least cell number of its 4-connected body.
 
     Cells are first joined to runs, so the graph has one node a run, and runs of neighbouring rows are linked where they overlap: each run looks
     up the rows below by its cells, an equi-join.
@@ -40,7 +45,7 @@ def labelled(mask: DataFrame, grid: Grid) -> DataFrame:
     below = cells.select(F.col("node").alias("b"), (F.col("r") - 1).alias("r"), "c")
     links = cells.join(below, ["r", "c"]).select(F.col("node").alias("a"), "b").distinct()
     labels = components(links, runs.select("node"))
-    return cells.join(labels, "node").select("r", "c", "label")
+    return runs.join(labels, "node").select("label", "r", "c0", "c1")
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:
@@ -95,12 +100,12 @@ def simplified(path: list[tuple[float, float]], tolerance: float) -> list[tuple[
     keep, stack = {0, len(path) - 1}, [(0, len(path) - 1)]
     while stack:
         a, b = stack.pop()
-        (x0, y0), (x1, y1) = path[a], path[b]
+        (x0, y0), (x1, y1) = path[a][:2], path[b][:2]
         dx, dy = x1 - x0, y1 - y0
         length = (dx * dx + dy * dy) ** 0.5
         far, at = tolerance, -1
         for k in range(a + 1, b):
-            x, y = path[k]
+            x, y = path[k][:2]
             d = abs(dx * (y - y0) - dy * (x - x0)) / length if length else ((x - x0) ** 2 + (y - y0) ** 2) ** 0.5
             if d > far:
                 far, at = d, k
@@ -134,25 +139,6 @@ def mask_polygons(mask: DataFrame, grid: Grid) -> DataFrame:
     return polygons(labelled(clean(small, g), g).withColumn("mask", F.lit("mask")), g, ["mask"])
 
 
-def rim(dem: DataFrame, grid: Grid, cap_m: float) -> DataFrame:
-    """label, cells, on_border, ok: the largest body strictly below the cap, and whether it is an enclosed valley.
-
-    It is not if it holds a corner of the grid, or if over 35 % of its border cells lie on the grid's border.
-    """
-    found = labelled(dem.where(F.col("elev") < cap_m), grid)
-    sizes = found.groupBy("label").agg(F.count("*").alias("cells"))
-    first = sizes.orderBy(F.desc("cells"), "label").limit(1)
-    body = written(found.join(F.broadcast(first), "label"), "rim")
-    around = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))))
-    sides = body.select("r", "c", F.explode(around).alias("x")).select("r", "c", (F.col("r") + F.col("x.dr")).alias("nr"), (F.col("c") + F.col("x.dc")).alias("nc"))
-    inner = body.select(F.col("r").alias("nr"), F.col("c").alias("nc"))
-    rimmed = sides.join(inner, ["nr", "nc"], "left_anti").select("r", "c").distinct()
-    edge = (F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == grid.nrows - 1) | (F.col("c") == grid.ncols - 1)
-    corner = F.col("r").isin(0, grid.nrows - 1) & F.col("c").isin(0, grid.ncols - 1)
-    s = rimmed.agg(F.count("*").alias("n"), F.count_if(edge).alias("on_border"), F.max(corner).alias("corner"))
-    return first.crossJoin(F.broadcast(s)).select("label", "cells", "on_border", ((~F.coalesce("corner", F.lit(False))) & (F.col("on_border") <= 0.35 * F.col("n"))).alias("ok"))
-
-
 def simplify_lines(lines: DataFrame, tolerance: float) -> DataFrame:
     """id, n, path: each path by Douglas-Peucker, rounded to five decimals."""
 

@@ -144,16 +144,58 @@ def flood_exposure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of buildings, some without an id, of roads, and of facilities, some of which have an osm_id only."""
     none = F.lit(None).cast("string")
     b = T.buildings(spark, d).withColumn("pos", F.col("id")).withColumn("id", F.when(F.col("id") % 10 > 0, F.col("id")))
-    r = T.road_vertices(spark, d).where("pos = 1").withColumn("name", none)
-    return exposure.asset_union(b.select("id", "pos", "name", "lng", "lat"), r.select("id", "pos", "name", "lng", "lat"), T.facilities(spark, d).withColumn("pos", F.col("id")))
+    r = T.lines(T.road_vertices(spark, d)).withColumns({"name": none, "pos": F.col("id")})
+    f = T.facilities(spark, d).withColumns({"pos": F.col("id"), "osm_id": F.when(F.col("id") % 8 > 0, F.concat(F.lit("n"), F.col("id").cast("string"))), "id": F.when(F.col("id") % 4 > 0, F.col("id"))})
+    return exposure.asset_samples(b, r, f, sample_step(T.dem_grid(T.dem(spark, d))))
+
+
+def sample_step(g) -> float:
+    """Two cells of the shorter side."""
+    return min(g.res_lng, g.res_lat) * 2
 
 
 def asset_union(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample of every asset."""
     return all_assets(spark, d).select("kind", "id", "name", r6("lng").alias("lng"), r6("lat").alias("lat"))
 
 
+def flood_affected(spark: SparkSession, d: str) -> DataFrame:
+    """Assets of all three kinds that stand in water."""
+    cells, g = wet(spark, d)
+    return exposure.affected(all_assets(spark, d), cells, g)
+
+
+def flood_exposed_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Flooded and total of all three kinds."""
+    assets = all_assets(spark, d)
+    cells, g = wet(spark, d)
+    return exposure.affected_counts(assets, exposure.affected(assets, cells, g))
+
+
+def quake_exposed(spark: SparkSession, d: str) -> DataFrame:
+    """Assets of all three kinds in any band."""
+    return quake.exposed(all_assets(spark, d), LNG, LAT, MAGNITUDE, DEPTH).where("band IS NOT NULL")
+
+
+def quake_exposed_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by band of all three kinds."""
+    return quake.exposure(quake.exposed(all_assets(spark, d), LNG, LAT, MAGNITUDE, DEPTH))
+
+
+def scenario_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Bands of all scenarios: of each third its own planned assets (none for scenario 0), of the others all three kinds."""
+    s = T.scenarios(spark, d)
+    own, shared = s.where("scenario % 3 = 0"), s.where("scenario % 3 > 0")
+    stamps = exposure.stamp(own.where("scenario > 0").withColumnRenamed("scenario", "id"), 2)
+    planned = stamps.select(F.col("id").alias("scenario"), F.when(F.col("i") == 0, "shelter").otherwise("clinic").alias("kind"), F.concat_ws("-", "i", "j").alias("id"), "lng", "lat")
+    assets = all_assets(spark, d)
+    points, lines = assets.where("kind <> 'roads'"), assets.where("kind = 'roads'")
+    return quake.sweep(points, shared).union(quake.sweep(lines, shared, lines=True)).union(quake.planned_sweep(planned, own))
+
+
 def plan(spark: SparkSession, d: str) -> DataFrame:
     """Planned assets: one stamp of four at each scenario's place."""
     s = exposure.stamp(T.scenarios(spark, d).withColumnRenamed("scenario", "id"), 2)
@@ -167,7 +209,7 @@ def plan_stamp(spark: SparkSession, d: str) -> DataFrame:
 
 def planned_assets(spark: SparkSession, d: str) -> DataFrame:
     """Exposure of a scenario whose own assets replace all others."""
-    return quake.exposure(quake.point_intensity(exposure.planned_or_all(plan(spark, d), points(spark, d)), LNG, LAT, MAGNITUDE, DEPTH))
+    return quake.exposure(quake.point_intensity(plan(spark, d), LNG, LAT, MAGNITUDE, DEPTH))
 
 
 def planned_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +240,7 @@ def scenario_validate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     dem_scan, point_to_cell, cell_geometry, region_mask, region_clip, quake_intensity, quake_bands, quake_raster, quake_area, quake_radii, quake_exposure, scenario_sweep,
-    densify, road_vertices, road_any_flood, road_worst_band, flood_absolute, flood_depth, flood_stats, flood_exposure, asset_union, planned_assets, plan_stamp,
+    densify, road_vertices, road_any_flood, road_worst_band, flood_absolute, flood_depth, flood_stats, flood_exposure, asset_union, flood_affected, flood_exposed_assets, quake_exposed, quake_exposed_assets, scenario_exposure, planned_assets, plan_stamp,
     planned_verdicts, band_by_id, exposed_facilities, scenario_validate)}
 
 I_POINT = sql.intensity(sql.km("lng", "lat", f"{LNG}e0", f"{LAT}e0", "lat"), f"{DEPTH}e0", f"{MAGNITUDE}e0")
@@ -212,6 +254,13 @@ COUNTS = """SELECT kind, CAST(count(*) FILTER (band = 'high') AS BIGINT) AS high
   count(*) FILTER (band = 'low') AS low, count(*) FILTER (band IS NULL) AS "none", count(*) AS total FROM banded GROUP BY kind"""
 STAMP = "SELECT s.scenario AS id, i.i, j.j, s.lng + (i.i - {off}) * 60.0e0 / (cos(radians(s.lat)) * 111320.0e0) AS lng, s.lat + (j.j - {off}) * 60.0e0 / 111320.0e0 AS lat FROM scenarios s, range(0, {n}) i(i), range(0, {n}) j(j)"
 PLAN = f"{sql.SCENARIOS}, points AS (SELECT 'plan-' || id || '-' || i || '-' || j AS id, 'planned' AS kind, lng, lat FROM ({STAMP.format(n=2, off='0.5e0')}))"
+ASSETS = f"""{sql.GRID}, {sql.BUILDINGS}, {sql.FACILITIES}, {sql.ROADS}, {sql.SEGMENTS}, many AS (SELECT id FROM roads GROUP BY id HAVING count(*) = 1),
+parts AS (SELECT *, greatest(1, CAST(floor(greatest(abs(dx), abs(dy)) / (least(res_lng, res_lat) * 2)) AS INT)) AS n FROM segments, g WHERE dx IS NOT NULL),
+assets AS (SELECT 'buildings' AS kind, CASE WHEN id % 10 > 0 THEN CAST(id AS VARCHAR) ELSE 'buildings:' || id END AS id, name, lng, lat FROM buildings
+  UNION ALL SELECT 'roads', CAST(id AS VARCHAR), NULL, x + dx * k / n, y + dy * k / n FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM parts)
+  UNION ALL SELECT 'roads', CAST(id AS VARCHAR), NULL, lng, lat FROM roads SEMI JOIN many USING (id)
+  UNION ALL SELECT 'facilities', CASE WHEN id % 4 > 0 THEN CAST(id AS VARCHAR) WHEN id % 8 > 0 THEN 'n' || id ELSE 'facilities:' || id END, name, lng, lat FROM facilities)"""
+WORST = f"scored AS (SELECT kind, id, any_value(name) AS name, max({I_POINT}) AS i FROM assets GROUP BY kind, id), worst AS (SELECT kind, id, name, {sql.band('i')} AS band FROM scored)"
 WET = f"wet AS (SELECT r, c, elev, {LEVEL_M}e0 - elev AS depth FROM dem WHERE {LEVEL_M}e0 - elev > 1e-3)"
 ORACLES = {
     "dem_scan": f"WITH {sql.DEM} SELECT * FROM dem",
@@ -238,8 +287,18 @@ ORACLES = {
     "flood_stats": f"""WITH {sql.GRID}, {WET} SELECT count(*) AS cells_flooded, round(count(*) * any_value(m2) / 1e6, 3) AS area_km2, round(max(depth), 2) AS max_depth_m, round(avg(depth), 2) AS mean_depth_m,
       round(count(*) FILTER (depth >= 1.0) * any_value(m2) / 1e6, 3) AS deep_area_km2, round(100.0e0 * count(*) / (SELECT count(*) FROM dem), 2) AS percent_of_cells FROM wet, area""",
     "flood_exposure": f"WITH {sql.GRID}, {WET}, {POINTS}, placed AS (SELECT kind, {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM points, g) SELECT kind, count(w.r) AS flooded, count(*) AS total FROM placed p LEFT JOIN wet w ON p.r = w.r AND p.c = w.c GROUP BY kind",
-    "asset_union": f"""WITH {sql.BUILDINGS}, {sql.FACILITIES}, {sql.ROADS} SELECT 'buildings' AS kind, CASE WHEN id % 10 > 0 THEN CAST(id AS VARCHAR) ELSE 'buildings:' || id END AS id, name, round(lng, 6) AS lng, round(lat, 6) AS lat FROM buildings
-      UNION ALL SELECT 'roads', CAST(id AS VARCHAR), NULL, round(lng, 6), round(lat, 6) FROM roads WHERE pos = 1 UNION ALL SELECT 'facilities', CAST(id AS VARCHAR), name, round(lng, 6), round(lat, 6) FROM facilities""",
+    "asset_union": f"WITH {ASSETS} SELECT kind, id, name, round(lng, 6) AS lng, round(lat, 6) AS lat FROM assets",
+    "flood_affected": f"WITH {ASSETS}, {WET}, placed AS (SELECT kind, id, name, {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM assets, g) SELECT DISTINCT kind, id, name FROM placed SEMI JOIN wet USING (r, c)",
+    "flood_exposed_assets": f"""WITH {ASSETS}, {WET}, placed AS (SELECT kind, id, {sql.row_of('lat')} AS r, {sql.col_of('lng')} AS c FROM assets, g)
+      SELECT kind, count(DISTINCT CASE WHEN w.r IS NOT NULL THEN id END) AS flooded, count(DISTINCT id) AS total FROM placed p LEFT JOIN wet w ON p.r = w.r AND p.c = w.c GROUP BY kind""",
+    "quake_exposed": f"WITH {ASSETS}, {WORST} SELECT kind, id, name, band FROM worst WHERE band IS NOT NULL",
+    "quake_exposed_assets": f"WITH {ASSETS}, {WORST}, banded AS (SELECT * FROM worst) {COUNTS}",
+    "scenario_exposure": f"""WITH {ASSETS}, {sql.SCENARIOS}, own AS (SELECT scenario AS id, lng, lat FROM scenarios WHERE scenario % 3 = 0 AND scenario > 0),
+      stamps AS ({STAMP.format(n=2, off='0.5e0').replace('s.scenario', 's.id').replace('FROM scenarios s', 'FROM own s')}),
+      pairs AS (SELECT s.scenario, a.kind, a.id, a.lng, a.lat, s.lng AS s_lng, s.lat AS s_lat, depth_km, magnitude FROM assets a, scenarios s WHERE s.scenario % 3 > 0
+        UNION ALL SELECT s.scenario, CASE WHEN i = 0 THEN 'shelter' ELSE 'clinic' END, i || '-' || j, a.lng, a.lat, s.lng, s.lat, depth_km, magnitude FROM stamps a JOIN scenarios s ON a.id = s.scenario),
+      x AS (SELECT scenario, kind, id, max({sql.intensity(sql.km('lng', 'lat', 's_lng', 's_lat', 'lat'), 'depth_km', 'magnitude')}) AS i FROM pairs GROUP BY scenario, kind, id)
+      SELECT scenario, kind, coalesce({sql.band('i')}, 'none') AS band, count(*) AS n FROM x GROUP BY ALL""",
     "planned_assets": f"WITH {PLAN}, banded AS ({BANDED}) {COUNTS}",
     "plan_stamp": f"WITH {sql.SCENARIOS} SELECT id, i, j, round(lng, 6) AS lng, round(lat, 6) AS lat FROM ({STAMP.format(n=3, off='1.0e0')})",
     "planned_verdicts": f"""WITH {PLAN}, x AS (SELECT id, {I_POINT} AS i FROM points), y AS (SELECT id, {sql.band('i')} AS band FROM x)

@@ -45,9 +45,12 @@ def tile_cover(spark: SparkSession, d: str) -> DataFrame:
 
 
 def footprint_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Every third footprint has a yard, a hole of half its size, which runs as the outer ring does until it is turned."""
     b = T.buildings(spark, d).select("id", F.when(F.col("id") % 4 > 0, F.col("type")).otherwise("").alias("name"))
     f = footprints(spark, d).join(b, "id")
-    f = f.select("id", "ring", "name", M.mercator_x(F.col("lng")).alias("cx"), M.mercator_y(F.col("lat")).alias("cy"), (3.0 + F.col("id") % 5).alias("height"), B.tint(F.col("id").cast("string")).alias("color"))
+    hole = B.square(F.col("lng"), F.col("lat"), (10.0 + F.col("id") % 13) / 2.0, F.when(F.col("id") % 2 == 0, 0.0).otherwise(45.0))
+    f = f.withColumn("rings", F.when(F.col("id") % 3 == 0, F.array("ring", hole)).otherwise(F.array("ring")))
+    f = f.select("id", "rings", "name", M.mercator_x(F.col("lng")).alias("cx"), M.mercator_y(F.col("lat")).alias("cy"), (3.0 + F.col("id") % 5).alias("height"), B.tint(F.col("id").cast("string")).alias("color"))
     return O.tile_rings(f, ZOOMS)
 
 
@@ -57,7 +60,7 @@ def ring_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ring_moves(spark: SparkSession, d: str) -> DataFrame:
-    return footprint_rings(spark, d).select("z", "id", F.posexplode("moves").alias("pos", "m")).select("z", "id", "pos", "m.dx", "m.dy")
+    return footprint_rings(spark, d).select("z", "id", F.posexplode("moves").alias("ring", "moves")).select("z", "id", "ring", F.posexplode("moves").alias("pos", "m")).select("z", "id", "ring", "pos", "m.dx", "m.dy")
 
 
 def tile_values(spark: SparkSession, d: str) -> DataFrame:
@@ -101,15 +104,17 @@ TY = f"CAST(floor({MY} * power(2.0e0, z)) AS INT)"
 LNG = lambda x: f"(({x}) / power(2.0e0, z) * 360.0e0 - 180.0e0)"
 LAT = lambda y: f"degrees(atan((exp(pi() * (1.0e0 - 2.0e0 * ({y}) / power(2.0e0, z))) - exp(-pi() * (1.0e0 - 2.0e0 * ({y}) / power(2.0e0, z)))) / 2.0e0))"
 ZOOMED = f"""{sql.SCENARIOS}, zs AS (SELECT scenario, lng + (scenario % 3 - 1) * 0.3e0 AS lng, lat, unnest(range(5, 17)) AS z FROM scenarios), zoomed AS (SELECT scenario, CAST(z AS INT) AS z, {TX} AS x, {TY} AS y FROM zs)"""
-RINGS = f"""{sql.BUILDINGS}, k0 AS (SELECT *, CAST(unnest(range(0, 5)) AS INT) AS pos, (1e1 + id % 13) / 2.0e0 * sqrt(2.0e0) AS radius, CASE WHEN id % 2 = 0 THEN 0.0e0 ELSE radians(45.0e0) END + pi() / 4.0e0 AS base FROM buildings),
-p0 AS (SELECT id, unnest([13, 14]) AS z, lng AS b_lng, lat AS b_lat, pos, lng + cos(base + (pos % 4) * pi() / 2.0e0) * radius / (cos(radians(lat)) * 111320.0e0) AS plng, lat + sin(base + (pos % 4) * pi() / 2.0e0) * radius / 111320.0e0 AS plat FROM k0),
-p1 AS (SELECT id, z, pos, plng, plat, CAST(floor((b_lng + 180.0e0) / 360.0e0 * power(2.0e0, z)) AS INT) AS x, CAST(floor({MY.replace('lat', 'b_lat')} * power(2.0e0, z)) AS INT) AS y FROM p0),
-p2 AS (SELECT id, z, x, y, pos, CAST(round_even(((plng + 180.0e0) / 360.0e0 * power(2.0e0, z) - x) * 4096, 0) AS BIGINT) AS qx, CAST(round_even(({MY.replace('lat', 'plat')} * power(2.0e0, z) - y) * 4096, 0) AS BIGINT) AS qy FROM p1),
-p3 AS (SELECT *, lag(qx) OVER w AS lx, lag(qy) OVER w AS ly, first(qx) OVER w AS fx, first(qy) OVER w AS fy FROM p2 WINDOW w AS (PARTITION BY id, z ORDER BY pos)),
-p4 AS (SELECT *, row_number() OVER (PARTITION BY id, z ORDER BY pos) AS k, count(*) OVER (PARTITION BY id, z) AS n FROM p3 WHERE lx IS NULL OR qx <> lx OR qy <> ly),
-p5 AS (SELECT id, z, x, y, k, qx, qy, count(*) OVER (PARTITION BY id, z) AS n FROM p4 WHERE n = 1 OR k < n OR qx <> fx OR qy <> fy),
-p6 AS (SELECT *, coalesce(lead(qx) OVER w, first(qx) OVER w) AS nx, coalesce(lead(qy) OVER w, first(qy) OVER w) AS ny FROM p5 WINDOW w AS (PARTITION BY id, z ORDER BY k)),
-areas AS (SELECT id, z, x, y, CAST(sum(qx * ny - nx * qy) AS BIGINT) AS a FROM p6 GROUP BY ALL HAVING count(*) >= 3 AND sum(qx * ny - nx * qy) <> 0)"""
+RINGS = f"""{sql.BUILDINGS}, k00 AS (SELECT *, CAST(unnest(CASE WHEN id % 3 = 0 THEN [0, 1] ELSE [0] END) AS INT) AS ring FROM buildings),
+k0 AS (SELECT *, CAST(unnest(range(0, 5)) AS INT) AS pos, (1e1 + id % 13) / (2.0e0 + 2 * ring) * sqrt(2.0e0) AS radius, CASE WHEN id % 2 = 0 THEN 0.0e0 ELSE radians(45.0e0) END + pi() / 4.0e0 AS base FROM k00),
+p0 AS (SELECT id, ring, unnest([13, 14]) AS z, lng AS b_lng, lat AS b_lat, pos, lng + cos(base + (pos % 4) * pi() / 2.0e0) * radius / (cos(radians(lat)) * 111320.0e0) AS plng, lat + sin(base + (pos % 4) * pi() / 2.0e0) * radius / 111320.0e0 AS plat FROM k0),
+p1 AS (SELECT id, ring, z, pos, plng, plat, CAST(floor((b_lng + 180.0e0) / 360.0e0 * power(2.0e0, z)) AS INT) AS x, CAST(floor({MY.replace('lat', 'b_lat')} * power(2.0e0, z)) AS INT) AS y FROM p0),
+p2 AS (SELECT id, ring, z, x, y, pos, CAST(round_even(((plng + 180.0e0) / 360.0e0 * power(2.0e0, z) - x) * 4096, 0) AS BIGINT) AS qx, CAST(round_even(({MY.replace('lat', 'plat')} * power(2.0e0, z) - y) * 4096, 0) AS BIGINT) AS qy FROM p1),
+p3 AS (SELECT *, lag(qx) OVER w AS lx, lag(qy) OVER w AS ly, first(qx) OVER w AS fx, first(qy) OVER w AS fy FROM p2 WINDOW w AS (PARTITION BY id, z, ring ORDER BY pos)),
+p4 AS (SELECT *, row_number() OVER (PARTITION BY id, z, ring ORDER BY pos) AS k, count(*) OVER (PARTITION BY id, z, ring) AS n FROM p3 WHERE lx IS NULL OR qx <> lx OR qy <> ly),
+p5 AS (SELECT id, ring, z, x, y, k, qx, qy, count(*) OVER (PARTITION BY id, z, ring) AS n FROM p4 WHERE n = 1 OR k < n OR qx <> fx OR qy <> fy),
+p6 AS (SELECT *, coalesce(lead(qx) OVER w, first(qx) OVER w) AS nx, coalesce(lead(qy) OVER w, first(qy) OVER w) AS ny FROM p5 WINDOW w AS (PARTITION BY id, z, ring ORDER BY k)),
+turned AS (SELECT id, ring, z, x, y, CAST(sum(qx * ny - nx * qy) AS BIGINT) AS a FROM p6 GROUP BY ALL HAVING count(*) >= 3 AND sum(qx * ny - nx * qy) <> 0),
+areas AS (SELECT id, z, x, y, a FROM turned WHERE ring = 0)"""
 ORACLES = {
     "bilinear_sample": f"WITH {sql.GRID}, {sql.BUILDINGS}, pt AS (SELECT id AS key, lng, lat FROM buildings), {bilinear('pt')} SELECT key AS id, round(elev, 6) AS elev FROM s",
     "tile_bounds": f"WITH {ZOOMED} SELECT scenario, z, round({LNG('x')}, 9) AS west, round({LAT('y + 1')}, 9) AS south, round({LNG('x + 1')}, 9) AS east, round({LAT('y')}, 9) AS north FROM zoomed",
@@ -118,7 +123,7 @@ ORACLES = {
     "tile_cover": f"""WITH {sql.SCENARIOS}, zs AS (SELECT scenario, lng, lat, CAST(unnest([12, 13, 14]) AS INT) AS z FROM scenarios), nw AS (SELECT scenario, z, {TX} AS x0, {TY.replace('lat', '(lat + 5e-2)')} AS y0, {TX.replace('lng', '(lng + 5e-2)')} AS x1, {TY} AS y1 FROM zs)
       SELECT scenario, z, x, CAST(unnest(range(y0, y1 + 1)) AS INT) AS y FROM (SELECT scenario, z, CAST(unnest(range(x0, x1 + 1)) AS INT) AS x, y0, y1 FROM nw)""",
     "ring_area": f"WITH {RINGS} SELECT CAST(z AS INT) AS z, x, y, id, abs(a) AS area2 FROM areas",
-    "ring_moves": f"""WITH {RINGS}, o AS (SELECT p5.*, CASE WHEN a > 0 THEN k ELSE -k END AS o FROM p5 JOIN areas USING (id, z))
-      SELECT CAST(z AS INT) AS z, id, CAST(row_number() OVER w - 1 AS INT) AS pos, qx - coalesce(lag(qx) OVER w, 0) AS dx, qy - coalesce(lag(qy) OVER w, 0) AS dy FROM o WINDOW w AS (PARTITION BY id, z ORDER BY o)""",
+    "ring_moves": f"""WITH {RINGS}, o AS (SELECT p5.*, CASE WHEN (t.a > 0) = (ring = 0) THEN k ELSE -k END AS o FROM p5 JOIN turned t USING (id, z, ring) SEMI JOIN areas USING (id, z))
+      SELECT CAST(z AS INT) AS z, id, ring, CAST(row_number() OVER (PARTITION BY id, z, ring ORDER BY o) - 1 AS INT) AS pos, qx - coalesce(lag(qx) OVER w, 0) AS dx, qy - coalesce(lag(qy) OVER w, 0) AS dy FROM o WINDOW w AS (PARTITION BY id, z ORDER BY ring, o)""",
     "tile_values": f"WITH {RINGS} SELECT CAST(z AS INT) AS z, x, y, count(DISTINCT id % 5) AS heights, count(DISTINCT CASE WHEN id % 4 > 0 THEN type END) AS names FROM areas JOIN buildings USING (id) GROUP BY ALL",
 }
