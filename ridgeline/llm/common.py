@@ -13,7 +13,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -229,6 +229,24 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= limit else df
 
 
+def highest(rows: DataFrame, count: str, key: str, most: int, weight: str | None = None) -> tuple[Column, bool]:
+    """A condition that rows of the highest counts meet, about `most` of them at most (or of their weight), and whether all rows do.
+
+    Counts fall into some hundred classes, and one aggregate over those decides: the driver gets a row a class, whatever the table.
+    Of the class at the edge a share of the keys is chosen by hash.  Counts are 1 or more.
+    """
+    n = F.col(count)
+    level = F.when(n <= 64, n).otherwise(64 + F.floor(16 * F.log2(n / 64))).cast("int")
+    classes = rows.groupBy(level.alias("level")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("total")).collect()
+    left = most
+    for x in sorted(classes, key=lambda x: -x.level):
+        if x.total > left:
+            share = F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(left / x.total * (1 << 40)))
+            return (level > x.level) | ((level == x.level) & share), False
+        left -= x.total
+    return F.lit(True), True
+
+
 def local_path(uri: str) -> tuple[object, str]:
     """A pyarrow file system and the path in it, for folders in any store that pyarrow knows."""
     from pyarrow import fs

@@ -20,6 +20,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,13 +238,17 @@ def all_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def by_blocks(docs: DataFrame, parts: Iterator[list[tuple[int, str]]]) -> DataFrame:
     """k_id, k_fp (hash of the text), spans and items of all blocks for the rows that any hits; each block's hits are written."""
     keyed = docs.select("doc_id", "text", text_hash("fp"))
-    found = reduce(DataFrame.union, [materialise(of_block(keyed, b), "block-hits") for b in parts])
+    tables = []
+    for items in parts:
+        queries = docs.sparkSession.sparkContext.broadcast(Queries(items))
+        tables.append(materialise(of_block(keyed, queries), "block-hits"))
+        queries.destroy()  # its hits are written
+    found = reduce(DataFrame.union, tables)
     return found.groupBy("k_id", "k_fp").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
-def of_block(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """k_id, k_fp, spans, items of the rows that a block hits."""
-    queries = keyed.sparkSession.sparkContext.broadcast(Queries(items))
+def of_block(keyed: DataFrame, queries: Broadcast) -> DataFrame:
+    """k_id, k_fp, spans, items of the rows that a block's queries hit."""
 
     def run(batch: pa.RecordBatch) -> dict:
         found = shard_hits(texts_of(batch), queries.value)

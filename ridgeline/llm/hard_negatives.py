@@ -45,10 +45,16 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def split(x: np.ndarray) -> tuple[np.ndarray, float]:
-    """A direction and the place on it that cut rows in two halves: from the row farthest from the mean to the one farthest from that."""
+    """A direction and the place on it that cut rows in two.
+
+    It points from the row farthest from the mean to the one farthest from that.  The cut is midway between both, which keeps groups
+    together, or at the median where less than an eighth of the rows would lie on a side.
+    """
     far = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
     direction = x[((x - far) ** 2).sum(axis=1).argmax()] - far
-    return direction, float(np.median(x @ direction))
+    along, cut = x @ direction, float((far + direction / 2) @ direction)
+    share = (along >= cut).mean()
+    return direction, cut if 0.125 <= share <= 0.875 else float(np.median(along))
 
 
 @dataclass
@@ -108,7 +114,7 @@ class Node:
         if len(rows) > leaf and radius > 0:
             direction, cut = split(own)
             right = own @ direction >= cut
-            if 0 < right.sum() < len(rows):
+            if right.any() and not right.all():
                 children = [cls.over(x, part, leaf) for part in (rows[~right], rows[right])]
         return cls(rows, centre, radius, children)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, arrow_map, clears_tables, fresh, frugal, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
+from .common import SLICE_ROWS, arrow_map, clears_tables, fresh, frugal, highest, materialise, mix, rolling, schema_of, signed, small_side, text_hash, texts_of, word_hashes
 from .components import components
 
 PERCENT, WORDS = 80, 5
@@ -113,7 +113,8 @@ def set_table(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarra
 
     both = materialise(arrow_map(docs.select("doc_id", "text", text_hash("h")), run, ddl), "sets")
     seen = both.where("pos IS NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("n"))
-    top = seen.where("n > 50").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
+    seen = materialise(seen.where("n > 50"), "frequent")
+    top = seen.where(highest(seen, "n", "token", FREQUENT)[0]).select("token")
     often = np.sort(np.array([r.token for r in top.collect()], np.int64).view(np.uint64))
     return both.where("pos IS NOT NULL").select("doc_id", "h", "n", "fp"), often
 

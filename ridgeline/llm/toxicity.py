@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, below_share, materialise, mix, signed, small_side, texts_of
+from .common import arrow_map, below_share, highest, materialise, mix, signed, small_side, texts_of
 
 DISCOUNT, PRIOR = 0.75, 10.0
 LONG, SHORT = 5, 3
 #: What is broadcast of the model at most; the rest is joined.
-GRAMS, CONTEXTS = 1 << 19, 1 << 18
+GRAMS = 1 << 19
 #: 64-bit words of the Bloom filter of contexts.
 FILTER_BITS = 20
 SAMPLE = 20_000
@@ -168,14 +168,11 @@ def model(table: DataFrame) -> Model:
     full = full.select("long", "gram", (F.col("n0") + F.col("n1")).alias("n"), ratio(p[1], p[0]).alias("llr"), ratio(F.col("b1"), F.col("b0")).alias("back"))
     full = full.groupBy("long", "n", "back").agg(F.collect_list(F.struct("gram", "llr")).alias("x"))
     full = materialise(full.select("long", "n", "back", F.size("x").alias("kinds"), F.col("x.gram").alias("grams"), F.col("x.llr").alias("llrs")), "model")
-    first = full.select("long", "n", "kinds").orderBy(F.desc("n"), "long").limit(CONTEXTS).toArrow()
-    k = int(np.searchsorted(np.cumsum(first.column("kinds").to_numpy()), GRAMS, side="right"))
-    if k:
-        n, long = first.column("n")[k - 1].as_py(), first.column("long")[k - 1].as_py()
-    chosen = full.where((F.col("n") > n) | ((F.col("n") == n) & (F.col("long") <= long))) if k else full.limit(0)
+    frequent, every = highest(full, "n", "long", GRAMS, weight="kinds")
+    chosen = full.where(frequent)
     t = chosen.select("long", "back", "grams", "llrs").toArrow()
     local = tables_of(np.asarray(t.column("long"), np.int64), np.asarray(t.column("back"), float), flat(t.column("grams"), np.int64), flat(t.column("llrs"), float))
-    if full.count() > k:
+    if not every:
         local["bloom"] = bloom(full)
     return Model(full, local)
 
