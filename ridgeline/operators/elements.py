@@ -80,17 +80,3 @@ def chunks(boxes: DataFrame, k: int) -> DataFrame:
     cut = lambda a, b, n: F.round(F.col(a) + (F.col(b) - F.col(a)) * n / k, 9)
     keys = [c for c in boxes.columns if c not in "wsen"]
     return rows.select(*keys, "i", "j", cut("w", "e", F.col("i")).alias("w"), cut("s", "n", F.col("j")).alias("s"), cut("w", "e", F.col("i") + 1).alias("e"), cut("s", "n", F.col("j") + 1).alias("n"))
-
-
-def offsets(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """rows with start, the sum of the sizes before it in order of an integer key: sums of blocks of keys, then within blocks.
-
-    Only the block sums, one row for so many keys, are ordered in one place.
-    """
-    from pyspark.sql import Window
-
-    b = F.floor(F.col(key) / block)
-    sums = rows.groupBy(b.alias("block")).agg(F.sum(size).alias("n"))
-    before = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.sum(size).over(Window.partitionBy("block").orderBy(key)) - F.col(size)
-    return rows.withColumn("block", b).withColumn("inside", inside).join(before, "block").select(*rows.columns, (F.col("before") + F.col("inside")).alias("start"))

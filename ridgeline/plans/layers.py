@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buildings as B
 from ..operators import elements as E
+from ..operators import ranks as R
 from ..sources import layers as L
 from ..sources import tables as T
 from . import sql
@@ -111,15 +112,16 @@ def river_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """Buildings with the number of their type in the sorted distinct types; the dictionary is as small as the types."""
-    types = T.buildings(spark, d).select("type").distinct().groupBy().agg(F.array_sort(F.collect_set("type")).alias("all"))
-    return types.select(F.posexplode("all").alias("code", "type")).join(T.buildings(spark, d).select("id", "type"), "type").select("id", "type", "code")
+    """The number of each building's name, and of its type, among all that there are."""
+    b = T.buildings(spark, d).select("id", "name", "type")
+    names, types = R.dense_codes(b, "name"), R.dense_codes(b, "type")
+    return b.join(names, "name").withColumnRenamed("code", "name_code").join(types, "type").select("id", "name", "name_code", "type", "code")
 
 
 def csr_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where each road's vertices begin when roads lie in a row by id: block sums first, so no window spans all roads."""
+    """Where each road's vertices begin when roads lie in a row by id."""
     n = T.road_vertices(spark, d).groupBy("id").agg(F.count("*").alias("n"))
-    return E.offsets(n, "id", "n", 512)
+    return R.offsets(n, "id", "n")
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +195,7 @@ ORACLES = {
     "river_list": f"WITH {WATER} SELECT seq, coalesce(own_id, osm_id, 'water:' || seq) AS id, name, type FROM water",
     "river_lookup": f"""WITH {WATER}, refs AS (SELECT DISTINCT ' ' || CASE WHEN n_nationkey % 3 = 0 THEN 'w-' || n_nationkey * 97 WHEN n_nationkey % 3 = 1 THEN CAST(n_nationkey * 97 AS VARCHAR) ELSE upper(({list(NAMES)})[CAST(n_nationkey % {len(NAMES)} AS INT) + 1]) END AS ref FROM nation)
       SELECT ref, min(seq) AS seq FROM refs LEFT JOIN water ON trim(ref) IN (own_id, osm_id) OR lower(trim(ref)) = lower(name) GROUP BY ref""",
-    "name_dictionary": f"WITH {sql.BUILDINGS} SELECT id, type, CAST(dense_rank() OVER (ORDER BY type) - 1 AS INT) AS code FROM buildings",
+    "name_dictionary": f"WITH {sql.BUILDINGS} SELECT id, name, dense_rank() OVER (ORDER BY name) - 1 AS name_code, type, dense_rank() OVER (ORDER BY type) - 1 AS code FROM buildings",
     "csr_offsets": f"WITH {sql.ROADS}, n AS (SELECT id, count(*) AS n FROM roads GROUP BY id) SELECT id, n, CAST(sum(n) OVER (ORDER BY id) - n AS BIGINT) AS start FROM n",
     "to_features": f"WITH {ELEMENTS} SELECT id, CASE WHEN n = 2 THEN 'LineString' ELSE 'Polygon' END AS kind, name, coalesce(building, amenity, highway) AS type, height, CAST(CASE WHEN n = 2 THEN 2 ELSE n + 1 END AS INT) AS vertices FROM el WHERE n = 2 OR n >= 4",
     "element_points": f"WITH {ELEMENTS} SELECT id, round(x0, 6) AS lng, round(y0, 6) AS lat FROM el WHERE id % 5 < 2",
