@@ -17,9 +17,11 @@ def magnitude_factor(magnitude: Column) -> Column:
 
 
 def intensity(km: Column, depth_km: Column, magnitude: Column) -> Column:
-    depth = F.greatest(depth_km, F.lit(0.0))
+    """At most 1; null without a distance, a depth or a magnitude."""
+    depth = F.when(depth_km < 0, F.lit(0.0)).otherwise(depth_km)
     slant = F.sqrt(km * km + depth * depth)
-    return F.least(F.lit(1.0), magnitude_factor(magnitude) * F.pow(F.lit(REFERENCE_KM) / (F.lit(REFERENCE_KM) + slant), F.lit(DECAY)))
+    felt = F.when(magnitude.isNotNull(), magnitude_factor(magnitude)) * F.pow(F.lit(REFERENCE_KM) / (F.lit(REFERENCE_KM) + slant), F.lit(DECAY))
+    return F.when(felt > 1.0, F.lit(1.0)).otherwise(felt)
 
 
 def band(index: Column) -> Column:

@@ -1,16 +1,9 @@
-"""Quantiles against NumPy, and areas of drawn polygons against their cells."""
-
-import json
+"""Quantiles against NumPy."""
 
 import numpy as np
 import pytest
 
-from compare import DATA
 from ridgeline.operators import quantiles as Q
-from ridgeline.plans import QUERIES
-
-SF = str(DATA / "sf0.001")
-
 
 @pytest.mark.parametrize("buckets", [2, 1024])
 def test_quantiles(spark, monkeypatch, buckets):
@@ -21,17 +14,3 @@ def test_quantiles(spark, monkeypatch, buckets):
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
         assert np.allclose(Q.quantiles(df, "x", shares), np.quantile(x, shares), rtol=1e-12)
     assert Q.quantiles(spark.createDataFrame([(None,)], "x double"), "x", [0.5]) == [None]
-
-
-def test_polygons_cover_their_cells(spark):
-    """Before simplification a ring's area is that of its cells; half a cell of tolerance changes it by less than its border."""
-    seen = 0
-    rows = QUERIES["mask_polygons"](spark, SF).collect()
-    for r in rows:
-        rings = json.loads(r.geometry)["coordinates"]
-        area = sum(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))) / 2 * (1 if k == 0 else -1) for k, ring in enumerate(sorted(rings, key=lambda g: -abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(g, g[1:], strict=False))))))
-        border = sum(len(ring) for ring in rings)
-        assert all(ring[0] == ring[-1] for ring in rings)
-        seen += r.cells
-        assert area > 0 and border >= 5
-    assert seen > 0
