@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grid import Grid
 from .durable import written
 from .terrain import FLUX, NEIGHBOURS, WET
 
@@ -98,3 +99,19 @@ def stepped(state: DataFrame, tile: int, margin: int, first: int, last: int) ->
         return part[own].drop(columns=["tr", "tc"])
 
     return dealt.groupBy("scenario", "tr", "tc").applyInPandas(run, STATE)
+
+
+def boxes(plans: DataFrame, flow: DataFrame, grid: Grid, margin: int = 12) -> DataFrame:
+    """scenario, r0, r1, c0, c1: the inflow cells of each plan, what they flow to and what flows to them by one step, and a margin."""
+    i = plans.select("scenario", "r", "c")
+    down = i.join(flow, ["r", "c"]).select("scenario", F.col("nr").alias("r"), F.col("nc").alias("c"))
+    up = i.join(flow.select(F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("ur"), F.col("c").alias("uc")), ["r", "c"]).select("scenario", F.col("ur").alias("r"), F.col("uc").alias("c"))
+    lo, hi = (lambda v: F.greatest(F.lit(0), F.min(v) - margin)), (lambda v, n: F.least(F.lit(n - 1), F.max(v) + margin))
+    return i.union(down).union(up).groupBy("scenario").agg(lo("r").alias("r0"), hi("r", grid.nrows).alias("r1"), lo("c").alias("c0"), hi("c", grid.ncols).alias("c1"))
+
+
+def wet_cells(dem: DataFrame, flow: DataFrame, plans: DataFrame, grid: Grid, region: DataFrame | None = None) -> DataFrame:
+    """scenario, r, c, elev, depth of what each plan floods, within the region's cells (r, c) if there is one."""
+    flow, plans = written(flow, "flow"), written(plans, "plans")
+    wet = simulate(dem, plans, written(boxes(plans, flow, grid), "boxes"))
+    return wet if region is None else wet.join(region.select("r", "c"), ["r", "c"], "left_semi").select("scenario", "r", "c", "elev", "depth")

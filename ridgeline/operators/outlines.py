@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.grid import Grid
 from .durable import written
+from .graph import chains, cycles
 from .regions import labelled_runs, simplified
 
 #: Vertices between two kept ones up to which one task simplifies the stretch.
@@ -48,25 +49,6 @@ def successors(of: DataFrame) -> DataFrame:
     return straight.select("side", "next", F.lit(True).alias("straight")).union(along.select("side", "next", F.lit(False)))
 
 
-def cycles(links: DataFrame) -> DataFrame:
-    """node, ring, rank of a permutation node -> next (bigint): the least node of its cycle, and the steps from that.
-
-    After round k each node knows the least of the 2**k nodes from it on and the steps to that one; rounds end when no
-    node learns more, after the logarithm of the longest cycle.  The steps to the least node, taken from the cycle's
-    length, are the rank.
-    """
-    state = written(links.select("node", "next", F.col("node").alias("least"), F.lit(0).cast("bigint").alias("steps"), F.lit(True).alias("news")), "cycles")
-    width = 1
-    while state.where("news").limit(1).count():
-        on = state.select(F.col("node").alias("next"), F.col("next").alias("then"), F.col("least").alias("least_on"), F.col("steps").alias("steps_on"))
-        news = F.col("least_on") < F.col("least")
-        both = state.join(on, "next")
-        state = written(both.select("node", F.col("then").alias("next"), F.least("least", "least_on").alias("least"), F.when(news, F.col("steps_on") + width).otherwise(F.col("steps")).alias("steps"), news.alias("news")), "cycles")
-        width *= 2
-    length = state.groupBy("least").agg(F.count(F.lit(1)).alias("length"))
-    return state.join(length, "least").select("node", F.col("least").alias("ring"), ((F.col("length") - F.col("steps")) % F.col("length")).alias("rank"))
-
-
 def ringed(runs: DataFrame, grid: Grid) -> DataFrame:
     """label, side, up, x, y0, y1, straight, ring, rank of the upright sides of runs (label, r, c0, c1) of 4-connected bodies.
 
@@ -194,8 +176,5 @@ def nested(rings: DataFrame) -> DataFrame:
     outer = shape.where("shell").select("label", F.col("ring").alias("parent"))
     parents = asked.select("ring", F.col("near").alias("parent")).union(holes.join(outer, "label").select("ring", "parent"))
     parents = written(parents, "ring-parents")
-    state = written(parents.select("ring", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth")), "ring-depths")
-    while state.where("up IS NOT NULL").limit(1).count():
-        on = state.select(F.col("ring").alias("up"), F.col("up").alias("then"), F.col("depth").alias("more"))
-        state = written(state.join(on, "up", "left").select("ring", F.col("then").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "ring-depths")
-    return shape.join(parents, "ring").join(state.select("ring", "depth"), "ring")
+    depth = chains(parents.select(F.col("ring").alias("node"), F.col("parent").alias("up")))
+    return shape.join(parents, "ring").join(depth.select(F.col("node").alias("ring"), F.col("depth").cast("int").alias("depth")), "ring")

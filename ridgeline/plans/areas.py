@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,35 +69,18 @@ def mask_rings(spark: SparkSession, d: str) -> DataFrame:
     return O.ring_areas(O.ringed(regions.labelled_runs(m, g), g))
 
 
-def outlines(masks: list[tuple[str, DataFrame]], grid) -> DataFrame:
-    """Polygons of several masks in one pass: they are stacked with empty rows between, which leaves components and holes as they are."""
-    factors = [regions.downsample(m, grid) for _, m in masks]
-    k = factors[0][1]
-    g = regions.coarse(grid, k)
-    step = g.nrows + 2
-    stack = None
-    for i, (small, _) in enumerate(factors):
-        part = small.select((F.col("r") + i * step).alias("r"), "c")
-        stack = part if stack is None else stack.unionByName(part)
-    tall = replace(g, nrows=step * len(masks))
-    found = regions.labelled(regions.clean(stack, tall), tall)
-    names = F.array(*(F.lit(n) for n, _ in masks))
-    found = found.select(F.get(names, F.floor(F.col("r") / step).cast("int")).alias("class"), (F.col("r") % step).alias("r"), "c", "label")
-    return regions.polygons(found, g, ["class"])
-
-
 def quake_zones(spark: SparkSession, d: str) -> DataFrame:
     """Polygons of each band inside the region."""
     dem, g = raster(spark, d)
     zones = quake.raster(dem, g, hazards.LNG, hazards.LAT, hazards.MAGNITUDE, hazards.DEPTH).where(F.col("elev") <= hazards.CAP_M)
-    return outlines([(n, zones.where(F.col("label") == k)) for k, n in ((1, "high"), (2, "medium_high"), (3, "medium"), (4, "low"))], g)
+    return regions.classed_polygons([(n, zones.where(F.col("label") == k)) for k, n in ((1, "high"), (2, "medium_high"), (3, "medium"), (4, "low"))], g)
 
 
 def flood_overlay(spark: SparkSession, d: str) -> DataFrame:
     """Polygons of the flood and of its deep core."""
     dem, g = raster(spark, d)
     wet = exposure.flooded_at(dem, hazards.LEVEL_M)
-    return outlines([("flood", wet), ("flood-deep", wet.where("depth >= 1.0"))], g)
+    return regions.classed_polygons([("flood", wet), ("flood-deep", wet.where("depth >= 1.0"))], g)
 
 
 def ring_nesting(spark: SparkSession, d: str) -> DataFrame:
