@@ -1,9 +1,10 @@
 """Secret scan: base patterns, and a linear-chain conditional random field that adds what they miss.
 
 Tokens are maximal runs of [A-Za-z0-9+/_.=-].  Each is outside (O), the beginning (B) or the inside (I) of a secret.
-A token that is shorter than MIN_CHARS or lacks a letter or a digit can only be O, a hard constraint of the model.  As
-such tokens fix the state, Viterbi decoding of a text falls apart into independent runs of candidates, which gives the
-same best path as decoding every token.
+Three kinds of tokens can be other than O, a hard constraint of the model: those of MIN_CHARS or more with a letter and a digit,
+those of LONG_CHARS or more whose case changes within, and those of NAMED_CHARS or more, whatever their letters, right
+behind a word that names secrets.  As all others fix the state, Viterbi decoding of a text falls apart into independent
+runs of candidates, which gives the same best path as decoding every token.
 
 Features: the token's shape, the words and signs next to it, and features of the whole file.  The field is fitted by
 maximum likelihood (gradient steps on the forward-backward expectations) on a bounded sample: SAMPLE_TEXTS texts in
@@ -30,14 +31,17 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-MIN_CHARS = 10
+MIN_CHARS, LONG_CHARS, NAMED_CHARS = 10, 16, 6
 SAMPLE_TEXTS, SAMPLE_CHARS = 300, 4000
 #: Tokens after which a run of the sample is cut in two for fitting.
 LONGEST_RUN = 8
 STATES = ("O", "B", "I")
-#: A candidate has a digit and a letter among its first MIN_CHARS or more characters.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{10,}")
+#: Tokens of MIN_CHARS or more with a digit and a letter, and of LONG_CHARS or more with a small letter before a capital one.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{10,}|(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z0-9+/_.=-]*[a-z][A-Z])[A-Za-z0-9+/_.=-]{16,}")
 NAMES = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "private", "access", "api")
+#: A word that names secrets, what may stand between, and a token.
+NAMED = re.compile(rf"(?:{'|'.join(NAMES)})\w*[\"']?(?:\x20+(?:is|was))?\x20*[:=]?\x20*[\"']?(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_.=-]{{6,}})", re.IGNORECASE | re.ASCII)
+BETWEEN = re.compile(r"\b(?:is|was)\x20+\Z", re.IGNORECASE)
 BEFORE = re.compile(r"([\w-]*)([\"']?\x20*[:=]?\x20*[\"']?)\Z")
 N_FEATURES = 40
 
@@ -68,11 +72,13 @@ def features(text: str, start: int, end: int, of_file: list[int]) -> list[int]:
     digit = sum(map(token.count, "0123456789")) / n
     upper, lower = any(c.isupper() for c in token), any(c.islower() for c in token)
     words = [w for w in re.split(r"[+/_.=-]+", token) if w]
-    m = BEFORE.search(text, max(0, start - 60), start)
+    low = max(0, start - 60)
+    said = BETWEEN.search(text, low, start)
+    m = BEFORE.search(text, low, said.start() if said else start)
     word, sign = m[1].lower(), m[2]
     after = text[end : end + 1]
     on = [0, *of_file]
-    on.append(1 + min(4, (n - MIN_CHARS) // 6))  # 1 to 5: length
+    on.append(1 + min(4, max(0, n - MIN_CHARS) // 6))  # 1 to 5: length
     on.append(6 + min(4, int(max(0.0, entropy - 2) * 2)))  # 6 to 10: entropy
     on.append(11 + min(3, int(digit * 4)))  # 11 to 14: digits
     for k, cond in (
@@ -95,6 +101,9 @@ def features(text: str, start: int, end: int, of_file: list[int]) -> list[int]:
         (31, sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False)) >= 5),
         (32, start == 0 or text[start - 1] in "\n"),
         (33, after in ("", "\n")),
+        (37, bool(said)),
+        (38, not set(token) & set("0123456789")),
+        (39, n < MIN_CHARS),
     ):
         if cond:
             on.append(k)
@@ -104,11 +113,11 @@ def features(text: str, start: int, end: int, of_file: list[int]) -> list[int]:
 def runs(text: str) -> list[list[tuple[int, int]]]:
     """Candidates, in runs with nothing but spaces or one line break between them."""
     out: list[list[tuple[int, int]]] = []
-    for m in CANDIDATE.finditer(text):
-        if out and text[out[-1][-1][1] : m.start()].strip(" ") in ("", "\n"):
-            out[-1].append(m.span())
+    for a, b in sorted({m.span() for m in CANDIDATE.finditer(text)} | {m.span(1) for m in NAMED.finditer(text)}):
+        if out and text[out[-1][-1][1] : a].strip(" ") in ("", "\n"):
+            out[-1].append((a, b))
         else:
-            out.append([m.span()])
+            out.append([(a, b)])
     return out
 
 
@@ -167,15 +176,21 @@ def examples(texts: list[str], seed: int = 7) -> list[tuple[list[list[int]], lis
 
     for text in texts:
         add(text, [s[1:] for s in base_spans(text)])
-        for secret in (True, True, False):
+        for secret in (True, True, False, None):
             at = rng.randrange(len(text) + 1)
             at = text.rfind(" ", 0, at) + 1
             if secret:
                 letters = rng.choice(alphabets)
                 token = rng.choice(("", "", "ghp_", "sk-", "xoxb-", "AIza")) + "".join(rng.choice(letters) for _ in range(rng.choice((20, 24, 32, 40, 64))))
-                if not CANDIDATE.fullmatch(token):
-                    continue
                 lead = rng.choice(("", "", "key = ", 'auth: "', "Bearer ", "private_key=", "access key "))
+                if rng.random() < 0.3:  # short ones, and ones of letters alone, behind a name
+                    token = "".join(rng.choice(rng.choice(alphabets[2:])) for _ in range(rng.choice((6, 7, 8, 9)))) if rng.random() < 0.5 else "".join(rng.choice(alphabets[2][:52]) for _ in range(rng.choice((12, 16, 24, 32))))
+                    lead = rng.choice(("key = ", "pwd: ", 'auth: "', "Bearer ", "credential=", "access key: ", "passwd is ", "pwd "))
+                if not CANDIDATE.fullmatch(token) and not NAMED.fullmatch(lead + token):
+                    continue
+            elif secret is None:  # plain words behind a name
+                token = rng.choice([w for w in re.findall(r"[A-Za-z]{6,}", text[:2000])] or ["features"])
+                lead = rng.choice(("the key ", "secret ", "access ", "a token ", "private ", "api ", "author ", "key: ", "the password is "))
             else:
                 token = rng.choice(("2023-01-{}T10-{}", "version-{}.{}.1-beta", "chapter{}section{}", "item-{}/part-{}", "model{}series{}x", "abcdefgh{}{}")).format(rng.randrange(9, 99), rng.randrange(9, 99))
                 if rng.random() < 0.5:  # words of the text itself, joined as in paths and names

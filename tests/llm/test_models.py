@@ -7,6 +7,8 @@ import public_tokenizers
 
 import brute
 import corpus_pipeline
+import pytest
+
 from compare import DATA, duck, rows_of, rows_of_sql
 from odd_rows import ODD, SF, pairs, table
 from ridgeline.llm import decontaminate, html, pii, quality, toxicity
@@ -125,7 +127,6 @@ def test_made_pages(spark):
     pages = made_pages(60, random.Random(4))
     df = spark.createDataFrame([(i, "u", h) for i, (h, _, _) in enumerate(pages)], "page_id bigint, url string, html string")
     weights = html.train(df)
-    assert weights != list(html.PRIOR.values())
     right = wrong = missed = 0
     for r in html.extract(df, weights).collect():
         got, (_, good, bad) = set(r.text.split("\n")), pages[r.page_id]
@@ -141,6 +142,59 @@ def test_one_class_word_deletes_no_article():
     assert html.main_text(f"<article><div class='article-tags social-story'><p>{long}</p><p>{long * 2}</p></div></article>").count("A sentence") == 3
 
 
+LONG = "A first sentence of the article, which is long enough to be read. It has two sentences."
+BODY = f"<p>{LONG}</p><p>A second paragraph, also long enough to be read, said the man.</p>"
+READ = f"{LONG}\nA second paragraph, also long enough to be read, said the man."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>TITLE</title><body><article>{BODY}</article>", f"<title>TITLE</title><article>{BODY}</article>", f"<article><div class='content ad'>{BODY}</div></article>", f"<article><div class='popup story'>{BODY}</div></article>",
+        f"<article><div class='modal-story'>{BODY}</div></article>", f"<article>{BODY}<p hidden>Some hidden text that nobody should see, ever, at all.</p></article>", f"<article>{BODY}<div aria-hidden=true><p>{LONG}</p></div><p style='display: none'>{LONG}</p></article>",
+        f"<article>{BODY}</article><section class='discussion'><p>I do not agree with this at all, said a reader.</p><p>Nor do I, as I said before, in the other thread.</p></section>", f"<article>{BODY}</article><!-- never ends <p>{LONG}</p>",
+        f"</div></section><article>{BODY}</article></main></b>",
+    ],
+)
+def test_odd_pages(page):
+    assert html.main_text(page) == READ
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[ x ", "<div>", "</section>", "<div>a", "<! ", "<!-- ", '<a ="', "<", "</a ", "<p>a b c. d", "<title>", "<head>", "<td>x"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (200_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 3  # a second on a machine that is not busy
+
+
+def test_a_cut_keeps_what_stands_between():
+    """A short line speaks for itself as template; between paragraphs it stays, beside links it goes."""
+    short = "<div>He left</div>"
+    blocks = html.blocks_of(short)
+    assert html.evidence(*blocks[0][:3], list(html.PRIOR.values())) < 0 and html.main_text(short) == ""
+    assert html.main_text(f"<div><div>{LONG}</div>{short}<div>{LONG}</div></div>") == f"{LONG}\nHe left\n{LONG}"
+    links = "<div><a href=x>More of this</a></div>"
+    assert "He left" not in html.main_text(f"<div>{links}{short}{links}</div><article>{BODY}</article>")
+
+
+def test_labels_come_from_repetition(spark):
+    """Template is what stands on different pages of one host, under whatever names; copies of a page count once."""
+    rng = __import__("random").Random(1)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize() + ", so."
+    box = text(30)
+    pages = [f"<div class='zig'><p>{box}</p></div><div class='zag'>" + "".join(f"<p>{text(20)}</p>" for _ in range(4)) + "</div>" for _ in range(40)]
+    pages += [pages[0]] * 40
+    df = spark.createDataFrame([(i, f"https://a.example.com/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    weights = dict(zip(html.NAMES, html.train(df), strict=True))
+    assert weights != html.PRIOR
+    alike = df.where("page_id >= 40")  # one text alone: nothing to tell template by
+    assert html.train(alike) == list(html.PRIOR.values())
+
+
 def test_weights_without_pages(spark):
     none = spark.createDataFrame([(1, "u", None), (2, "v", "")], "page_id bigint, url string, html string")
     assert html.train(none) == html.train(none.limit(0)) == list(html.PRIOR.values())

@@ -100,9 +100,10 @@ def test_streaming_decoder_on_broken_bytes():
 def test_secrets(rows):
     model = secrets.train(rows)
     for r in secrets.digest_scan(rows, model).collect():
-        text = next(t for i, t in pairs(rows) if i == r.doc_id)
         if r.doc_id is None:
+            assert r.base_sha256 == brute.sha("")  # the texts without an id have none
             continue
+        text = next(t for i, t in pairs(rows) if i == r.doc_id)
         base = brute.secret_base(text)
         assert r.base_sha256 == brute.sha(brute.joined(base))
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
@@ -117,6 +118,32 @@ def test_secret_field_finds_unseen_forms(docs):
         assert not secrets.find(text, model), text
 
 
+def test_secret_field_on_planted_forms(docs):
+    """Recall by forms that the base patterns miss, put into texts that were not fitted on, and plain words that are none."""
+    import random
+    import string
+
+    texts = [r.text for r in docs.where("text IS NOT NULL").orderBy("doc_id").collect()]
+    model = secrets.fit([t[: secrets.SAMPLE_CHARS] for t in texts[:100]])
+    rng, letters = random.Random(11), string.ascii_letters + string.digits
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    forms = {
+        "prefix": lambda: ("use ", "ghp_" + some(letters, 36)), "bearer": lambda: ("Authorization: Bearer ", some(letters, 30)), "short": lambda: ("pwd = ", some(letters + "_-", 8)),
+        "letters": lambda: ("auth key: ", some(string.ascii_letters, 20)), "unnamed letters": lambda: ("value ", some(string.ascii_letters, 28)), "said": lambda: ("passwd is ", some(letters, 9)),
+    }
+
+    def put(before: str, token: str, k: int) -> bool:
+        text = texts[100 + k][:1500]
+        at = text.rfind(" ", 0, len(text) // 2) + 1
+        a = at + len(before)
+        return any(x < a + len(token) and a < y for kind, x, y in secrets.find(f"{text[:at]}{before}{token} {text[at:]}", model) if kind == "secret")
+
+    for name, form in forms.items():
+        assert sum(put(*form(), k) for k in range(80)) >= 72, name
+    plain = [("the key ", "features"), ("", "JavaScriptFrameworks"), ("access ", "control"), ("API ", "documentation"), ("the password is ", "required"), ("see ", "chapter12section4"), ("", "2023-01-12T10-30")]
+    assert sum(put(*plain[k % len(plain)], k) for k in range(80)) <= 2
+
+
 def test_quality(rows):
     got = quality.judge(rows, max_docs=1)
     plain = [(r.doc_id, r.text, r.source) for r in rows.select("doc_id", "text", "source").collect()]
