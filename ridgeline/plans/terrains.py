@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hazard
-from ..operators import exposure, terrain
+from ..operators import blocks, exposure, terrain
 from ..operators.durable import written
 from ..operators.quantiles import quantiles
 from ..sources import tables as T
@@ -129,8 +129,23 @@ def suitability(spark: SparkSession, d: str) -> DataFrame:
     return s.select("r", "c", F.round("score", 6).alias("score"), hazard.suitability_class(F.col("score")).alias("class"))
 
 
+def d8_flow_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """d8_flow from blocks of cells."""
+    return blocks.d8_flow(T.dem(spark, d))
+
+
+def slope_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """slope from blocks of cells."""
+    return blocks.gradient(*raster(spark, d)).select("r", "c", F.round("grad", 6).alias("grad"))
+
+
+def dilate8_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """dilate8 from blocks of cells."""
+    return blocks.dilate8(T.dem(spark, d), wet(spark, d, 3.0))
+
+
 QUERIES = {f.__name__: f for f in (
-    d8_flow, flow_accumulation, catchment, tributaries, river_seeds, water_seeds, dilate8, flux_domain, inflow_plan, hydrograph, flux_step, flood_timing, dem_percentiles, slope, road_near, suitability)}
+    d8_flow_blocks, slope_blocks, dilate8_blocks, d8_flow, flow_accumulation, catchment, tributaries, river_seeds, water_seeds, dilate8, flux_domain, inflow_plan, hydrograph, flux_step, flood_timing, dem_percentiles, slope, road_near, suitability)}
 
 NEAR8 = "near8 AS (SELECT * FROM (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) t(code, dr, dc))"
 FLOW = f"""{NEAR8}, flow AS (
@@ -198,3 +213,4 @@ ORACLES = {
         FROM grad x LEFT JOIN near n ON n.r = x.r AND n.c = x.c, p)
       SELECT r, c, round(score, 6) AS score, CASE WHEN score >= 0.60 THEN 'green' WHEN score <= 0.42 THEN 'red' ELSE 'yellow' END AS class FROM s""",
 }
+ORACLES |= {f"{name}_blocks": ORACLES[name] for name in ("d8_flow", "slope", "dilate8")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import images, messages
 from ridgeline.functions.grid import Grid
 from ridgeline.functions.messages import Message
-from ridgeline.operators import quake, ranks, terrain
+from ridgeline.operators import blocks, quake, ranks, terrain
 from ridgeline.sources import pbf, rasters
 
 
@@ -199,3 +199,20 @@ def test_sweep_against_all_pairs(spark):
     by_line = {(r.scenario, r.kind, r.band): r.n for r in quake.sweep(lines, s, lines=True).collect()}
     one = quake.exposed(lines.withColumn("name", F.lit("n")), *scenarios[0][1:])
     assert {(0, r.kind, r.band or "none"): r["count"] for r in one.groupBy("kind", "band").count().collect()} == {k: v for k, v in by_line.items() if k[0] == 0}
+
+
+@pytest.mark.parametrize("side", [4, 7, 128])
+def test_blocks_give_what_cells_give(spark, side):
+    """Blocks that end within the raster, cells that are missing, plains and a mask on the borders."""
+    rng = np.random.default_rng(6)
+    grid = Grid(17, 13, 85.0, 27.0, 0.01, 0.02)
+    elev = rng.integers(0, 6, (17, 13)).astype(float).tolist()
+    whole = spark.createDataFrame([(r, c, elev[r][c]) for r in range(17) for c in range(13)], "r int, c int, elev double")
+    holed = whole.where("NOT (r BETWEEN 5 AND 8 AND c BETWEEN 3 AND 7) AND r * 13 + c NOT IN (0, 16, 220)")
+    got = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert got(blocks.d8_flow(holed, side), "r", "c", "code") == got(terrain.d8_flow(holed), "r", "c", "code")
+    want = {(r, c): g for r, c, g in got(terrain.gradient(whole, grid), "r", "c", "grad")}
+    assert {(r, c): pytest.approx(g) for r, c, g in got(blocks.gradient(whole, grid, side), "r", "c", "grad")} == want
+    mask = spark.createDataFrame([(0, 0), (3, 6), (4, 7), (16, 12), (9, 0), (9, 0)], "r int, c int")
+    assert got(blocks.dilate8(whole, mask, side), "r", "c") == got(terrain.dilate8(mask, grid), "r", "c")
+    assert blocks.d8_flow(whole.limit(0), side).count() == blocks.gradient(whole.limit(0), grid, side).count() == 0
