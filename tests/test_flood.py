@@ -77,3 +77,40 @@ def test_simulation_against_plain_loops(spark):
         peak = {k: max(peak[k], depth[k]) for k in cells}
     wet = {k: v for k, v in peak.items() if v > 2e-3}
     assert wet and all(abs(got.get(k, 0.0) - v) < 1e-3 for k, v in wet.items())
+
+
+def test_requests_give_what_the_simulation_gives(spark):
+    """The river entry's mask, and a request's statistics and flooded assets, from the peak depths of the same rise."""
+    from compare import DATA
+    from ridgeline.operators import exposure
+    from ridgeline.plans import QUERIES, floods, hazards, terrains
+
+    d = str(DATA / "sf0.001")
+    dem, g = terrains.raster(spark, d)
+    elev = {(x.r, x.c): x.elev for x in dem.collect()}
+    rise = floods.RISES_M.index(terrains.RISE_M)
+    peak = {(x.r, x.c): x.depth for x in QUERIES["flood_sim"](spark, d).where(f"scenario = {rise}").collect()}
+    river = {(x.r, x.c): x.surface for x in QUERIES["flood_river"](spark, d).collect()}
+    assert river == {k: pytest.approx(elev[k] + v, abs=2e-3) for k, v in peak.items() if k[0] < g.nrows / 2} and river
+    got = {(x.section, x.item, x.name): x.value for x in QUERIES["flood_request"](spark, d).collect()}
+    wet = {k: v for k, v in peak.items() if elev[k] <= hazards.CAP_M}
+    assert got["stats", "", "cells_flooded"] == len(wet) and got["stats", "", "max_depth_m"] == pytest.approx(max(wet.values()), abs=6e-3)
+    samples = exposure.with_cell(hazards.all_assets(spark, d), g).select("kind", "id", "r", "c").distinct().collect()
+    for kind in ("buildings", "roads", "facilities"):
+        assert got["exposure", kind, "flooded"] == len({x.id for x in samples if x.kind == kind and (x.r, x.c) in wet})
+        assert got["exposure", kind, "total"] == len({x.id for x in samples if x.kind == kind})
+
+
+def test_a_flood_of_nothing(spark):
+    from ridgeline.functions.grid import Grid
+    from ridgeline.operators import requests
+
+    dem = spark.createDataFrame([(r, c, 10.0) for r in range(5) for c in range(5)], "r int, c int, elev double")
+    assets = spark.createDataFrame([("roads", "1", "n", 85.02, 27.02)], "kind string, id string, name string, lng double, lat double")
+    source = spark.createDataFrame([(2, 2)], "r int, c int")
+    for mode, level in (("rise", 0.0), ("absolute", 5.0)):
+        got = requests.flood(dem, Grid(5, 5, 85.0, 27.0, 0.01, 0.01), assets, source, level, mode)
+        assert got["stats"].first().cells_flooded == 0 and got["overlay"].count() == 0 and got["affected"].count() == 0
+        assert [tuple(r) for r in got["exposure"].collect()] == [("roads", 0, 1)]
+    with pytest.raises(ValueError):
+        requests.flood(dem, Grid(5, 5, 85.0, 27.0, 0.01, 0.01), assets, source, 1.0, "fall")

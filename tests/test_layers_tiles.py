@@ -233,8 +233,9 @@ def test_stems_of_odd_names(spark):
 
 
 @pytest.mark.parametrize("at_once", [10**9, 50, 0])
-def test_near_ends_against_all_pairs(spark, at_once):
+def test_near_ends_against_all_pairs(spark, at_once, monkeypatch):
     """Cells that hold a pair of near ends, however far they are cut; some ends lie as far apart as the limit."""
+    monkeypatch.setattr(waters, "DEEPEST", 4)
     rng = np.random.default_rng(4)
     xy = np.concatenate([rng.random((150, 2)) * 0.9, [[0.0, 0.5], [waters.NEAR_M / 111320.0, 0.5], [5.0, 5.0]]])
     cluster = ["a" if k % 3 else "b" for k in range(len(xy))]

@@ -106,7 +106,7 @@ def test_nesting(spark, shape):
         assert got[k][0] == (max(around, key=lambda o: got[o][1]) if around else None)
 
 
-@pytest.mark.parametrize("stretch", [10**6, 30, 1])
+@pytest.mark.parametrize("stretch", [10**6, 40])
 def test_simplified_in_levels(spark, stretch):
     rng = random.Random(5)
     paths = {1: [(float(i), rng.gauss(0, 1)) for i in range(300)], 2: [(float(k % 20), float(k // 20)) for k in range(60)] + [(0.0, 0.0)], 3: [(0.0, 0.0), (1.0, 1.0)], 4: [(5.0, 5.0)], 5: [(float(i), 0.0) for i in range(50)]}
