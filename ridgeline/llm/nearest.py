@@ -127,6 +127,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         found = [x for h in heaps.of for x in h]
         return pa.table({"n": queries.column("n").to_numpy()[of], "query_id": ids(queries)[of], "vec_id": pa.array([-i for _, i in found], pa.int64()), "score": pa.array([s for s, _ in found], pa.float64())})
 
+    right = right.toDF(*right.columns)  # both sides come from one table
     found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(cell, "n bigint, query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
