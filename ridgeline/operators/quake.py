@@ -77,15 +77,15 @@ def reach(scenarios: DataFrame) -> DataFrame:
 
 
 def labelled_pairs(pairs: DataFrame) -> DataFrame:
-    """scenario, kind, id, label of pairs that are in any band."""
+    """scenario, kind, id, label of pairs; 0 is no band, and is left out after counting, as a filter here would reckon every intensity again."""
     km = hazard.distance_km(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat"))
     label = hazard.band_label(hazard.intensity(km, F.col("depth_km"), F.col("magnitude")))
-    return pairs.select("scenario", "kind", "id", label.alias("label")).where("label > 0")
+    return pairs.select("scenario", "kind", "id", label.alias("label"))
 
 
 def counted(hits: DataFrame, all_of: DataFrame) -> DataFrame:
     """scenario, kind, band, n from hits (scenario, kind, label) of assets and all_of (scenario, kind, total); what is in no band is the difference."""
-    n = hits.groupBy("scenario", "kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = hits.groupBy("scenario", "kind", "label").agg(F.count(F.lit(1)).alias("n")).where("label > 0")
     some = n.groupBy("scenario", "kind").agg(F.sum("n").alias("hit"))
     none = all_of.join(some, ["scenario", "kind"], "left").withColumn("n", F.col("total") - F.coalesce("hit", F.lit(0))).where("n > 0")
     names = F.array(*(F.lit(b) for b, _ in hazard.BANDS))
@@ -100,7 +100,7 @@ def sweep(points: DataFrame, scenarios: DataFrame, lines: bool = False) -> DataF
     """
     hits = labelled_pairs(in_tiles(points).join(reach(scenarios), ["tx", "ty"]))
     if lines:
-        hits = hits.groupBy("scenario", "kind", "id").agg(F.min("label").alias("label"))
+        hits = hits.groupBy("scenario", "kind", "id").agg(F.min(F.nullif("label", F.lit(0))).alias("label"))
     per_kind = (points.select("kind", "id").distinct() if lines else points).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     return counted(hits, scenarios.select("scenario").crossJoin(F.broadcast(per_kind)))  # a row for each of the result's
 
