@@ -12,14 +12,33 @@ def with_cell(points: DataFrame, grid: Grid) -> DataFrame:
     return points.withColumn("r", grid.row(F.col("lat"))).withColumn("c", grid.col(F.col("lng")))
 
 
-def densify(lines: DataFrame, step: float) -> DataFrame:
-    """id, seg, k, lng, lat: each segment of path in n = max(1, floor(max(|dx|, |dy|) / step)) parts, both ends included."""
+def stretches(lines: DataFrame, step: float) -> DataFrame:
+    """id, seg, lng, lat, dx, dy, n: each segment of path, to be looked at in n = max(1, floor(max(|dx|, |dy|) / step)) parts."""
     a, b = F.col("path")[F.col("seg")], F.col("path")[F.col("seg") + 1]
     seg = lines.where("size(path) > 1").select("id", "path", F.explode(F.sequence(F.lit(0), F.size("path") - 2)).alias("seg"))
-    seg = seg.select("id", "seg", a["lng"].alias("x"), a["lat"].alias("y"), (b["lng"] - a["lng"]).alias("dx"), (b["lat"] - a["lat"]).alias("dy"))
-    seg = seg.withColumn("n", F.greatest(F.lit(1), F.floor(F.greatest(F.abs("dx"), F.abs("dy")) / F.lit(step)).cast("int")))
-    seg = seg.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
-    return seg.select("id", "seg", "k", (F.col("x") + F.col("dx") * F.col("k") / F.col("n")).alias("lng"), (F.col("y") + F.col("dy") * F.col("k") / F.col("n")).alias("lat"))
+    seg = seg.select("id", "seg", a["lng"].alias("lng"), a["lat"].alias("lat"), (b["lng"] - a["lng"]).alias("dx"), (b["lat"] - a["lat"]).alias("dy"))
+    return seg.withColumn("n", F.greatest(F.lit(1), F.floor(F.greatest(F.abs("dx"), F.abs("dy")) / F.lit(step)).cast("int")))
+
+
+def along(at: str, by: str, k: Column) -> Column:
+    """Coordinate of sample k of a stretch; one of no parts is its point."""
+    return F.col(at) + F.col(by) * k / F.greatest(F.col("n"), F.lit(1))
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """rows with k, lng and lat of each of the n + 1 samples of a stretch, both ends included."""
+    kept = [c for c in rows.columns if c not in ("lng", "lat", "dx", "dy", "n")]
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k")).select(*kept, "k", along("lng", "dx", F.col("k")).alias("lng"), along("lat", "dy", F.col("k")).alias("lat"))
+
+
+def densify(lines: DataFrame, step: float) -> DataFrame:
+    """id, seg, k, lng, lat: each segment of path in n parts, both ends included."""
+    return sampled(stretches(lines, step))
+
+
+def as_stretches(assets: DataFrame) -> DataFrame:
+    """Assets with dx, dy, n; points are stretches of no length."""
+    return assets if "n" in assets.columns else assets.withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0), "n": F.lit(0)})
 
 
 def flooded_at(dem: DataFrame, level_m: float) -> DataFrame:
@@ -43,11 +62,11 @@ def asset_id(kind: str, *ids: str) -> Column:
     return F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in ids), F.concat(F.lit(f"{kind}:"), F.col("pos").cast("string")))
 
 
-def asset_samples(buildings: DataFrame, roads: DataFrame, facilities: DataFrame, step: float) -> DataFrame:
-    """kind, id (text), name, lng, lat: the points at which each asset is looked at.
+def asset_stretches(buildings: DataFrame, roads: DataFrame, facilities: DataFrame, step: float) -> DataFrame:
+    """kind, id (text), name, lng, lat, dx, dy, n: the stretches along which each asset is looked at; their number does not depend on the step.
 
     Buildings and facilities (id, pos, name, lng, lat; facilities may have osm_id too) are one point each.  Roads (id, pos,
-    name, path) are sampled along every segment; a road of one vertex is that point, one without any is left out.  Empty names are null.
+    name, path) have a stretch a segment; a road of one vertex is that point, one without any is left out.  Empty names are null.
     """
 
     def part(df: DataFrame, kind: str) -> DataFrame:
@@ -56,9 +75,14 @@ def asset_samples(buildings: DataFrame, roads: DataFrame, facilities: DataFrame,
 
     lines = part(roads, "roads")
     named = F.struct("id", "name").alias("id")
-    along = densify(lines.select(named, "path"), step).select("id", "lng", "lat").union(lines.where("size(path) = 1").select(named, F.col("path")[0]["lng"], F.col("path")[0]["lat"]))
-    points = part(buildings, "buildings").unionByName(part(facilities, "facilities"))
-    return points.unionByName(along.select(F.lit("roads").alias("kind"), "id.id", "id.name", "lng", "lat"))
+    on_road = stretches(lines.select(named, "path"), step).drop("seg").unionByName(as_stretches(lines.where("size(path) = 1").select(named, F.col("path")[0]["lng"].alias("lng"), F.col("path")[0]["lat"].alias("lat"))))
+    points = as_stretches(part(buildings, "buildings").unionByName(part(facilities, "facilities")))
+    return points.unionByName(on_road.select(F.lit("roads").alias("kind"), "id.id", "id.name", "lng", "lat", "dx", "dy", "n"))
+
+
+def asset_samples(buildings: DataFrame, roads: DataFrame, facilities: DataFrame, step: float) -> DataFrame:
+    """kind, id (text), name, lng, lat: the points at which each asset is looked at, along the stretches of asset_stretches."""
+    return sampled(asset_stretches(buildings, roads, facilities, step)).drop("k")
 
 
 def totals(samples: DataFrame) -> DataFrame:
@@ -68,7 +92,7 @@ def totals(samples: DataFrame) -> DataFrame:
 
 def affected(samples: DataFrame, wet: DataFrame, grid: Grid) -> DataFrame:
     """kind, id, name of every asset with a sample in a wet cell, once each."""
-    return with_cell(samples, grid).join(wet.select("r", "c"), ["r", "c"], "left_semi").groupBy("kind", "id").agg(F.first("name").alias("name"))
+    return with_cell(sampled(as_stretches(samples)), grid).join(wet.select("r", "c"), ["r", "c"], "left_semi").groupBy("kind", "id").agg(F.first("name").alias("name"))
 
 
 def affected_counts(samples: DataFrame, hit: DataFrame) -> DataFrame:

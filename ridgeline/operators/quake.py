@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import hazard
 from ..functions.grid import KM_PER_DEG, Grid, km_per_deg_lng
+from .exposure import along, as_stretches
 
 
 def point_intensity(points: DataFrame, lng: float, lat: float, magnitude: float, depth_km: float) -> DataFrame:
@@ -76,6 +80,52 @@ def reach(scenarios: DataFrame) -> DataFrame:
     return near.select("scenario", "s_lng", "s_lat", "magnitude", "depth_km", "tx", F.explode(F.sequence(F.floor((F.col("s_lat") - F.col("d_lat")) / TILE), F.floor((F.col("s_lat") + F.col("d_lat")) / TILE))).alias("ty"))
 
 
+#: Degrees of longitude from an epicentre within which the distance along a stretch falls, then rises.
+CONVEX = 25.0
+
+
+@F.pandas_udf(IntegerType())
+def nearest_sample(lng: pd.Series, lat: pd.Series, dx: pd.Series, dy: pd.Series, n: pd.Series, at_lng: pd.Series, at_lat: pd.Series) -> pd.Series:
+    """Which of a stretch's samples 0 to n is nearest to a place, without going through them.
+
+    With A the longitude's difference in radians, the second derivative of the squared distance along a stretch is at least
+    C^2 - 4 A C D + D^2 (1 - A^2) of its extents C and D, not negative for 5 A^2 <= 1.  So distances fall, then rise: a sample between
+    two that are no nearer is the nearest, and halving finds it.  Stretches farther away than CONVEX are gone through sample by sample.
+    """
+    x, y, dx, dy = (v.to_numpy(dtype=np.float64) for v in (lng - at_lng, lat - at_lat, dx, dy))
+    base, n = lat.to_numpy(dtype=np.float64), n.to_numpy(dtype=np.int64)
+    parts = np.maximum(n, 1)
+
+    def km2(k: np.ndarray, on=slice(None)) -> np.ndarray:
+        t = k / parts[on]
+        shrunk = np.maximum(np.cos(np.radians(base[on] + dy[on] * t)), 0.1)
+        return ((x[on] + dx[on] * t) * shrunk) ** 2 + (y[on] + dy[on] * t) ** 2
+
+    flat = np.maximum(np.cos(np.radians(base + dy / 2)), 0.1) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = -(x * dx * flat + y * dy) / (dx * dx * flat + dy * dy)
+    best = np.rint(np.clip(np.nan_to_num(t), 0, 1) * n).astype(np.int64)
+    here = km2(best)
+    moved = (best > 0) & (km2(np.maximum(best - 1, 0)) < here) | (best < n) & (km2(np.minimum(best + 1, n)) < here)
+    left = np.flatnonzero(moved)
+    low, high = np.zeros(len(left), np.int64), n[left]
+    while (low < high).any():
+        middle = (low + high) // 2
+        down = km2(np.minimum(middle + 1, high), left) < km2(middle, left)
+        low, high = np.where(down, np.minimum(middle + 1, high), low), np.where(down, high, middle)
+    best[left] = low
+    for i in np.flatnonzero((n > 1) & (np.maximum(np.abs(x), np.abs(x + dx)) > CONVEX)):
+        best[i] = np.argmin(km2(np.arange(n[i] + 1), np.full(n[i] + 1, i)))
+    return pd.Series(best.astype(np.int32))
+
+
+def worst_label(stretches: DataFrame, lng: Column, lat: Column, magnitude: Column, depth_km: Column) -> DataFrame:
+    """stretches (lng, lat, dx, dy, n) with label, the worst band of their n + 1 samples: the one of the nearest sample."""
+    rows = stretches.withColumn("k", nearest_sample("lng", "lat", "dx", "dy", "n", lng, lat))
+    km = hazard.distance_km(along("lng", "dx", F.col("k")), along("lat", "dy", F.col("k")), lng, lat)
+    return rows.withColumn("label", hazard.band_label(hazard.intensity(km, depth_km, magnitude))).drop("k")
+
+
 def labelled_pairs(pairs: DataFrame) -> DataFrame:
     """scenario, kind, id, label of pairs; 0 is no band, and is left out after counting, as a filter here would reckon every intensity again."""
     km = hazard.distance_km(F.col("lng"), F.col("lat"), F.col("s_lng"), F.col("s_lat"))
@@ -93,27 +143,44 @@ def counted(hits: DataFrame, all_of: DataFrame) -> DataFrame:
 
 
 def sweep(points: DataFrame, scenarios: DataFrame, lines: bool = False) -> DataFrame:
-    """scenario, kind, band, n of many scenarios over points (kind, id, lng, lat), each an asset; with lines, an asset is all points of its id, in the worst of their bands.
+    """scenario, kind, band, n of many scenarios over points (kind, id, lng, lat), each an asset; with lines, an asset is all points or stretches (dx, dy, n) of its id, in the worst of their bands.
 
     Scenarios and points meet in the tiles within reach alone, so work is bounded by the pairs within reach, not by all pairs.
     Points without a place, and all points of a scenario without all four numbers, are in no band.
     """
-    hits = labelled_pairs(in_tiles(points).join(reach(scenarios), ["tx", "ty"]))
     if lines:
-        hits = hits.groupBy("scenario", "kind", "id").agg(F.min(F.nullif("label", F.lit(0))).alias("label"))
-    per_kind = (points.select("kind", "id").distinct() if lines else points).groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+        per_kind = points.select("kind", "id").distinct()
+        hits = line_hits(as_stretches(points), reach(scenarios))
+    else:
+        per_kind = points
+        hits = labelled_pairs(in_tiles(points).join(reach(scenarios), ["tx", "ty"]))
+    per_kind = per_kind.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     return counted(hits, scenarios.select("scenario").crossJoin(F.broadcast(per_kind)))  # a row for each of the result's
 
 
+def line_hits(lines: DataFrame, near: DataFrame) -> DataFrame:
+    """scenario, kind, id, label of stretches and the scenarios that reach a tile of theirs.
+
+    A line's stretches are brought together first, so that the pairs of a line stay where they are made and are not shuffled.
+    """
+    s = F.struct("lng", "lat", "dx", "dy", "n")
+    own = lines.where("lng IS NOT NULL AND lat IS NOT NULL AND dx IS NOT NULL AND dy IS NOT NULL").groupBy("kind", "id").agg(F.collect_list(s).alias("s"))
+    over = lambda at, by: F.explode(F.sequence(F.floor(F.least(F.col(at), F.col(at) + F.col(by)) / TILE), F.floor(F.greatest(F.col(at), F.col(at) + F.col(by)) / TILE)))
+    tiled = own.select("kind", "id", F.explode("s").alias("s")).select("kind", "id", "s.*").withColumn("tx", over("lng", "dx")).withColumn("ty", over("lat", "dy"))
+    pairs = worst_label(tiled.join(near, ["tx", "ty"]), F.col("s_lng"), F.col("s_lat"), F.col("magnitude"), F.col("depth_km"))
+    return pairs.groupBy("scenario", "kind", "id").agg(F.min(F.nullif("label", F.lit(0))).alias("label"))
+
+
 def planned_sweep(planned: DataFrame, scenarios: DataFrame) -> DataFrame:
     """The same for scenarios that bring assets of their own (scenario, kind, id, lng, lat); one with an empty list has no rows."""
     s = scenarios.select("scenario", F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"), "magnitude", "depth_km")
     return counted(labelled_pairs(planned.join(s, "scenario")), planned.groupBy("scenario", "kind").agg(F.count(F.lit(1)).alias("total")))
 
 
-def exposed(samples: DataFrame, lng: float, lat: float, magnitude: float, depth_km: float) -> DataFrame:
-    """kind, id, name, band of every asset (kind, id, name, lng, lat, one row a sample): its worst band, null outside all."""
-    label = F.nullif(hazard.band_label(F.col("intensity")), F.lit(0))
-    worst = point_intensity(samples, lng, lat, magnitude, depth_km).groupBy("kind", "id").agg(F.first("name").alias("name"), F.min(label).alias("label"))
+def exposed(assets: DataFrame, lng: float, lat: float, magnitude: float, depth_km: float) -> DataFrame:
+    """kind, id, name, band of every asset (kind, id, name, lng, lat, a row a sample, or with dx, dy, n a row a stretch): its worst band, null outside all."""
+    label = F.nullif(F.col("label"), F.lit(0))
+    rows = worst_label(as_stretches(assets), *map(F.lit, (lng, lat, magnitude, depth_km)))
+    worst = rows.groupBy("kind", "id").agg(F.first("name").alias("name"), F.min(label).alias("label"))
     names = F.array(*(F.lit(b) for b, _ in hazard.BANDS))
     return worst.select("kind", "id", "name", F.get(names, F.col("label") - 1).alias("band"))

@@ -77,13 +77,13 @@ def flood_request(spark: SparkSession, d: str) -> DataFrame:
     """A whole request: the river's rise, its statistics, and what of all assets is flooded."""
     dem, g = terrains.raster(spark, d)
     main, water = terrains.river(spark, d, g, True), terrains.river(spark, d, g, False)
-    return answer_rows(requests.flood(dem, g, hazards.all_assets(spark, d), main, terrains.RISE_M, water=water, region_cap_m=hazards.CAP_M))
+    return answer_rows(requests.flood(dem, g, hazards.asset_parts(spark, d), main, terrains.RISE_M, water=water, region_cap_m=hazards.CAP_M))
 
 
 def quake_request(spark: SparkSession, d: str) -> DataFrame:
     """A whole request: bands' areas and radii, and the bands of all assets."""
     dem, g = terrains.raster(spark, d)
-    return answer_rows(requests.earthquake(dem, g, hazards.all_assets(spark, d), hazards.LNG, hazards.LAT, hazards.MAGNITUDE, hazards.DEPTH, region_cap_m=hazards.CAP_M))
+    return answer_rows(requests.earthquake(dem, g, hazards.asset_parts(spark, d), hazards.LNG, hazards.LAT, hazards.MAGNITUDE, hazards.DEPTH, region_cap_m=hazards.CAP_M))
 
 
 def suitability_request(spark: SparkSession, d: str) -> DataFrame:

@@ -143,13 +143,18 @@ def flood_exposure(spark: SparkSession, d: str) -> DataFrame:
     return exposure.flood_counts(exposure.with_cell(points(spark, d), g), cells)
 
 
-def all_assets(spark: SparkSession, d: str) -> DataFrame:
-    """Samples of buildings, some without an id, of roads, and of facilities, some of which have an osm_id only."""
+def asset_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of buildings, some without an id, of roads, and of facilities, some of which have an osm_id only."""
     none = F.lit(None).cast("string")
     b = T.buildings(spark, d).withColumn("pos", F.col("id")).withColumn("id", F.when(F.col("id") % 10 > 0, F.col("id")))
     r = T.lines(T.road_vertices(spark, d)).withColumns({"name": none, "pos": F.col("id")})
     f = T.facilities(spark, d).withColumns({"pos": F.col("id"), "osm_id": F.when(F.col("id") % 8 > 0, F.concat(F.lit("n"), F.col("id").cast("string"))), "id": F.when(F.col("id") % 4 > 0, F.col("id"))})
-    return exposure.asset_samples(b, r, f, sample_step(T.dem_grid(T.dem(spark, d))))
+    return exposure.asset_stretches(b, r, f, sample_step(T.dem_grid(T.dem(spark, d))))
+
+
+def all_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of all assets: their number grows with the roads' segments and with the raster's rows."""
+    return exposure.sampled(asset_parts(spark, d)).drop("k")
 
 
 def sample_step(g) -> float:
@@ -165,24 +170,24 @@ def asset_union(spark: SparkSession, d: str) -> DataFrame:
 def flood_affected(spark: SparkSession, d: str) -> DataFrame:
     """Assets of all three kinds that stand in water."""
     cells, g = wet(spark, d)
-    return exposure.affected(all_assets(spark, d), cells, g)
+    return exposure.affected(asset_parts(spark, d), cells, g)
 
 
 def flood_exposed_assets(spark: SparkSession, d: str) -> DataFrame:
     """Flooded and total of all three kinds."""
-    assets = all_assets(spark, d)
+    assets = asset_parts(spark, d)
     cells, g = wet(spark, d)
     return exposure.affected_counts(assets, exposure.affected(assets, cells, g))
 
 
 def quake_exposed(spark: SparkSession, d: str) -> DataFrame:
     """Assets of all three kinds in any band."""
-    return quake.exposed(all_assets(spark, d), LNG, LAT, MAGNITUDE, DEPTH).where("band IS NOT NULL")
+    return quake.exposed(asset_parts(spark, d), LNG, LAT, MAGNITUDE, DEPTH).where("band IS NOT NULL")
 
 
 def quake_exposed_assets(spark: SparkSession, d: str) -> DataFrame:
     """Counts by band of all three kinds."""
-    return quake.exposure(quake.exposed(all_assets(spark, d), LNG, LAT, MAGNITUDE, DEPTH))
+    return quake.exposure(quake.exposed(asset_parts(spark, d), LNG, LAT, MAGNITUDE, DEPTH))
 
 
 def scenario_exposure(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +196,7 @@ def scenario_exposure(spark: SparkSession, d: str) -> DataFrame:
     own, shared = s.where("scenario % 3 = 0"), s.where("scenario % 3 > 0")
     stamps = exposure.stamp(own.where("scenario > 0").withColumnRenamed("scenario", "id"), 2)
     planned = stamps.select(F.col("id").alias("scenario"), F.when(F.col("i") == 0, "shelter").otherwise("clinic").alias("kind"), F.concat_ws("-", "i", "j").alias("id"), "lng", "lat")
-    assets = all_assets(spark, d)
+    assets = asset_parts(spark, d)
     points, lines = assets.where("kind <> 'roads'"), assets.where("kind = 'roads'")
     return quake.sweep(points, shared).union(quake.sweep(lines, shared, lines=True)).union(quake.planned_sweep(planned, own))
 
