@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.messages import Message, fields, packed, unpacked, unzigzag, zigzag
+from ..functions.messages import Message, fields, packed, steps, sums, unpacked, unzigzag
 from ..operators.durable import written
 from .files import opened, saved
 
@@ -81,12 +81,12 @@ def elements_of(block: bytes) -> Iterator[tuple]:
                 yield "node", int(unzigzag(np.array([m[1]], np.uint64))[0]), tagged(m), lon, lat, None
             elif kind == 2:
                 m = dict(fields(body))
-                ids, lats, lons = (np.cumsum(unzigzag(numbers(m, f))) for f in (1, 8, 9))
+                ids, lats, lons = (sums(bytes(m.get(f, b""))) for f in (1, 8, 9))
                 tags = dense_tags(numbers(m, 10).tolist(), words, len(ids))
                 yield from zip(["node"] * len(ids), ids.tolist(), tags, degrees(lons, lon0).tolist(), degrees(lats, lat0).tolist(), [None] * len(ids), strict=True)
             elif kind == 3:
                 m = dict(fields(body))
-                yield "way", m[1], tagged(m), None, None, np.cumsum(unzigzag(numbers(m, 8))).tolist()
+                yield "way", m[1], tagged(m), None, None, sums(bytes(m.get(8, b""))).tolist()
 
 
 def signed64(n: int) -> int:
@@ -118,7 +118,9 @@ def read_raw(paths: DataFrame) -> DataFrame:
                 yield pd.DataFrame(elements_of(block), columns=["kind", "id", "tags", "lon", "lat", "refs"])
 
     places = paths.select("path").mapInPandas(blob_places, "path string, at bigint, size bigint")
-    return places.repartition("path", "at").mapInPandas(decode, ELEMENT)
+    # A number of its own: places are so few bytes that adaptive execution would bring them all into one task.
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(tasks, "path", "at").mapInPandas(decode, ELEMENT)
 
 
 def read_elements(paths: DataFrame) -> DataFrame:
@@ -160,14 +162,13 @@ def block_of(part: pd.DataFrame) -> bytes:
     """A block of up to BLOCK nodes, densely, and ways."""
     words, group = Words(), Message()
     nodes, ways = part[part["kind"] == "node"], part[part["kind"] == "way"]
-    step = lambda v: packed(zigzag(np.diff(np.asarray(v, dtype=np.int64), prepend=0)))
     if len(nodes):
         units = lambda c: np.rint(nodes[c].to_numpy(dtype=np.float64) * PER_DEGREE).astype(np.int64)
         said = [n for tags in nodes["tags"] for n in (*(x for k, v in (tags or {}).items() for x in words.of((k, v))), 0)]
-        group.data(2, Message().data(1, step(nodes["id"])).data(8, step(units("lat"))).data(9, step(units("lon"))).data(10, packed(said)))
+        group.data(2, Message().data(1, steps(nodes["id"])).data(8, steps(units("lat"))).data(9, steps(units("lon"))).data(10, packed(said)))
     for id_, tags, refs in zip(ways["id"], ways["tags"], ways["refs"], strict=True):
         keys, values = words.of(tags or {}), words.of((tags or {}).values())
-        group.data(3, Message().number(1, int(id_)).data(2, packed(keys)).data(3, packed(values)).data(8, step(refs)))
+        group.data(3, Message().number(1, int(id_)).data(2, packed(keys)).data(3, packed(values)).data(8, steps(refs)))
     return Message().data(1, words.message()).data(2, group).bytes()
 
 
