@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
+from .wetness import wet_stretches
 
 
 def with_cell(points: DataFrame, grid: Grid) -> DataFrame:
@@ -91,8 +92,8 @@ def totals(samples: DataFrame) -> DataFrame:
 
 
 def affected(samples: DataFrame, wet: DataFrame, grid: Grid) -> DataFrame:
-    """kind, id, name of every asset with a sample in a wet cell, once each."""
-    return with_cell(sampled(as_stretches(samples)), grid).join(wet.select("r", "c"), ["r", "c"], "left_semi").groupBy("kind", "id").agg(F.first("name").alias("name"))
+    """kind, id, name of every asset (a row a sample, or with dx, dy, n a row a stretch) with a sample in a wet cell, once each."""
+    return wet_stretches(as_stretches(samples).select("kind", "id", "name", "lng", "lat", "dx", "dy", "n"), wet, grid).groupBy("kind", "id").agg(F.first("name").alias("name"))
 
 
 def affected_counts(samples: DataFrame, hit: DataFrame) -> DataFrame:
