@@ -76,3 +76,25 @@ def test_nothing(spark, size):
     none = spark.createDataFrame([], "a bigint, b bigint")
     assert graph.connected(none).count() == graph.cycles(none.toDF("node", "next")).count() == graph.chains(none.toDF("node", "up")).count() == 0
     assert graph.subtree_sizes(none.toDF("node", "dst")).count() == graph.reaches(none.toDF("node", "dst"), none.select("a").toDF("node")).count() == 0
+
+
+def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
+    """Each broadcast of a round's table passes through the driver, and rounds are many."""
+    from pyspark.sql import functions as F
+
+    joins, write = [], graph.written
+
+    def watched(df, name):
+        joins.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(graph, "SMALL_BYTES", 0)
+    monkeypatch.setattr(graph, "written", watched)
+    n = spark.range(200)
+    forest = n.select(F.col("id").alias("node"), F.nullif(F.floor(F.col("id") / 2), "id").alias("dst"))
+    assert graph.subtree_sizes(forest).where("node = 0").first().size == 200
+    assert graph.reaches(forest, n.where("id = 0").withColumnRenamed("id", "node")).count() == 200
+    assert graph.connected(n.select(F.col("id").alias("a"), F.floor(F.col("id") / 2).alias("b"))).where("label = 0").count() == 200
+    assert graph.cycles(n.select(F.col("id").alias("node"), ((F.col("id") + 1) % 200).alias("next"))).agg(F.max("rank").alias("m")).first().m == 199
+    assert graph.chains(forest.withColumnRenamed("dst", "up")).agg(F.max("depth").alias("m")).first().m == 8
+    assert len(joins) > 20 and not [p for p in joins if "Broadcast" in p]
