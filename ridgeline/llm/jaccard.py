@@ -10,11 +10,12 @@ over the sizes chooses:
   the smallest, so one row a set is compared and no pairs are made;
 * heavy sets, and light ones just below the boundary, are put in inverted lists of their n - least(n) + 1
   rarest shingles (any order common to all sets is exact; frequent shingles go last).  Parity sketches bound the symmetric
-  difference from below, so a pair that a sketch excludes cannot link.  Lists are scanned twice.  First each list is dealt
-  into blocks, in one of two ways by its shingle, and in a block each set is paired with the closest before it: so many
-  pairs as sets, which join groups of near copies of any size.  After these pairs are verified on the whole sets, all pairs
-  that share a list and are in different components are compared and verified, so no link is lost.  There the largest
-  component of a list meets the rest of the list, and never itself.
+  difference from below, so a pair that a sketch excludes cannot link.  First each list is dealt into blocks, in one of two
+  ways by its shingle.  A block of at most SHORT sets gives all its pairs, a longer one for each set the closest before and
+  after it: at most SHORT pairs a set, which join groups of near copies of any size.  After these pairs are verified on the
+  whole sets, the lists of over SHORT sets are scanned again: all pairs that share one and are in different components are
+  compared and verified, so no link is lost.  There the largest component of a list meets the rest of the list, and never
+  itself.
 
 Hashes have 64 bits: two different shingles or sets are taken for one with a chance of 2**-64 a pair.
 """
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,6 +38,8 @@ from .components import components
 PERCENT, WORDS = 80, 5
 #: Rows of the blocks into which lists are dealt, in the first scan and in the second.
 FIRST_BLOCK, BLOCK = 128, 512
+#: Rows of a list up to which the first scan gives all its pairs, so that the second one passes it over.
+SHORT = 16
 #: Frequent shingles that the order of shingles knows at most; further ones only make lists longer.
 FREQUENT = 1 << 18
 LARGEST_LIGHT = 40
@@ -196,10 +200,11 @@ def light_links(table: DataFrame, t: Threshold) -> DataFrame:
 
 def members(table: DataFrame) -> DataFrame:
     """token, length, fp of the lists that hold two sets or more, written; length counts a set once a slice."""
-    rows = table.select("fp", F.explode("tokens").alias("token"))
-    lists = rows.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("top"), F.count("*").alias("length"))
-    # Always a shuffle join: the lists grow with the corpus, and a broadcast up to some size would only move the step.
-    return materialise(rows.join(lists.where("low <> top").select("token", "length"), "token").distinct(), "members")
+    w = W.partitionBy("token").orderBy("fp")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # One shuffle of the narrow rows: an aggregate and a join with it would send them twice.
+    rows = table.select("fp", F.explode("tokens").alias("token")).select("token", "fp", F.count("*").over(whole).alias("length"), F.min("fp").over(whole).alias("low"), F.max("fp").over(whole).alias("top"), F.lag("fp").over(w).alias("before"))
+    return materialise(rows.where("low <> top AND (before IS NULL OR before <> fp)").select("token", "length", "fp"), "members")
 
 
 def with_sketches(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -215,12 +220,12 @@ def first_rows(member: DataFrame) -> DataFrame:
 
 
 def rest_rows(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """place, side, fp, label of the lists that hold two components or more.
+    """place, side, fp, label of the lists that hold two components or more and were not scanned whole at first.
 
     The sets of a list's largest component (by its number of sets in the list) and the others are dealt into blocks;
     each block of others meets all blocks, so a list of G and S rows makes about 2 G S / BLOCK + S S / BLOCK of them.
     """
-    rows = member.select("token", "fp").join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = member.where(F.col("length") > SHORT).select("token", "fp").join(small_side(labels.withColumnRenamed("node", "fp")), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     parts = rows.groupBy("token", "label").agg(F.count("*").alias("n"))
     lists = parts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
     lists = materialise(lists.select("token", F.col("most.label").alias("main"), F.col("most.n").alias("main_n"), (F.col("total") - F.col("most.n")).alias("rest_n")), "lists")
@@ -248,6 +253,8 @@ class Chunk:
     def __init__(self, batch: pa.Table, t: Threshold):
         self.t = t
         self.place, self.fp, self.n, self.label, self.side = (batch.column(c).to_numpy() for c in ("place", "fp", "n", "label", "side"))
+        self.edges = np.flatnonzero(np.concatenate([[True], self.place[1:] != self.place[:-1], [True]]))
+        self.length = np.repeat(np.diff(self.edges), np.diff(self.edges))
         sketches = batch.column("sketch").to_pylist()
         self.width = np.array([len(x) // 8 for x in sketches])
         self.row, self.of_width = np.zeros(len(sketches), np.int64), {}
@@ -259,10 +266,9 @@ class Chunk:
 
     def index_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of rows in one place, in slices: by distance over short places, by matrix in long ones."""
-        edges = np.flatnonzero(np.concatenate([[True], self.place[1:] != self.place[:-1], [True]]))
+        edges = self.edges
         lengths = np.diff(edges)
-        length_of = np.repeat(lengths, lengths)
-        short = np.flatnonzero(length_of <= 48)
+        short = np.flatnonzero(self.length <= 48)
         place = self.place[short]
         for d in range(1, 48):
             i = np.flatnonzero(place[d:] == place[:-d])
@@ -276,13 +282,15 @@ class Chunk:
                 yield i[up], j[up]
 
     def close(self, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs that may link: all of them, or for each row the one before it with the most room for further differences."""
+        """Pairs that may link: all of them, or in places of over SHORT rows, for each row those before and after it with the most room for further differences."""
         found = [(np.empty(0, np.int64),) * 3]
 
         def best(i: np.ndarray, j: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
-            order = np.lexsort((i, -room, j))
-            first = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
-            return i[first], j[first], room[first]
+            keep = self.length[j] <= SHORT
+            for end, other in ((j, i), (i, j)):
+                order = np.lexsort((other, -room, end))
+                keep[order[np.flatnonzero(np.diff(end[order], prepend=-1))]] = True
+            return i[keep], j[keep], room[keep]
 
         for i, j in self.index_pairs():
             low, high = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
@@ -392,7 +400,9 @@ def labelled(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, Data
     first = materialise(candidates(first_rows(member), table, t, forest=True), "candidates")
     links = light_links(table, t).union(verify(first, docs, sets, t, words))
     labels = components(links)
-    rest = materialise(candidates(rest_rows(member, labels), table, t, forest=False).join(first, ["a", "b"], "left_anti"), "candidates")
+    # Written before the join: Spark would move that below distinct(), where a pair is a row for each list it shares.
+    rest = materialise(candidates(rest_rows(member, labels), table, t, forest=False), "candidates")
+    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "candidates")
     if rest.limit(1).count():
         more = verify(rest, docs, sets, t, words)
         if more.limit(1).count():

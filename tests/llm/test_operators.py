@@ -222,6 +222,22 @@ def test_one_of_each_component_with_shared_and_null_ids(spark, odd):
     assert table(got, "doc_id", "text") == sorted(expected, key=repr)
 
 
+def test_jaccard_scans_short_lists_once(spark, monkeypatch):
+    """Near misses that share lists of a few sets are compared in the first scan; with longer lists the second one finds what is left."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*words[: 40 + i], *(f"x{i}-{k}" for k in range(12 - i % 3))])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    t = jaccard.Threshold(70)
+    _, often = jaccard.set_table(df, 4)
+    member = jaccard.members(jaccard.signatures(df, t, 0, often, 4))
+    assert member.count() == member.distinct().count() > 12
+    labels = spark.createDataFrame([], "node bigint, label bigint")
+    assert jaccard.rest_rows(member, labels).count() == 0
+    for short in (16, 2):
+        monkeypatch.setattr(jaccard, "SHORT", short)
+        same(jaccard.join(df, 70, 4), "doc_id n_shingles component_id", brute.jaccard_components(rows, 70, 4))
+
+
 def test_substrings(rows):
     same(substrings.digest(rows), "doc_id n_words n_removed kept_sha256", brute.without_repeats(pairs(rows)))
 
