@@ -12,10 +12,11 @@ paths of 1 to 16 edges, and only paths travel between tasks:
    rounds of Spark joins that halve them;
 4. where paths with one anchor differ, the graph branches inside them: one path of each kind there is opened into its
    edges, and edges are counted;
-5. what is repeated goes back to its source coordinates (document, first word, end), where the words themselves are read
-   and must be the same at all places; spans are merged and cut from the words.
+5. what is repeated goes back to its source coordinates (document, first word, end); spans are merged and cut from the
+   words.
 
-A sequence is known by two independent 64-bit hashes taken at its coordinates until step 5.
+A sequence is known by the 128-bit digest of the words themselves, read at its coordinates while their text is at hand, so
+texts meet spans only once, in the last step.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from .spans import merged
 
 WINDOW = 35
 ANCHOR = 20
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Words that are hashed at once; a longer document is done alone.
 SLICE_WORDS = 1 << 20
 
@@ -44,37 +44,29 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-class Spanner:
-    """Hashes of any ranges of an array, from sums of a polynomial whose base has an inverse modulo 2**64."""
+def digests(words: list[bytes], first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128-bit digest of the words from each first to each end, by single spaces."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    data = memoryview(b" ".join(words))
+    found = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip((ends - size)[first].tolist(), ends[end - 1].tolist(), strict=True)])
+    halves = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
 
-    def __init__(self, h: np.ndarray, base: int):
-        n = len(h)
-        with np.errstate(over="ignore"):
-            powers = np.full(n + 1, base, np.uint64)
-            powers[0] = 1
-            powers = np.cumprod(powers)
-            back = np.full(n + 1, pow(base, -1, 2**64), np.uint64)
-            back[0] = 1
-            self.back = np.cumprod(back)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n])])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-
-def slices(texts: list[str], window: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(numbers of texts, hashes of their words in a row, where each begins and the end) for texts with a window at least."""
-    at, parts, total = [], [], 0
+def slices(texts: list[str], window: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[bytes]]]:
+    """(numbers of texts, hashes of their words in a row, where each begins and the end, the words) for texts with a window at least."""
+    at, parts, words, total = [], [], [], 0
     for i, t in enumerate(texts):
         w = words_of(t)
         if len(w) >= window:
             at.append(i)
             parts.append(word_hashes(w))
+            words += w
             total += len(w)
         if total >= SLICE_WORDS or i + 1 == len(texts) and parts:
-            yield at, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            at, parts, total = [], [], 0
+            yield at, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), words
+            at, parts, words, total = [], [], [], 0
 
 
 def anchored(h: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +97,7 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """token of each anchor that occurs at two places or more."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [anchored(h, starts, window, anchor)[0] for _, h, starts in slices(texts_of(batch), window)]
+        found = [anchored(h, starts, window, anchor)[0] for _, h, starts, _ in slices(texts_of(batch), window)]
         u, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         return {"token": signed(u), "n": n}
 
@@ -114,16 +106,15 @@ def anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def paths(docs: DataFrame, repeated: DataFrame, window: int, anchor: int) -> DataFrame:
-    """token, c1, c2 (hashes of the whole path), doc_id, fp, first, last (its windows) of paths with repeated anchors, written."""
+    """token, c1, c2 (digest of the whole path's words, and where the anchor is), doc_id, fp, first, last (its windows) of paths with repeated anchors, written."""
 
     def run(batch: pa.RecordBatch) -> dict:
         doc_id, fp = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(object), batch.column("fp").to_numpy()
         out: dict[str, list] = {k: [np.empty(0, np.int64)] for k in ("token", "c1", "c2", "row", "first", "last")}
-        for at, h, starts in slices(texts_of(batch), window):
+        for at, h, starts, words in slices(texts_of(batch), window):
             token, place, first, last = anchored(h, starts, window, anchor)
             doc = np.searchsorted(starts, first, side="right") - 1
-            for name, base in zip(("c1", "c2"), BASES, strict=True):
-                whole = Spanner(h, base).of(first, last + window)
+            for name, whole in zip(("c1", "c2"), digests(words, first, last + window), strict=True):
                 out[name].append(signed(mix(whole ^ (place - first).astype(np.uint64))))
             out["token"].append(signed(token))
             out["row"].append(np.array(at)[doc])
@@ -138,7 +129,7 @@ def paths(docs: DataFrame, repeated: DataFrame, window: int, anchor: int) -> Dat
 
 
 def opened(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """h1, h2, doc_id, fp, first of every window of the given paths (p_id, p_fp, first, last), written."""
+    """h1, h2 (digest of the words), doc_id, fp, first of every window of the given paths (p_id, p_fp, first, last), written."""
     lists = kinds.groupBy("p_id", "p_fp").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     on = docs.join(small_side(materialise(lists, "ranges")), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("fp") == F.col("p_fp")))
     on = on.select("doc_id", "fp", "text", "ranges")
@@ -146,10 +137,9 @@ def opened(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [np.empty(0, np.int64)] for k in ("h1", "h2", "row", "first")}
         for i, (text, ranges) in enumerate(zip(texts_of(batch), batch.column("ranges").to_pylist(), strict=True)):
-            h = word_hashes(words_of(text))
             first = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
-            for name, base in zip(("h1", "h2"), BASES, strict=True):
-                out[name].append(signed(rolling(h, window, base)[first]))
+            for name, half in zip(("h1", "h2"), digests(words_of(text), first, first + window), strict=True):
+                out[name].append(signed(half))
             out["row"].append(np.full(len(first), i))
             out["first"].append(first)
         c = {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
@@ -173,15 +163,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     twice = materialise(kinds.where("places > 1").select("token", "c1", "c2", F.xxhash64("token", "c1", "c2").alias("k")), "repeated-paths")
     places = materialise(found.join(small_side(twice), ["token", "c1", "c2"]).select("k", "doc_id", "fp", "first", "last"), "repeated-places")
     chain = compacted(places)
-    whole = places.join(small_side(chain), "k").select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"), F.col("k").alias("u"))
+    whole = places.join(small_side(chain), "k").select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (window - 1)).alias("end"))
     # Branches: anchors with a kind of path that has one place only; the kind of least coordinates stands for all its places.
     branching = kinds.groupBy("token").agg(F.min("places").alias("least"), F.count("*").alias("kinds")).where("least = 1 AND kinds > 1").select("token")
     inside = kinds.join(small_side(materialise(branching, "branching")), "token", "left_semi").withColumnsRenamed({"doc_id": "p_id", "fp": "p_fp"})
     edges = opened(docs, materialise(inside.select("p_id", "p_fp", "first", "last"), "branching-paths"), window)
     again = materialise(edges.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "repeated-edges")
-    single = edges.join(small_side(again), ["h1", "h2"]).select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + window).alias("end"), F.col("h1").alias("u"))
-    spans = whole.union(single).groupBy(F.col("doc_id").alias("r_id"), F.col("fp").alias("r_fp")).agg(F.collect_set(F.struct("start", "end", "u")).alias("spans"))
-    spans = same_words(docs, materialise(spans, "spans"))
+    single = edges.join(small_side(again), ["h1", "h2"]).select("doc_id", "fp", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
+    spans = whole.union(single).groupBy(F.col("doc_id").alias("r_id"), F.col("fp").alias("r_fp")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def run(batch: pa.RecordBatch) -> dict:
         joined = [merged([(x["start"], x["end"]) for x in s]) for s in batch.column("spans").to_pylist()]
@@ -215,35 +204,6 @@ def compacted(places: DataFrame) -> DataFrame:
         state = new.select("k", "windows", "to")
 
 
-def same_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The spans (start, end, u) of rows r_id, r_fp whose words, read at their coordinates, are those of another span of the same u.
-
-    A digest of the words of each span is counted by u; where all spans of every u agree, as hashes promise, that is all.
-    """
-    asked = with_spans(docs, spans).where("spans IS NOT NULL")
-
-    def run(batch: pa.RecordBatch) -> dict:
-        u, d = [], []
-        for text, marks in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
-            words = words_of(text)
-            u += [m["u"] for m in marks]
-            d += [xxhash.xxh3_128_digest(b" ".join(words[m["start"] : m["end"]])) for m in marks]
-        return {"u": u, "d": d}
-
-    counted = materialise(arrow_map(asked, run, "u bigint, d binary").groupBy("u", "d").agg(F.count("*").alias("n")), "span-words")
-    other = counted.where("n = 1").select("u", "d")
-    if not other.limit(1).count():
-        return spans
-
-    def agree(batch: pa.RecordBatch) -> dict:
-        out = [[dict(m, d=xxhash.xxh3_128_digest(b" ".join(words_of(t)[m["start"] : m["end"]]))) for m in s] for t, s in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True)]
-        return {"r_id": batch.column("doc_id"), "r_fp": batch.column("fp"), "marks": out}
-
-    marks = arrow_map(asked, agree, "r_id bigint, r_fp bigint, marks array<struct<start: bigint, end: bigint, u: bigint, d: binary>>")
-    rows = marks.select("r_id", "r_fp", F.explode("marks").alias("m")).select("r_id", "r_fp", "m.*").join(other, ["u", "d"], "left_anti")
-    return rows.groupBy("r_id", "r_fp").agg(F.collect_set(F.struct("start", "end", "u")).alias("spans"))
-
-
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, fp, text, spans: the documents, broadcast join if the spans are few."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))

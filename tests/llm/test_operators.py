@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +260,19 @@ def test_substrings_with_branches(spark, window):
     assert {r.doc_id: brute.sha(r.text) for r in got.collect()} == expected
 
 
+def test_repeated_spans_read_texts_by_coordinates_only(spark, odd, monkeypatch):
+    """Texts are joined with spans once, to cut them; equal words give equal digests wherever they are, and other words others."""
+    words = "a bb  ccc a bb ccc a b b".split()
+    one, two = substrings.digests([w.encode() for w in words], np.array([0, 3, 6, 1]), np.array([3, 6, 9, 3]))
+    assert one[0] == one[1] and two[0] == two[1] and len(set(one)) == len(set(two)) == 3
+
+    def fails(*args):
+        raise AssertionError("texts joined with spans")
+
+    monkeypatch.setattr(substrings, "with_spans", fails)
+    assert substrings.repeated_spans(odd).count() >= 0
+
+
 def test_empty_tables(spark, none):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.scan(none, items).count() == decontaminate.remove(none, items).count() == 0
