@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
 from .durable import written
+from .graph import shuffled
 from .terrain import FLUX, NEIGHBOURS, WET
 
 
@@ -66,7 +67,7 @@ def simulate(dem: DataFrame, plan: DataFrame, box: DataFrame, tile: int = TILE,
     # Each scenario has its rows of tiles, and an equi-join on them finds its cells.
     bands = size.select("scenario", "r0", "r1", "c0", "c1", "n", "w", F.explode(F.sequence(F.floor(F.col("r0") / tile), F.floor(F.col("r1") / tile))).alias("band"))
     cells = dem.select("r", "c", "elev").withColumn("band", F.floor(F.col("r") / tile)).join(bands, "band").where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
-    cells = cells.join(plan.select("scenario", "r", "c", "d_cell", "start"), ["scenario", "r", "c"], "left")
+    cells = cells.join(shuffled(plan.select("scenario", "r", "c", "d_cell", "start")), ["scenario", "r", "c"], "left")
     zero = F.lit(0.0).cast("float")
     state = cells.select("scenario", (F.col("r") - F.col("r0")).cast("int").alias("r"), (F.col("c") - F.col("c0")).cast("int").alias("c"), F.col("elev").cast("double").alias("elev"), F.coalesce("d_cell", F.lit(0.0)).alias("d_cell"), F.coalesce("start", F.lit(0)).alias("start"), F.col("n").alias("n_steps"), F.col("w").alias("window"), zero.alias("depth"), zero.alias("peak"))
     most = size.agg(F.max(F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"))).alias("side"), F.max("n").alias("n")).first()
@@ -104,8 +105,8 @@ def stepped(state: DataFrame, tile: int, margin: int, first: int, last: int) ->
 def boxes(plans: DataFrame, flow: DataFrame, grid: Grid, margin: int = 12) -> DataFrame:
     """scenario, r0, r1, c0, c1: the inflow cells of each plan, what they flow to and what flows to them by one step, and a margin."""
     i = plans.select("scenario", "r", "c")
-    down = i.join(flow, ["r", "c"]).select("scenario", F.col("nr").alias("r"), F.col("nc").alias("c"))
-    up = i.join(flow.select(F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("ur"), F.col("c").alias("uc")), ["r", "c"]).select("scenario", F.col("ur").alias("r"), F.col("uc").alias("c"))
+    down = i.join(shuffled(flow), ["r", "c"]).select("scenario", F.col("nr").alias("r"), F.col("nc").alias("c"))
+    up = i.join(shuffled(flow.select(F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("r").alias("ur"), F.col("c").alias("uc"))), ["r", "c"]).select("scenario", F.col("ur").alias("r"), F.col("uc").alias("c"))
     lo, hi = (lambda v: F.greatest(F.lit(0), F.min(v) - margin)), (lambda v, n: F.least(F.lit(n - 1), F.max(v) + margin))
     return i.union(down).union(up).groupBy("scenario").agg(lo("r").alias("r0"), hi("r", grid.nrows).alias("r1"), lo("c").alias("c0"), hi("c", grid.ncols).alias("c1"))
 
@@ -114,4 +115,4 @@ def wet_cells(dem: DataFrame, flow: DataFrame, plans: DataFrame, grid: Grid, reg
     """scenario, r, c, elev, depth of what each plan floods, within the region's cells (r, c) if there is one."""
     flow, plans = written(flow, "flow"), written(plans, "plans")
     wet = simulate(dem, plans, written(boxes(plans, flow, grid), "boxes"))
-    return wet if region is None else wet.join(region.select("r", "c"), ["r", "c"], "left_semi").select("scenario", "r", "c", "elev", "depth")
+    return wet if region is None else wet.join(shuffled(region.select("r", "c")), ["r", "c"], "left_semi").select("scenario", "r", "c", "elev", "depth")

@@ -26,10 +26,13 @@ def flows(dem: DataFrame) -> DataFrame:
     return written(terrain.d8_flow(dem), "flow")
 
 
-def river(spark: SparkSession, d: str, grid, main: bool) -> DataFrame:
+def river_lines(spark: SparkSession, d: str, main: bool) -> DataFrame:
     ways = T.waterways(spark, d)
-    lines = T.lines(ways.where("main") if main else ways)
-    return terrain.polyline_cells(lines, grid)
+    return T.lines(ways.where("main") if main else ways)
+
+
+def river(spark: SparkSession, d: str, grid, main: bool) -> DataFrame:
+    return terrain.line_cells(river_lines(spark, d, main), grid)
 
 
 def d8_flow(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +47,7 @@ def flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
 def caught(spark: SparkSession, d: str):
     dem, g = raster(spark, d)
     flow = flows(dem)
-    main = river(spark, d, g, True).select("r", "c").distinct()
+    main = written(river(spark, d, g, True), "main")
     return dem, g, flow, main, terrain.catchment(dem, flow, main, g)
 
 
@@ -55,15 +58,15 @@ def catchment(spark: SparkSession, d: str) -> DataFrame:
 def tributaries(spark: SparkSession, d: str) -> DataFrame:
     """Water cells that flow into the main rivers and are not theirs."""
     _, g, _, main, c = caught(spark, d)
-    return c.join(river(spark, d, g, False).select("r", "c").distinct(), ["r", "c"], "left_semi").join(main, ["r", "c"], "left_anti").select("r", "c", "dist")
+    return c.join(river(spark, d, g, False), ["r", "c"], "left_semi").join(main, ["r", "c"], "left_anti").select("r", "c", "dist")
 
 
 def river_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return river(spark, d, raster(spark, d)[1], True)
+    return terrain.polyline_cells(river_lines(spark, d, True), raster(spark, d)[1])
 
 
 def water_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return river(spark, d, raster(spark, d)[1], False).select("r", "c").distinct()
+    return river(spark, d, raster(spark, d)[1], False)
 
 
 def wet(spark: SparkSession, d: str, level: float = LEVEL_M) -> DataFrame:

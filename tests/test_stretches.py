@@ -70,3 +70,21 @@ def test_a_wet_cell_among_many_samples(spark):
     one = spark.createDataFrame([("roads", "1", "n", 80.5, 21.0, 2.0, 8.0, 200_000_000), ("roads", "2", "n", 82.5, 21.0, 0.5, 8.0, 200_000_000)], "kind string, id string, name string, lng double, lat double, dx double, dy double, n int")
     wet = spark.createDataFrame([(500_000, c) for c in (0, 1)] + [(400_000 + k, 3) for k in range(5)], "r int, c int")
     assert [r.id for r in exposure.affected(one, wet, grid).collect()] == ["1"]
+
+
+def test_line_cells_are_those_of_the_paths_and_not_made_segment_by_segment(spark):
+    from ridgeline.functions.grid import Grid
+    from ridgeline.operators import terrain
+
+    rng = np.random.default_rng(5)
+    for rows, columns, block in ((300, 7, 16), (5, 90, 4096), (40, 40, 7)):
+        grid = Grid(rows, columns, 0.0, 0.0, 1.0, 1.0)
+        paths = [[(float(x), float(y)) for x, y in zip(rng.uniform(-2, columns + 2, n), rng.uniform(-2, rows + 2, n), strict=True)] for n in rng.integers(0, 6, 12)]
+        paths += [[(3.5, 2.5), (3.5, 2.5)], [(0.5, 0.5), (0.5, rows - 0.5)], [(None, 1.5), (2.5, None)], None]
+        lines = spark.createDataFrame(list(enumerate(paths)), "id bigint, path array<struct<lng: double, lat: double>>")
+        want = {(x.r, x.c) for x in terrain.polyline_cells(lines, grid).collect()}
+        found = [(x.r, x.c) for x in terrain.line_cells(lines, grid, block).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    # 20,000 segments down all of 20,000 rows would make 400 million cells.
+    lines = spark.range(20_000).selectExpr("id", "array(struct(0.5D AS lng, 0.5D AS lat), struct(2.5D AS lng, 19999.5D AS lat)) AS path")
+    assert terrain.line_cells(lines, Grid(20_000, 3, 0.0, 0.0, 1.0, 1.0)).count() == 20_000
