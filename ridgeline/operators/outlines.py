@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.grid import Grid
 from .durable import written
-from .graph import chains, cycles
+from .graph import chains, cycles, shuffled
 from .regions import labelled_runs, simplified
 
 #: Vertices between two kept ones up to which one task simplifies the stretch.
@@ -57,7 +57,7 @@ def ringed(runs: DataFrame, grid: Grid) -> DataFrame:
     of = written(sides(runs, grid), "sides")
     links = written(successors(of), "ring-links")
     ranks = cycles(links.select(F.col("side").alias("node"), "next")).withColumnRenamed("node", "side")
-    return written(of.join(links.select("side", "straight"), "side").join(ranks, "side"), "rings")
+    return written(of.join(shuffled(links.select("side", "straight")), "side").join(shuffled(ranks), "side"), "rings")
 
 
 def ring_vertices(rings: DataFrame) -> DataFrame:
@@ -167,14 +167,14 @@ def nested(rings: DataFrame) -> DataFrame:
     shape = written(ring_areas(rings).select("ring", "label", "shell"), "ring-shapes")
     row = W.partitionBy(F.least("y0", "y1")).orderBy("x")
     before = rings.withColumn("near", F.lag("ring").over(row)).where("rank = 0").select("ring", "near")
-    shells = shape.where("shell").join(before, "ring").select("ring", "near")
+    shells = shape.where("shell").join(shuffled(before), "ring").select("ring", "near")
     holes = shape.where("NOT shell")
     asked = written(shells, "ring-parents")
-    while asked.join(shells.select(F.col("ring").alias("near")), "near", "left_semi").limit(1).count():
+    while asked.join(shuffled(shells.select(F.col("ring").alias("near"))), "near", "left_semi").limit(1).count():
         on = asked.select(F.col("ring").alias("near"), F.col("near").alias("then"), F.lit(True).alias("on"))
-        asked = written(asked.join(on, "near", "left").select("ring", F.when(F.col("on"), F.col("then")).otherwise(F.col("near")).alias("near")), "ring-parents")
+        asked = written(asked.join(shuffled(on), "near", "left").select("ring", F.when(F.col("on"), F.col("then")).otherwise(F.col("near")).alias("near")), "ring-parents")
     outer = shape.where("shell").select("label", F.col("ring").alias("parent"))
-    parents = asked.select("ring", F.col("near").alias("parent")).union(holes.join(outer, "label").select("ring", "parent"))
+    parents = asked.select("ring", F.col("near").alias("parent")).union(holes.join(shuffled(outer), "label").select("ring", "parent"))
     parents = written(parents, "ring-parents")
     depth = chains(parents.select(F.col("ring").alias("node"), F.col("parent").alias("up")))
-    return shape.join(parents, "ring").join(depth.select(F.col("node").alias("ring"), F.col("depth").cast("int").alias("depth")), "ring")
+    return shape.join(shuffled(parents), "ring").join(shuffled(depth.select(F.col("node").alias("ring"), F.col("depth").cast("int").alias("depth"))), "ring")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.grid import Grid
 from .durable import written
-from .graph import components
+from .graph import components, shuffled
 
 #: The least component that stays, the least hole that stays open, and cells of a display mask's longer side (fixed values).
 KEEP, HOLE, DISPLAY = 4, 8, 96
@@ -44,9 +44,9 @@ def labelled_runs(mask: DataFrame, grid: Grid) -> DataFrame:
     runs = written(runs, "runs")
     cells = runs.select("node", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
     below = cells.select(F.col("node").alias("b"), (F.col("r") - 1).alias("r"), "c")
-    links = cells.join(below, ["r", "c"]).select(F.col("node").alias("a"), "b").distinct()
+    links = cells.join(shuffled(below), ["r", "c"]).select(F.col("node").alias("a"), "b").distinct()
     labels = components(links, runs.select("node"))
-    return runs.join(labels, "node").select("label", "r", "c0", "c1")
+    return runs.join(shuffled(labels), "node").select("label", "r", "c0", "c1")
 
 
 def mask_runs(mask: DataFrame) -> DataFrame:

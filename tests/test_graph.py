@@ -98,3 +98,31 @@ def test_rounds_send_no_table_to_the_driver(spark, monkeypatch):
     assert graph.cycles(n.select(F.col("id").alias("node"), ((F.col("id") + 1) % 200).alias("next"))).agg(F.max("rank").alias("m")).first().m == 199
     assert graph.chains(forest.withColumnRenamed("dst", "up")).agg(F.max("depth").alias("m")).first().m == 8
     assert len(joins) > 20 and not [p for p in joins if "Broadcast" in p]
+
+
+def test_rings_and_inflow_send_no_table_to_the_driver(spark, monkeypatch):
+    """Tables of the raster's or the rings' size are joined by shuffles; what a total of one row needs may be broadcast."""
+    from pyspark.sql import functions as F
+    from ridgeline.functions.grid import Grid
+    from ridgeline.operators import flood, outlines, regions, terrain
+
+    grid = Grid(20, 20, 0.0, 0.0, 1.0, 1.0)
+    dem = spark.range(400).select(F.floor(F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), (F.col("id") * 37 % 101).cast("double").alias("elev"))
+    seen, write = [], outlines.written
+
+    def watched(df, name):
+        seen.append(df)
+        return write(df, name)
+
+    for module in (outlines, regions, graph, terrain, flood):
+        monkeypatch.setattr(module, "written", watched)
+    nested = outlines.nested(outlines.ringed(regions.labelled_runs(dem.where("elev < 60"), grid), grid))
+    flow = watched(terrain.d8_flow(dem), "flow")
+    main = dem.where("c = 3").select("r", "c")
+    caught = terrain.catchment(dem, flow, main, grid)
+    plan = terrain.inflow_plan(terrain.accumulation(dem, flow, grid), caught, main, dem.select("r", "c"), grid, 2.0)
+    box = flood.boxes(plan.withColumn("scenario", F.lit(0)), flow, grid)
+    assert nested.count() and plan.count() and box.count() == 1
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*seen, nested, terrain.flux_box(main, flow, grid), caught)]
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
