@@ -266,3 +266,36 @@ def test_pack_is_made_anew_when_its_source_grows(spark, tmp_path):
     assert [read(), read(), len(made)] == [10, 10, 1]
     spark.range(5).write.mode("append").parquet(source)
     assert [read(), read(2), len(made)] == [15, 15, 3]
+
+
+def test_features_of_a_batch_are_those_made_one_by_one():
+    """Holes, large and negative steps, no name, and ids that are left out."""
+    import numpy as np
+    import pyarrow as pa
+    from ridgeline.functions.messages import Message, packed, zigzag
+    from ridgeline.operators import tiles as O
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        rings = [[{"dx": int(x), "dy": int(y)} for x, y in rng.integers(-(10 ** int(rng.integers(1, 9))), 10**3, (int(n), 2))] for n in rng.integers(3, 9, int(rng.integers(1, 4)))]
+        rows.append({"id": (None, -4, 0, 2**40 + k)[k % 4], "height": k * 5, "color": 2**14 + k, "name": None if k % 3 == 0 else 300 + k, "moves": rings})
+    kind = pa.schema([("id", pa.int64()), ("height", pa.int64()), ("color", pa.int64()), ("name", pa.int64()), ("moves", pa.list_(pa.list_(pa.struct([("dx", pa.int64()), ("dy", pa.int64())]))))])
+    want = []
+    for row in rows:
+        pen = []
+        for ring in row["moves"]:
+            steps = zigzag([v for m in ring for v in (m["dx"], m["dy"])]).tolist()
+            pen += [9, *steps[:2], (len(ring) - 1) << 3 | 2, *steps[2:], 15]
+        own = Message() if row["id"] is None or row["id"] < 0 else Message().number(1, row["id"])
+        tags = [0, row["height"], 1, row["color"], *([] if row["name"] is None else [2, row["name"]])]
+        want.append(own.data(2, packed(tags)).number(3, 3).data(4, packed(pen)).bytes())
+    batch = pa.RecordBatch.from_pylist(rows, schema=kind)
+    assert O.features(batch).to_pylist() == want and O.features(batch.slice(7, 20)).to_pylist() == want[7:27] and len(O.features(batch.slice(0, 0))) == 0
+
+
+def test_rings_are_made_by_many_tasks(spark):
+    """Buildings in one small file were all one task's."""
+    from pyspark.sql import functions as F
+
+    assert Q.footprint_rings(spark, SF).select(F.spark_partition_id().alias("p")).distinct().count() > 4
