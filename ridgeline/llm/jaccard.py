@@ -199,12 +199,18 @@ def light_links(table: DataFrame, t: Threshold) -> DataFrame:
 
 
 def members(table: DataFrame) -> DataFrame:
-    """token, length, fp of the lists that hold two sets or more, written; length counts a set once a slice."""
+    """token, length, fp of the lists that hold two sets or more, written; length counts a set once a slice.
+
+    Near copies share most of their shingles, and so whole lists.  Of short lists with the same sets, which give the same pairs, one stays,
+    known by the hash of its sets in place of a token, and as one of SHORT sets.
+    """
     w = W.partitionBy("token").orderBy("fp")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     # One shuffle of the narrow rows: an aggregate and a join with it would send them twice.
-    rows = table.select("fp", F.explode("tokens").alias("token")).select("token", "fp", F.count("*").over(whole).alias("length"), F.min("fp").over(whole).alias("low"), F.max("fp").over(whole).alias("top"), F.lag("fp").over(w).alias("before"))
-    return materialise(rows.where("low <> top AND (before IS NULL OR before <> fp)").select("token", "length", "fp"), "members")
+    rows = table.select("fp", F.explode("tokens").alias("token")).select("token", "fp", F.count("*").over(whole).alias("length"), F.min("fp").over(whole).alias("low"), F.max("fp").over(whole).alias("top"), F.lag("fp").over(w).alias("before"), *(F.sum(F.pmod(F.xxhash64("fp", F.lit(k)), F.lit(1 << 32))).over(whole).alias(f"sum{k}") for k in (0, 1)))
+    short = F.col("length") <= SHORT
+    rows = rows.where("low <> top AND (before IS NULL OR before <> fp)").select(F.when(short, F.xxhash64("low", "top", "sum0", "sum1")).otherwise(F.col("token")).alias("token"), F.when(short, F.lit(SHORT).cast("bigint")).otherwise(F.col("length")).alias("length"), "fp")
+    return materialise(rows.distinct(), "members")
 
 
 def with_sketches(rows: DataFrame, table: DataFrame) -> DataFrame:

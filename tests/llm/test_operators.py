@@ -223,6 +223,17 @@ def test_one_of_each_component_with_shared_and_null_ids(spark, odd):
     assert table(got, "doc_id", "text") == sorted(expected, key=repr)
 
 
+def test_jaccard_keeps_one_of_lists_with_the_same_sets(spark):
+    """Two near copies of 400 words share dozens of lists, which held a row each for both."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"v{k}" for k in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    table = jaccard.signatures(df, jaccard.Threshold(80), 0, jaccard.set_table(df, 5)[1], 5)
+    member = jaccard.members(table)
+    assert member.count() == 2 and member.select("fp").distinct().count() == 2
+    assert sorted(r.component_id for r in jaccard.join(df).collect()) == [0, 0, 2]
+
+
 def test_jaccard_scans_short_lists_once(spark, monkeypatch):
     """Near misses that share lists of a few sets are compared in the first scan; with longer lists the second one finds what is left."""
     words = [f"w{k}" for k in range(60)]
