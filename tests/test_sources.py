@@ -11,7 +11,7 @@ from ridgeline.functions import images, messages
 from ridgeline.functions.grid import Grid
 from ridgeline.functions.messages import Message
 from ridgeline.operators import blocks, quake, ranks, terrain
-from ridgeline.sources import pbf, rasters
+from ridgeline.sources import pbf, rasters, tables
 
 
 def test_numbers_come_back():
@@ -216,3 +216,8 @@ def test_blocks_give_what_cells_give(spark, side):
     mask = spark.createDataFrame([(0, 0), (3, 6), (4, 7), (16, 12), (9, 0), (9, 0)], "r int, c int")
     assert got(blocks.dilate8(whole, mask, side), "r", "c") == got(terrain.dilate8(mask, grid), "r", "c")
     assert blocks.d8_flow(whole.limit(0), side).count() == blocks.gradient(whole.limit(0), grid, side).count() == 0
+
+
+def test_roads_are_shuffled_by_their_keys_alone(spark):
+    plan = tables.lines(tables.road_vertices(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "7919" in plan and "7919" not in plan[plan.index("Exchange") :]
