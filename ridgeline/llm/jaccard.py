@@ -72,17 +72,21 @@ def set_hash(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s, 1).sum(dtype=np.uint64) ^ np.uint64(len(s))]), 3).view(np.int64)[0])
 
 
-def sketch_words(n: int) -> int:
-    """64-bit words of a sketch: 512 bits, four times as many while the set has over 2.4 elements a bit."""
-    words = 8
-    while n > 150 * words:
-        words *= 4
+def sketch_words(n: int, t: Threshold) -> int:
+    """64-bit words of a sketch, doubled from 2 on until it parts sets that share nothing from linked ones.
+
+    Sketches of the former differ in half of their bits, of which five standard deviations (four a root of the words) are taken
+    off; linked sets differ in no more elements than the largest partner allows.
+    """
+    words, both = 2, n + 100 * n // t.percent
+    while both - 2 * t.need(both) > 32 * words - 20 * math.sqrt(words):
+        words *= 2
     return words
 
 
-def sketch(s: np.ndarray) -> bytes:
+def sketch(s: np.ndarray, t: Threshold) -> bytes:
     """Parities of the elements by hash: the bits in which two sketches differ are at most the elements in which the sets do."""
-    return parities(s, sketch_words(len(s)) * 64)
+    return parities(s, sketch_words(len(s), t) * 64)
 
 
 def fine_sketch(s: np.ndarray) -> bytes:
@@ -181,7 +185,7 @@ def signatures(docs: DataFrame, t: Threshold, light: int, often: np.ndarray, wor
         tokens = [signed(prefix(s, t, shared.value)) if len(s) >= in_lists else np.empty(0, np.int64) for s in rows]
         at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
         return {
-            "fp": list(sets), "n": list(map(len, rows)), "sketch": [sketch(s) if len(s) >= in_lists else b"" for s in rows],
+            "fp": list(sets), "n": list(map(len, rows)), "sketch": [sketch(s, t) if len(s) >= in_lists else b"" for s in rows],
             "tokens": pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.empty(0, np.int64), *tokens]))), "sizes": [x for x, _ in lights], "subsets": [x for _, x in lights],
         }
 
@@ -247,10 +251,11 @@ def rest_rows(member: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("x.place", "x.side", "fp", "label")
 
 
-def fold(matrix: np.ndarray) -> np.ndarray:
-    """Sketches of a quarter of the words."""
-    q = matrix.shape[1] // 4
-    return matrix[:, :q] ^ matrix[:, q : 2 * q] ^ matrix[:, 2 * q : 3 * q] ^ matrix[:, 3 * q :]
+def fold(matrix: np.ndarray, words: int) -> np.ndarray:
+    """The same sketches in fewer words."""
+    while (half := matrix.shape[1] // 2) >= words:
+        matrix = matrix[:, :half] ^ matrix[:, half:]
+    return matrix
 
 
 class Chunk:
@@ -268,7 +273,6 @@ class Chunk:
             at = np.flatnonzero(self.width == w)
             self.row[at] = np.arange(len(at))
             self.of_width[w] = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), w)
-        self.folded = {w: fold(m) for w, m in self.of_width.items() if w // 4 in self.of_width}
 
     def index_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All pairs of rows in one place, in slices: by distance over short places, by matrix in long ones."""
@@ -307,11 +311,9 @@ class Chunk:
                 for v in np.unique(self.width[j]).tolist():
                     at = np.flatnonzero((self.width[i] == w) & (self.width[j] == v))
                     least = min(w, v)
-                    if max(w, v) > 4 * least:
-                        continue  # sizes that far apart cannot link
                     for part in np.array_split(at, 1 + len(at) * least // (1 << 20)):
                         if len(part):
-                            left, right = ((self.of_width if x == least else self.folded)[x][self.row[k[part]]] for x, k in ((w, i), (v, j)))
+                            left, right = (fold(self.of_width[x][self.row[k[part]]], least) for x, k in ((w, i), (v, j)))
                             differ = np.bitwise_count(left ^ right).sum(1).astype(np.int64)
                             both = self.n[i[part]].astype(np.int64) + self.n[j[part]]
                             room = both - 2 * self.t.need(both) - differ
@@ -375,7 +377,7 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
     if whole.groupBy("fp").count().where("count > 1").limit(1).count():  # rows alike in id and text
         whole = materialise(whole.dropDuplicates(["fp"]), "whole-sets")
 
-    def ends(pairs: DataFrame, *columns: str) -> DataFrame:
+    def ends(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
         """The pairs with columns of both sets, numbered 1 and 2."""
         one, two = (whole.select(F.col("fp").alias(end), *(F.col(c).alias(f"{c}{k}") for c in columns)) for k, end in ((1, "a"), (2, "b")))
         return small_side(pairs).join(one, "a").join(two, "b")
@@ -390,8 +392,9 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, t: Threshold, wor
                 on.append(k)
         return {c: batch.column(c).take(pa.array(on, pa.int64())) for c in ("a", "b")}
 
-    close = materialise(arrow_map(ends(pairs, "n", "fine"), near, "a bigint, b bigint"), "close-pairs")
-    on = ends(close, "n", "s").withColumn("both", F.col("n1") + F.col("n2")).withColumn("overlap", F.size(F.array_intersect("s1", "s2")))
+    close = materialise(arrow_map(ends(pairs, whole, "n", "fine"), near, "a bigint, b bigint"), "close-pairs")
+    left = materialise(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked")
+    on = ends(close, whole.join(small_side(left), "fp", "left_semi"), "n", "s").withColumn("both", F.col("n1") + F.col("n2")).withColumn("overlap", F.size(F.array_intersect("s1", "s2")))
     return materialise(on.where(100 * F.col("overlap") >= t.percent * (F.col("both") - F.col("overlap"))).select("a", "b"), "links")
 
 

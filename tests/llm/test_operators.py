@@ -250,6 +250,22 @@ def test_jaccard_scans_short_lists_once(spark, monkeypatch):
         same(jaccard.join(df, 70, 4), "doc_id n_shingles component_id", brute.jaccard_components(rows, 70, 4))
 
 
+def test_jaccard_sketches_part_sets_of_any_size(spark):
+    """Texts of 1,190 words share 40; at 80 percent sketches of 512 bits let most of their pairs through.  Widths meet by folding."""
+    t = jaccard.Threshold(80)
+    common = " ".join(f"c{k}" for k in range(40))
+    far = [" ".join([common, *(f"x{i}-{k}" for k in range(1150))]) for i in range(8)]
+    near = [" ".join(f"w{k}" for k in range(n)) for n in (780, 830)]
+    s, longer = (jaccard.shingles(x, 5) for x in near)
+    assert jaccard.sketch_words(len(s), t) < jaccard.sketch_words(len(longer), t)
+    wide = np.frombuffer(jaccard.parities(s, 4096), np.uint64).reshape(1, -1)
+    assert all(jaccard.fold(wide, w).tobytes() == jaccard.parities(s, 64 * w) for w in (2, 4, 32, 64))
+    df = spark.createDataFrame(list(enumerate(far + near)), "doc_id bigint, text string")
+    table = jaccard.signatures(df, t, 0, jaccard.set_table(df, 5)[1], 5)
+    found = jaccard.candidates(jaccard.first_rows(jaccard.members(table)), table, t, forest=True).collect()
+    assert [(r.a, r.b) for r in found] == [tuple(sorted(map(jaccard.set_hash, (s, longer))))]
+
+
 def test_substrings(rows):
     same(substrings.digest(rows), "doc_id n_words n_removed kept_sha256", brute.without_repeats(pairs(rows)))
 
